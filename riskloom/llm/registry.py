@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.query,
     "op9_byte_bpe": bpe.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": secrets.oracle(),
+}
