@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, language, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op3_quality": quality.query,
+    "op8_language": language.query,
     "op9_byte_bpe": bpe.query,
 }
 
