@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, language, quality, secrets
+from . import bpe, decontaminate, fingerprint, language, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_quality": quality.query,
+    "op7_decontamination": decontaminate.query,
     "op8_language": language.query,
     "op9_byte_bpe": bpe.query,
+    "op10_fingerprint": fingerprint.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.oracle(),
+    "op7_decontamination": decontaminate.ORACLE,
 }
