@@ -3,8 +3,8 @@
 The rank file gives the byte strings of the ids. ``tokenizer_json`` turns them
 into a ``tokenizers`` model: bytes become printable characters (the table that
 byte-level BPE files use) and the merge list follows from the ranks. Each task
-takes Arrow batches, splits the texts by the pattern, has the library encode
-every distinct piece of a slice once, and lays the ids out per document.
+takes Arrow batches, has the library encode every distinct chunk of a slice of
+texts once, and lays the ids out per document.
 
 Defined results: a null text counts as empty; an empty text has no ids; a null
 doc_id is kept; repeated rows give repeated results; an empty table gives an
@@ -15,9 +15,14 @@ from __future__ import annotations
 
 import base64
 import json
+import os
+import re
+from array import array
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +31,33 @@ from .common import slices, table, with_text
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
-#: White space by the Unicode property, as the libraries' ``\s`` has it.
-SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Distinct chunks in each of the two generations of a task's memory.
+KEPT_CHUNKS = 150_000
 
-#: Distinct pieces a task keeps encoded; the memory is cleared beyond it.
-KEPT_PIECES = 400_000
 
+class Memory:
+    """What the library gave for the chunks seen lately, packed as 32-bit numbers.
 
-def explicit_space(pattern: str) -> str:
-    """``\\s`` and ``\\S`` spelt out, so that every regex library agrees."""
-    return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+    Two generations bound it: when the young one is full it becomes the old one,
+    from which chunks that are seen again move back.
+    """
+
+    def __init__(self, encode, kept: int = KEPT_CHUNKS):
+        self.encode, self.kept = encode, kept
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, chunks: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all of ``chunks``."""
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+        missing = chunks.difference(self.young)
+        again = missing.intersection(self.old)
+        for c in again:
+            self.young[c] = self.old[c]
+        new = list(missing.difference(again))
+        self.young.update(zip(new, self.encode(new), strict=True))
+        return self.young
 
 
 def byte_characters() -> list[str]:
@@ -65,8 +87,8 @@ def split_by_ranks(token: bytes, rank_of: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def tokenizer_json(tokens: list[bytes]) -> str:
-    """A ``tokenizers`` file for the ranks, for pieces that are already split."""
+def tokenizer_json(tokens: list[bytes], pattern: str) -> str:
+    """A ``tokenizers`` file for the ranks; each match of ``pattern`` is encoded separately."""
     shown = byte_characters()
     name = ["".join(shown[b] for b in t) for t in tokens]
     rank_of = {t: i for i, t in enumerate(tokens)}
@@ -76,50 +98,68 @@ def tokenizer_json(tokens: list[bytes]) -> str:
             merges.append(["".join(shown[b] for b in p) for p in parts])
     return json.dumps({
         "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None,
-        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]},
         "post_processor": None, "decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False},
         "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
                   "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": {n: i for i, n in enumerate(name)}, "merges": merges},
     })
 
 
-def list_column(values, lengths) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(list(accumulate(lengths, initial=0)), pa.int32()), pa.array(values, pa.int32()))
+def list_column(values: np.ndarray, lengths) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
     """doc_id, ids (array of int) and, if asked for, starts: each id's first character.
 
-    An id that begins inside a character has that character's place.
+    An id that begins inside a character has that character's place. Where no two
+    white-space characters meet, the pattern never joins what a space parts, so a
+    text is looked up space by space; other texts go to the library whole.
     """
-    file = tokenizer_json(read_ranks(path or public_tokenizers.path(RANKS)))
+    file = tokenizer_json(read_ranks(path or public_tokenizers.path(RANKS)), pattern or public_tokenizers.PATTERN)
     shipped = docs.sparkSession.sparkContext.broadcast(file)  # one vocabulary: its size is fixed by the file
-    split = explicit_space(pattern or public_tokenizers.PATTERN)
 
     def run(batches):
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is enough
         from tokenizers import Tokenizer
 
-        tokenizer, pieces_of = Tokenizer.from_str(shipped.value), regex.compile(split).findall
-        ids_of: dict[str, tuple] = {}
-        starts_of: dict[str, tuple] = {}
+        tokenizer, met = Tokenizer.from_str(shipped.value), re.compile(r"\s\s").search
+
+        def packed(chunks):
+            for lo in range(0, len(chunks), 5000):
+                for e in tokenizer.encode_batch(chunks[lo : lo + 5000], add_special_tokens=False):
+                    yield array("i", e.ids).tobytes() + (array("i", [s for s, _ in e.offsets]).tobytes() if offsets else b"")
+
+        memory = Memory(packed)
         for batch in batches:
             texts = with_text(batch)
             for lo, hi in slices([len(t) for t in texts]):
-                found = [pieces_of(t) for t in texts[lo:hi]]
-                if len(ids_of) > KEPT_PIECES:
-                    ids_of.clear()
-                    starts_of.clear()
-                new = list(set(chain.from_iterable(found)).difference(ids_of))
-                for piece, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    ids_of[piece] = tuple(e.ids)
-                    if offsets:
-                        starts_of[piece] = tuple(s for s, _ in e.offsets)
-                rows = [list(chain.from_iterable(map(ids_of.__getitem__, p))) for p in found]
-                columns = [batch.column(0)[lo:hi], list_column(list(chain.from_iterable(rows)), map(len, rows))]
+                chunks = []
+                for t in texts[lo:hi]:
+                    if met(t):
+                        chunks.append([t])
+                    else:
+                        first, *rest = t.split(" ")
+                        chunks.append([first, *map(" ".__add__, rest)])
+                known = memory.of(set(chain.from_iterable(c for c in chunks if len(c) > 1)))
+                alone = [c[0] for c in chunks if len(c) == 1]
+                whole = dict(zip(alone, packed(alone), strict=True))
+                rows = [list(map((known if len(c) > 1 else whole).__getitem__, c)) for c in chunks]
+                if offsets:
+                    halves = [[(x[: len(x) // 2], x[len(x) // 2 :]) for x in r] for r in rows]
+                    rows = [[a for a, _ in r] for r in halves]
+                    starts = []
+                    for c, r in zip(chunks, halves, strict=True):
+                        base = accumulate(map(len, c), initial=0)
+                        starts += [np.frombuffer(x, np.int32) + np.int32(b) for b, (_, x) in zip(base, r, strict=False)]
+                joined = list(map(b"".join, rows))
+                lengths = [len(x) // 4 for x in joined]
+                columns = [batch.column(0)[lo:hi], list_column(np.frombuffer(b"".join(joined), np.int32), lengths)]
                 if offsets:
-                    at = [[b + s for p, b in zip(ps, accumulate(map(len, ps), initial=0), strict=False) for s in starts_of[p]] for ps in found]
-                    columns.append(list_column(list(chain.from_iterable(at)), map(len, at)))
+                    columns.append(list_column(np.concatenate([np.zeros(0, np.int32), *starts]), lengths))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts"][: len(columns)])
 
     schema = "doc_id long, ids array<int>" + ", starts array<int>" * offsets
@@ -135,10 +175,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     shipped = encoded.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(RANKS)))
 
     def run(batches):
+        every = np.frombuffer(b"".join(shipped.value), np.uint8)
+        width = np.fromiter(map(len, shipped.value), np.int64)
+        begin = np.cumsum(width) - width
         for batch in batches:
-            bytes_of = shipped.value.__getitem__
-            out = [b"".join(map(bytes_of, ids or ())) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "bytes"])
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+            for lo, hi in slices(sizes):
+                ids = lists[lo:hi].flatten().to_numpy()
+                w = width[ids]
+                ends = np.cumsum(w)
+                out = every[np.repeat(begin[ids] - ends + w, w) + np.arange(ends[-1] if len(ends) else 0)]
+                cuts = np.concatenate([[0], ends])[np.cumsum([0, *sizes[lo:hi]])].astype(np.int32)
+                text = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cuts), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], lists[lo:hi], text], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
