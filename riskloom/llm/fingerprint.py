@@ -55,7 +55,19 @@ def unicode_tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], di
 
 
 def as_map(d: dict) -> Column:
-    return F.map_from_arrays(F.lit(list(d)), F.lit(list(d.values())))
+    """A constant map, written as one string: thousands of literals would take long to plan."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in d.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def character_class(chars) -> str:
+    """The same as a class of ranges, which a regular expression tests faster than single characters."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
 
 def composed(text: Column) -> Column:
@@ -65,7 +77,7 @@ def composed(text: Column) -> Column:
     several = {a: b for a, b in replaced.items() if len(b) > 1}
     apart_of, whole_of, class_of = as_map(apart), as_map(pairs), as_map(classes)
     t = F.translate(text, "".join(single), "".join(single.values()))
-    t = F.aggregate(F.lit(list(several)), t, lambda acc, c: F.when(F.contains(acc, c), F.replace(acc, c, F.try_element_at(as_map(several), c))).otherwise(acc))
+    t = F.aggregate(F.map_keys(as_map(several)), t, lambda acc, c: F.when(F.contains(acc, c), F.replace(acc, c, F.try_element_at(as_map(several), c))).otherwise(acc))
 
     def compose(segment: Column) -> Column:
         # apart, marks in order of their class, then together again from the left
@@ -73,7 +85,7 @@ def composed(text: Column) -> Column:
         chars = F.split(F.concat(F.coalesce(F.try_element_at(apart_of, base), base), F.substr(segment, F.lit(2))), "")
         marks = F.transform(
             F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))),
-            lambda c, i: F.struct(F.coalesce(F.try_element_at(class_of, c), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")),
+            lambda c, i: F.struct(F.coalesce(F.try_element_at(class_of, c).cast("int"), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")),
         )
         marks = F.when(F.exists(marks, lambda m: m["k"] == 0), marks).otherwise(F.array_sort(marks))
         start = F.struct(F.element_at(chars, 1).alias("base"), F.lit("").alias("rest"), F.lit(-1).alias("last"))
@@ -90,8 +102,9 @@ def composed(text: Column) -> Column:
 
     segments = F.regexp_extract_all(t, F.lit(r"(?s)\P{M}+(?=\P{M}|\z)|\P{M}?\p{M}+"), F.lit(0))
     joined = F.array_join(F.transform(segments, lambda s: F.when(s.rlike(r"\p{M}"), compose(s)).otherwise(s)), "")
-    needs = r"[\p{M}" + "".join(f"\\x{{{ord(c):X}}}" for c in replaced) + "]"
-    return F.when(text.rlike(needs), joined).otherwise(text)
+    # no mark and no replaced character comes before U+0300, which one range tells fast
+    needs = text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(rf"[\p{{M}}{character_class(replaced)}]")
+    return F.when(needs, joined).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
