@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, language, quality, secrets
+from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_quality": quality.query,
+    "op5_repair_ids": grammar.query,
+    "op6_token_counts": counts.query,
     "op7_decontamination": decontaminate.query,
     "op8_language": language.query,
     "op9_byte_bpe": bpe.query,
