@@ -129,6 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     return np.average([np.frombuffer(m.weights, "<f4") for m in models], axis=0, weights=[m.n for m in models]).astype(np.float32)
 
 
+def logits(features: Features, texts: list[str], weights: np.ndarray) -> np.ndarray:
+    row, f, x = features(texts)
+    return np.bincount(row, weights[f] * x, minlength=len(texts)) + weights[-1]
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id and score of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
@@ -138,8 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             texts, w = with_text(batch), shipped.value
             for lo, hi in slices([len(t) for t in texts]):
-                row, f, x = features(texts[lo:hi])
-                logit = np.bincount(row, w[f] * x, minlength=hi - lo) + w[-1]
+                logit = logits(features, texts[lo:hi], w)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(1 / (1 + np.exp(-logit)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -156,5 +160,19 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     )
 
 
+def keep(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score 0.5 or more."""
+    shipped, place = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows)), docs.columns.index("text")
+
+    def run(batches):
+        features = Features()
+        for batch in batches:
+            texts = with_text(batch, place)
+            for lo, hi in slices([len(t) for t in texts]):
+                yield batch.slice(lo, hi - lo).filter(pa.array(logits(features, texts[lo:hi], shipped.value) >= 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

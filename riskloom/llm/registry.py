@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets
+from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets, simhash
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op3_quality": quality.query,
+    "op4_simhash": simhash.query,
     "op5_repair_ids": grammar.query,
     "op6_token_counts": counts.query,
     "op7_decontamination": decontaminate.query,

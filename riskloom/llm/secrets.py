@@ -169,12 +169,13 @@ def spans_of(rule: Rule, order: int) -> Column:
     return F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: bool = False) -> DataFrame:
     """doc_id, text and ``spans``: array of (start, kind_order, end, kind) by start, then kind.
 
-    Places are code points; ends are exclusive.
+    Places are code points; ends are exclusive. With ``carry``, column ``carried`` has the whole input row.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried")] if carry else []
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *whole)
     queries = {r: q for r, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) != ANY}
     trigrams = sorted(set().union(*(t for q in queries.values() for t in q)))
     if queries:
@@ -189,18 +190,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         open_to = F.array_contains("maybe", r) if r in queries else F.col("text").rlike(least)
         parts.append(F.when(open_to, spans_of(rule, r)))
     spans = F.sort_array(F.flatten(F.array_compact(F.array(*parts))))
-    return docs.select("doc_id", "text", spans.alias("spans"))
+    return docs.select("doc_id", "text", spans.alias("spans"), *(["carried"] if carry else []))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """doc_id, text and n_spans, with every kept match in the text replaced by ``mark``; overlapping spans give one mark."""
+    """The rows of ``docs``, with all their columns, and every kept match in the text replaced by ``mark``.
+
+    Overlapping spans give one mark; a null text stays null.
+    """
     replaced = (
         "aggregate(spans, struct('' as out, 0L as at), (acc, s) -> struct("
         f"if(s.start >= acc.at, concat(acc.out, substring(text, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), '{mark}'), acc.out) as out, greatest(acc.at, s.end) as at), "
         "acc -> concat(acc.out, substring(text, cast(acc.at + 1 as int))))"
     )
-    found = scan(docs, rules)
-    return found.select("doc_id", F.when(F.size("spans") > 0, F.expr(replaced)).otherwise(F.col("text")).alias("text"), F.size("spans").alias("n_spans"))
+    found = scan(docs, rules, carry=True)
+    text = F.when(F.size("spans") > 0, F.expr(replaced)).otherwise(F.col("carried.text"))
+    return found.select(*(text.alias("text") if c == "text" else F.col(f"carried.`{c}`").alias(c) for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:
