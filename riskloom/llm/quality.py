@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import slices, table, with_text
 
 TRAIN_ROWS = 8192
-SHARDS = 4
-EPOCHS = 4
+SHARDS = 2
+EPOCHS = 12
 BITS = 18
 
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-5
 
 #: Distinct words whose parts a task keeps; the memory is cleared beyond it.
 KEPT_WORDS = 400_000

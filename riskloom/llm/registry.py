@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets, simhash
+from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets, simhash, substring
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
+    "op2_substring_dedup": substring.query,
     "op3_quality": quality.query,
     "op4_simhash": simhash.query,
     "op5_repair_ids": grammar.query,
