@@ -1,10 +1,485 @@
-"""Registered queries of the risk engine and the SQL that each must equal."""
+"""Registered queries of the risk engine and the SQL that each must equal.
+
+The given tables hold no packages, so inputs are derived from their rows: the
+expressions in ``derive`` are plain enough to mean the same in Spark and in the SQL
+that checks the results, where they stand in the first common table expression.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import schema as S
+from ..functions import text as T
+from ..operators import ast_scan, metadata, regex_scan, scoring, similarity, trace
+from ..sources import files as files_source
+from ..sources import registry as fetch
+from ..sources import rules as catalogue
+from . import orchestrate, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+AS_OF = datetime(1998, 8, 20, tzinfo=UTC)
+
+# Derived inputs: table and expressions, the same words in both dialects.
+DERIVED: dict[str, tuple[str, dict[str, str]]] = {
+    "findings": ("events", {
+        "package_id": "user_id * 10 + event_id % 10",
+        "finding_seq": "event_id",
+        "pattern_id": "event_type || '_' || CAST(event_id % 3 AS STRING)",
+        "category": "event_type",
+        "severity": "CASE WHEN event_id % 37 = 0 THEN 80 WHEN event_id % 11 = 0 THEN 40 WHEN event_id % 3 = 0 THEN 20 ELSE 10 END",
+        "description": "'seen as ' || event_type",
+        "evidence": "'event ' || CAST(event_id AS STRING)",
+        "source_file": "CASE event_id % 4 WHEN 0 THEN 'setup.py' WHEN 1 THEN 'pkg/core.py' WHEN 2 THEN 'pkg/tests/test_core.py' END",
+        "line_number": "CAST(event_id % 5 AS INT)",
+        "layer": "CASE event_id % 4 WHEN 3 THEN 'metadata' ELSE 'static' END",
+    }),
+    "lines": ("lineitem", {
+        "package_id": "l_orderkey",
+        "package_name": "CASE l_orderkey % 6 WHEN 0 THEN 'Requests' WHEN 1 THEN 'paramiko' ELSE 'acme' END",
+        "rel_path": "CASE l_orderkey % 7 WHEN 0 THEN 'setup.py' WHEN 1 THEN 'pkg/tests/a.py' WHEN 2 THEN 'pkg/__init__.py' WHEN 3 THEN 'pkg/b.PYX' WHEN 4 THEN 'pkg/notes.txt' ELSE 'pkg/c.py' END",
+        "line_no": "l_linenumber",
+        "line": "CASE l_partkey % 13 WHEN 0 THEN '  subprocess.run(cmd)' WHEN 1 THEN 'OS.SYSTEM(x)' WHEN 2 THEN 'key = open(home + \"/.ssh/id_rsa\")  ' WHEN 3 THEN 'requests.post (url, data)' "
+                "WHEN 4 THEN 'with open(\".env\") as f:' WHEN 5 THEN 'lib = ctypes.CDLL(name)' WHEN 6 THEN 'import socket' WHEN 7 THEN '# urlopen(later)' WHEN 8 THEN 'answer = dns.resolver.query(n)' "
+                "WHEN 9 THEN 'commands.getoutput(c)' ELSE 'value = ' || CAST(l_partkey AS STRING) END",
+    }),
+    "trace": ("events", {
+        "package_id": "user_id",
+        "line_no": "event_id",
+        "line": "CASE event_id % 11 WHEN 0 THEN 'openat(AT_FDCWD, \"/tmp/h/.ssh/id_rsa\", O_RDONLY) = 3' WHEN 1 THEN 'open(\"/tmp/h/.git-credentials\", O_RDONLY) = -1 ENOENT' "
+                "WHEN 2 THEN 'connect(3, {sa_family=AF_INET, sin_port=htons(' || CAST(400 + event_id % 7 AS STRING) || '), sin_addr=inet_addr(\"10.0.0.' || CAST(event_id % 5 AS STRING) || '\")}, 16) = 0' "
+                "WHEN 3 THEN 'connect(3, {sa_family=AF_INET, sin_port=htons(53), sin_addr=inet_addr(\"127.0.0.1\")}, 16) = 0' "
+                "WHEN 4 THEN 'connect(4, {sa_family=AF_INET6, sin6_port=htons(443), inet_pton(AF_INET6, \"2001:db8::' || CAST(event_id % 3 AS STRING) || '\", &sin6_addr)}, 28) = -1 EINPROGRESS' "
+                "WHEN 5 THEN 'execve(\"/usr/bin/python3\", [\"python3\"], 0x7f) = 0' WHEN 6 THEN 'execve(\"/bin/tool' || CAST(event_id % 4 AS STRING) || '\", [\"x\"], 0x7f) = 0' "
+                "WHEN 7 THEN 'openat(AT_FDCWD, \"/srv/app.env\", O_RDONLY) = 3' WHEN 8 THEN 'read(3, \"execve\", 6) = 6' ELSE 'close(3) = 0' END",
+    }),
+    "registry": ("customer", {
+        "package_id": "c_custkey",
+        "summary": "CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN '   short   ' WHEN 2 THEN '' END",
+        "author": "CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN '  ' END",
+        "author_email": "CASE c_custkey % 8 WHEN 0 THEN 'a@example.org' ELSE '' END",
+        "home_page": "CASE c_custkey % 5 WHEN 0 THEN 'https://example.org' WHEN 1 THEN ' ' END",
+        "has_urls": "c_custkey % 7 = 0",
+        "has_metadata": "c_custkey % 10 <> 9",
+    }),
+    "names": ("customer JOIN nation ON c_nationkey = n_nationkey", {
+        "package_id": "c_custkey",
+        "name": "CASE c_custkey % 8 WHEN 0 THEN lower(n_name) WHEN 1 THEN substr(n_name, 2) WHEN 2 THEN n_name || 'x' WHEN 3 THEN reverse(n_name) WHEN 4 THEN replace(n_name, 'A', 'e') "
+                "WHEN 5 THEN n_name || 'xyz' WHEN 6 THEN replace(n_name, ' ', '_') ELSE c_name END",
+    }),
+    "moments": ("orders", {"package_id": "o_orderkey", "upload_time": "CAST(o_orderdate AS STRING)"}),
+    "specifiers": ("part", {"p_partkey": "p_partkey", "spec": "CASE p_partkey % 4 WHEN 0 THEN ' ' || p_name || ' == 1.' || CAST(p_size AS STRING) || ' ' WHEN 1 THEN p_brand || '>=2' WHEN 2 THEN p_name ELSE p_brand || '==1==2' END"}),
+    "distributions": ("lineitem", {
+        "package_id": "l_orderkey", "ordinal": "l_linenumber", "packagetype": "CASE WHEN l_partkey % 3 = 0 THEN 'sdist' ELSE 'bdist_wheel' END",
+        "url": "'https://files.example.org/' || CAST(l_partkey AS STRING)", "size": "l_suppkey * 1000000", "in_urls": "l_orderkey % 3 <> 0", "status": "CASE WHEN l_orderkey % 17 = 0 THEN 404 WHEN l_orderkey % 19 = 0 THEN 503 ELSE 200 END",
+    }),
+    "folders": ("part", {"package_id": "p_size", "package_name": "'Pkg-' || CAST(p_size % 7 AS STRING)", "folder": "CASE p_partkey % 5 WHEN 0 THEN 'tests' WHEN 1 THEN 'pkg_' || CAST(p_size % 9 AS STRING) ELSE lower(replace(p_brand, '#', '_')) END", "has_init": "p_partkey % 4 <> 0"}),
+    "sources": ("orders", {
+        "package_id": "o_orderkey", "package_name": "'acme'", "rel_path": "CASE o_orderkey % 4 WHEN 0 THEN 'pkg/tests/t.py' ELSE 'pkg/m.py' END",
+        "variant": "o_orderkey % 8",
+    }),
+}
+
+
+def derive(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, columns = DERIVED[name]
+    if " JOIN " in source:
+        left, rest = source.split(" JOIN ")
+        right, on = rest.split(" ON ")
+        df = spark.read.parquet(f"{sf_dir}/{left}.parquet").join(spark.read.parquet(f"{sf_dir}/{right}.parquet"), F.expr(on))
+    else:
+        df = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    return df.selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+
+
+def derived_sql(name: str) -> str:
+    source, columns = DERIVED[name]
+    return f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source})"
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+# ---- scores and verdicts ----
+
+SEVERITY_SQL = "CASE {} WHEN 10 THEN 'LOW' WHEN 20 THEN 'MEDIUM' WHEN 40 THEN 'HIGH' WHEN 80 THEN 'CRITICAL' END"
+DECISION_SQL = "CASE WHEN score <= 15 THEN 0 WHEN score <= 35 THEN 1 WHEN score <= 60 THEN 2 ELSE 3 END"
+NAME_SQL = "CASE decision WHEN 0 THEN 'SAFE' WHEN 1 THEN 'CAUTION' WHEN 2 THEN 'DANGER' ELSE 'BLOCKED' END"
+COUNTED_SQL = "CAST(n_findings AS STRING) || CASE WHEN n_findings = 1 THEN ' finding' ELSE ' findings' END || ', ' || CAST(n_critical AS STRING) || ' critical.'"
+SUMMARY_SQL = (
+    f"CASE WHEN n_findings = 0 THEN 'Nothing suspicious was found.' WHEN decision = 0 THEN 'Minor traits only: ' || {COUNTED_SQL} "
+    f"WHEN decision = 1 THEN 'Look before you install: ' || {COUNTED_SQL} WHEN decision = 2 THEN 'Likely harmful: ' || {COUNTED_SQL} ELSE 'Keep it out: ' || {COUNTED_SQL} END"
+)
+
+
+def verdict_ctes(source: str = "findings", packages: str | None = None) -> str:
+    ids = f"SELECT DISTINCT package_id FROM {packages or source}"
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY package_id, category ORDER BY severity DESC) AS rk FROM {source}),
+per_category AS (SELECT package_id, category, max(severity) + (sum(CASE WHEN rk <= 3 THEN severity ELSE 0 END) - max(severity)) * CAST(0.3 AS DOUBLE) AS base,
+    count(*) AS n, sum(CASE WHEN severity = 80 THEN 1 ELSE 0 END) AS c FROM ranked GROUP BY package_id, category),
+per_package AS (SELECT package_id, sum(base) * least(1 + count(*) * CAST(0.15 AS DOUBLE), 2) AS raw, count(*) AS n_categories, sum(n) AS n_findings, sum(c) AS n_critical FROM per_category GROUP BY package_id),
+scored AS (SELECT i.package_id, CAST(greatest(0, least(100, round_even(CASE WHEN coalesce(n_critical, 0) = 0 THEN least(coalesce(raw, 0), 60) ELSE raw END, 0))) AS INT) AS score,
+    CAST(coalesce(n_findings, 0) AS BIGINT) AS n_findings, CAST(coalesce(n_critical, 0) AS BIGINT) AS n_critical, CAST(coalesce(n_categories, 0) AS BIGINT) AS n_categories
+    FROM ({ids}) i LEFT JOIN per_package p USING (package_id)),
+decided AS (SELECT *, CAST({DECISION_SQL} AS INT) AS decision FROM scored),
+verdicts AS (SELECT *, {NAME_SQL} AS decision_name, {SUMMARY_SQL} AS summary FROM decided)"""
+
+
+def all_packages(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("package_id"))
+
+
+PACKAGES_SQL = "packages AS (SELECT c_custkey AS package_id FROM customer)"
+VERDICTS = f"WITH {derived_sql('findings')}, {PACKAGES_SQL}, {verdict_ctes('findings', 'packages')} "
+
+
+def judged(spark, sf_dir):
+    return scoring.verdicts(derive("findings", spark, sf_dir), all_packages(spark, sf_dir))
+
+
+query("verdict_score", VERDICTS + "SELECT * FROM verdicts")(judged)
+
+
+@query("summary_text", VERDICTS + "SELECT package_id, summary FROM verdicts")
+def _(spark, sf_dir):
+    return judged(spark, sf_dir).select("package_id", "summary")
+
+
+@query("decision_buckets", f"WITH s AS (SELECT o_orderkey, CAST(greatest(0, least(100, o_orderkey % 141 - 20)) AS INT) AS score FROM orders), d AS (SELECT *, CAST({DECISION_SQL} AS INT) AS decision FROM s) SELECT *, {NAME_SQL} AS decision_name FROM d")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", S.clamp(F.col("o_orderkey") % 141 - 20).cast("int").alias("score"))
+    return rows.withColumn("decision", S.decision_of(F.col("score"))).withColumn("decision_name", S.decision_name(F.col("decision")))
+
+
+@query("batch_worst", VERDICTS + f", d AS (SELECT CAST(coalesce(max(decision), 0) AS INT) AS decision, count(*) AS n_packages, CAST(0 AS BIGINT) AS n_errors FROM verdicts) SELECT *, {NAME_SQL} AS decision_name, CAST(CASE WHEN decision >= 2 THEN 1 ELSE 0 END AS INT) AS exit_code FROM d")
+def _(spark, sf_dir):
+    return scoring.worst_decision(judged(spark, sf_dir))
+
+
+DEDUP_COLUMNS = ", ".join(c for c in DERIVED["findings"][1] if c != "finding_seq")
+
+
+@query("finding_dedup_max", f"WITH {derived_sql('findings')}, r AS (SELECT *, row_number() OVER (PARTITION BY package_id, pattern_id, source_file ORDER BY severity DESC, finding_seq) AS rk, min(finding_seq) OVER (PARTITION BY package_id, pattern_id, source_file) AS first_seq FROM findings WHERE layer = 'static') SELECT {DEDUP_COLUMNS}, first_seq AS finding_seq FROM r WHERE rk = 1")
+def _(spark, sf_dir):
+    return scoring.dedup_static(derive("findings", spark, sf_dir).where("layer = 'static'"))
+
+
+@query("category_sums", f"WITH {derived_sql('findings')}, {verdict_ctes()} SELECT package_id, category, base, n, CAST(c AS BIGINT) AS n_critical FROM per_category")
+def _(spark, sf_dir):
+    return scoring.category_sums(derive("findings", spark, sf_dir))
+
+
+@query("regression_check", VERDICTS + ", e AS (SELECT c_custkey AS package_id, CAST(c_custkey % 4 AS INT) AS expected_decision FROM customer WHERE c_custkey % 3 <> 0) SELECT package_id, expected_decision, decision, CASE WHEN expected_decision = 0 THEN decision = 0 ELSE decision >= expected_decision END AS passed FROM e JOIN verdicts USING (package_id)")
+def _(spark, sf_dir):
+    expected = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("package_id"), (F.col("c_custkey") % 4).cast("int").alias("expected_decision"))
+    return scoring.regression(judged(spark, sf_dir), expected)
+
+
+@query("regression_summary", f"SELECT count(*) FILTER (WHERE passed) AS n_passed, count(*) AS n_total, bool_and(passed) AS all_passed FROM ({ORACLES['regression_check']})")
+def _(spark, sf_dir):
+    return report.regression_summary(QUERIES["regression_check"](spark, sf_dir))
+
+
+@query("layer_union", f"WITH {derived_sql('findings')} SELECT layer, category, count(*) AS n FROM findings GROUP BY layer, category")
+def _(spark, sf_dir):
+    found = derive("findings", spark, sf_dir)
+    both = found.where("layer = 'static'").unionByName(found.where("layer <> 'static'"))
+    return both.groupBy("layer", "category").agg(F.count("*").alias("n"))
+
+
+LOCATION_SQL = "CASE WHEN coalesce(source_file, '') <> '' AND coalesce(line_number, 0) <> 0 THEN source_file || ':' || CAST(line_number AS STRING) WHEN coalesce(source_file, '') <> '' THEN source_file ELSE layer END"
+
+
+@query("finding_location", f"WITH {derived_sql('findings')} SELECT finding_seq, {LOCATION_SQL} AS location FROM findings")
+def _(spark, sf_dir):
+    return derive("findings", spark, sf_dir).select("finding_seq", report.location(F.col("source_file"), F.col("line_number"), F.col("layer")).alias("location"))
+
+
+@query("report_rows", VERDICTS + f""", body AS (SELECT package_id, string_agg('[' || {SEVERITY_SQL.format('severity')} || '] ' || pattern_id || ' at ' || {LOCATION_SQL}, chr(10) ORDER BY severity DESC, finding_seq) AS b FROM findings GROUP BY package_id)
+SELECT package_id, '== ' || CAST(package_id AS STRING) || chr(10) || coalesce(b, 'no findings') || chr(10) || 'score ' || CAST(score AS STRING) || '/100 ' || decision_name || chr(10) || summary ||
+CASE decision WHEN 2 THEN chr(10) || '{report.ADVICE[2]}' WHEN 3 THEN chr(10) || '{report.ADVICE[3]}' ELSE '' END AS report FROM verdicts LEFT JOIN body USING (package_id)""")
+def _(spark, sf_dir):
+    return report.reports(judged(spark, sf_dir), derive("findings", spark, sf_dir))
+
+
+# ---- source files and rules ----
+
+
+def source_files(spark, sf_dir):
+    lines = derive("lines", spark, sf_dir).groupBy("package_id", "package_name", "rel_path")
+    ordered = lines.agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    content = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
+    return ordered.select("package_id", "package_name", "rel_path", content.alias("content"))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+TEST_PATH_SQL = "list_has_any(string_split(rel_path, '/'), ['tests', 'test', 'testing', 'test_utils', 'testutils'])"
+
+
+def regex_oracle(lines_sql: str, rules: list[catalogue.Rule]) -> str:
+    """Rule-major first matches over rows (package_id, package_name, rel_path, line_no, line)."""
+    hits = []
+    for rule in (r for r in rules if r.type == "regex"):
+        where = [f"regexp_extract(lower(rel_path), '[^/.](\\.[^./]+)$', 1) IN {S.REGEX_SUFFIXES}"]
+        where += [f"lower(package_name) NOT IN ({', '.join(map(quoted, rule.expected_for))})"] if rule.expected_for else []
+        where += [f"regexp_extract(rel_path, '[^/]+$') IN ({', '.join(map(quoted, rule.file_scope))})"] if rule.file_scope else []
+        for k, p in enumerate(x["pattern"] for x in rule.rules):
+            hits.append(f"SELECT package_id, rel_path, {quoted(rule.pattern_id)} AS pattern_id, {quoted(rule.category)} AS category, {rule.severity} AS weight, {k} AS k, line_no, line FROM lines WHERE {' AND '.join(where)} AND regexp_matches(line, {quoted(p)}, 'i')")
+    return f"""WITH {lines_sql}, hit AS ({' UNION ALL '.join(hits)}),
+best AS (SELECT *, row_number() OVER (PARTITION BY package_id, rel_path, pattern_id ORDER BY k, line_no) AS rk FROM hit)
+SELECT package_id, pattern_id, category, CAST(CASE WHEN {TEST_PATH_SQL} THEN CASE weight WHEN 80 THEN 40 WHEN 40 THEN 20 ELSE 10 END
+    WHEN regexp_extract(rel_path, '[^/]+$') = 'setup.py' AND weight < 80 THEN least(weight * 2, 80) ELSE weight END AS INT) AS severity,
+    trim(line) AS evidence, rel_path AS source_file, CAST(line_no AS INT) AS line_number FROM best WHERE rk = 1"""
+
+
+BUILTIN_RULES = catalogue.load().rules
+# Lines of a file are numbered by their place in it.
+NUMBERED_SQL = derived_sql("lines").replace("lines AS", "given AS", 1) + ", lines AS (SELECT package_id, package_name, rel_path, row_number() OVER (PARTITION BY package_id ORDER BY line_no, line) AS line_no, line FROM given)"
+FOUND = ["package_id", "pattern_id", "category", "severity", "evidence", "source_file", "line_number"]
+
+
+@query("regex_first_match", regex_oracle(NUMBERED_SQL, BUILTIN_RULES))
+def _(spark, sf_dir):
+    return regex_scan.scan(source_files(spark, sf_dir), BUILTIN_RULES).select(FOUND)
+
+
+@query("source_verdicts", f"WITH findings AS ({regex_oracle(NUMBERED_SQL, BUILTIN_RULES)}), packages AS (SELECT DISTINCT l_orderkey AS package_id FROM lineitem), {verdict_ctes('findings', 'packages')} SELECT CAST(package_id AS STRING) AS package_id, score, decision_name, n_findings FROM verdicts")
+def _(spark, sf_dir):
+    return orchestrate.scan(source_files(spark, sf_dir), BUILTIN_RULES)[1].select("package_id", "score", "decision_name", "n_findings")
+
+
+TEXT_RULES = [
+    catalogue.Rule("assigned_token", "credentials", 80, "A token in plain sight", rules=({"pattern": r"\bsecret\s*="}, {"pattern": r"\btoken\s*=\s*\"[0-9a-f]+"})),
+    catalogue.Rule("licence_line", "legal", 10, "A licence line", rules=({"pattern": r"licen[cs]e"},)),
+    catalogue.Rule("shouting", "style", 20, "Shouted words", rules=({"pattern": r"[a-z]+!! [a-z]+!!"},)),
+]
+BREAKS_SQL = "chr(13) || chr(10) || '|[' || chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || ']'"
+
+
+def lines_sql(table: str, key: str, text: str) -> str:
+    split = f"string_split_regex({text}, {BREAKS_SQL})"
+    kept = f"CASE WHEN {split}[-1] = '' THEN {split}[1:-2] ELSE {split} END"
+    return f"lines AS (SELECT {key} AS package_id, 'corpus' AS package_name, 'text.py' AS rel_path, i AS line_no, l[i] AS line FROM (SELECT {key}, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {key}, {kept} AS l FROM {table} WHERE octet_length(encode({text})) <= {S.MAX_FILE_BYTES})))"
+
+
+@query("doc_rule_scan", regex_oracle(lines_sql("documents", "doc_id", "text"), TEXT_RULES))
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("package_id"), F.lit("corpus").alias("package_name"), F.lit("text.py").alias("rel_path"), F.col("text").alias("content"))
+    return regex_scan.scan(docs, TEXT_RULES).select(FOUND)
+
+
+PAGE_RULES = [catalogue.Rule("inline_script", "web", 20, "A script in the page", rules=({"pattern": r"<script"},)), catalogue.Rule("outside_link", "web", 10, "A link elsewhere", rules=({"pattern": r"href=\"https?://"}, {"pattern": "<a "}))]
+
+
+@query("page_rule_scan", regex_oracle(lines_sql("pages", "page_id", "html"), PAGE_RULES))
+def _(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("package_id"), F.lit("corpus").alias("package_name"), F.lit("text.py").alias("rel_path"), F.col("html").alias("content"))
+    return regex_scan.scan(pages, PAGE_RULES).select(FOUND)
+
+
+@query("line_split", f"WITH {lines_sql('documents', 'doc_id', 'text')} SELECT package_id AS doc_id, count(*) AS n_lines, CAST(max(length(line)) AS BIGINT) AS longest FROM lines GROUP BY package_id")
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.octet_length("text") <= S.MAX_FILE_BYTES).select("doc_id", T.lines(T.decoded(F.col("text").cast("binary"))).alias("l"))
+    return docs.where(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n_lines"), F.array_max(F.transform("l", lambda x: F.char_length(x["line"]))).cast("long").alias("longest"))
+
+
+@query("allowlist_anti", f"WITH {derived_sql('lines')} SELECT package_id, line_no FROM lines WHERE lower(package_name) NOT IN ('requests', 'httpx', 'urllib3')")
+def _(spark, sf_dir):
+    rule = next(r for r in BUILTIN_RULES if r.pattern_id == "outbound_post_request")
+    return derive("lines", spark, sf_dir).where(regex_scan.applies(rule, F.col("package_name"), F.col("rel_path"))).select("package_id", "line_no")
+
+
+@query("scope_semi", f"WITH {derived_sql('lines')} SELECT package_id, line_no FROM lines WHERE rel_path = 'setup.py'")
+def _(spark, sf_dir):
+    rule = next(r for r in BUILTIN_RULES if r.pattern_id == "setup_py_exec")
+    return derive("lines", spark, sf_dir).where(regex_scan.applies(rule, F.col("package_name"), F.col("rel_path"))).select("package_id", "line_no")
+
+
+CONTEXT = f"WITH {derived_sql('lines')}, w AS (SELECT *, CAST(CASE line_no % 4 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 40 ELSE 80 END AS INT) AS weight FROM lines), d AS (SELECT *, CASE weight WHEN 80 THEN 40 WHEN 40 THEN 20 ELSE 10 END AS lower_one FROM w) "
+
+
+@query("context_severity", CONTEXT + f"SELECT package_id, line_no, CAST(CASE WHEN {TEST_PATH_SQL} THEN lower_one WHEN rel_path = 'setup.py' AND weight < 80 THEN weight * 2 ELSE weight END AS INT) AS by_regex, CAST(CASE WHEN {TEST_PATH_SQL} THEN lower_one ELSE weight END AS INT) AS by_ast FROM d")
+def _(spark, sf_dir):
+    rows = derive("lines", spark, sf_dir).withColumn("weight", F.element_at(F.array(*map(F.lit, S.SEVERITIES.values())), (F.col("line_no") % 4 + 1).cast("int")))
+    return rows.select("package_id", "line_no", S.regex_severity(F.col("weight"), F.col("rel_path")).alias("by_regex"), S.ast_severity(F.col("weight"), F.col("rel_path")).alias("by_ast"))
+
+
+@query("source_filter", f"WITH {derived_sql('lines')} SELECT package_id, line_no, regexp_extract(lower(rel_path), '[^/.](\\.[^./]+)$', 1) IN {S.REGEX_SUFFIXES} AS for_regex, regexp_extract(lower(rel_path), '[^/.](\\.[^./]+)$', 1) IN {S.AST_SUFFIXES} AS for_ast FROM lines")
+def _(spark, sf_dir):
+    return derive("lines", spark, sf_dir).select("package_id", "line_no", S.has_suffix(F.col("rel_path"), S.REGEX_SUFFIXES).alias("for_regex"), S.has_suffix(F.col("rel_path"), S.AST_SUFFIXES).alias("for_ast"))
+
+
+@query("severity_parse", "SELECT s_suppkey, CAST(CASE lower(trim(w)) WHEN 'low' THEN 10 WHEN 'medium' THEN 20 WHEN 'high' THEN 40 WHEN 'critical' THEN 80 END AS INT) AS severity FROM (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN ' Low' WHEN 1 THEN 'MEDIUM ' WHEN 2 THEN 'high' WHEN 3 THEN 'Critical' ELSE s_name END AS w FROM supplier)")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey", "CASE s_suppkey % 5 WHEN 0 THEN ' Low' WHEN 1 THEN 'MEDIUM ' WHEN 2 THEN 'high' WHEN 3 THEN 'Critical' ELSE s_name END AS w")
+    return rows.select("s_suppkey", S.severity_of(F.col("w")).alias("severity"))
+
+
+@query("catalogue_last_wins", "SELECT p_brand AS pattern_id, max_by(p_type, p_partkey) AS category, min(p_partkey) AS ordinal FROM part GROUP BY p_brand")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("pattern_id"), F.col("p_type").alias("category"), F.col("p_partkey").alias("load_seq"))
+    return catalogue.last_wins(rows)
+
+
+SOURCE_TEXTS = (
+    "x = eval(data)\n", "x = eval('1 + 1')\n", "from base64 import b64decode\nexec(b64decode(blob))\n", "__import__(name).run()\n",
+    "def f(:\n", "re.compile(pattern)\n", "make().eval(a)\nexec(f'{a}')\n", "value = 1\n",
+)
+
+
+def python_sources(spark, sf_dir):
+    rows = derive("sources", spark, sf_dir)
+    return rows.withColumn("content", F.element_at(F.array(*map(F.lit, SOURCE_TEXTS)), (F.col("variant") + 1).cast("int"))).drop("variant")
+
+
+@query("ast_issues", f"""WITH {derived_sql('sources')}, known(variant, seq, type, function, line) AS (VALUES (0, 0, 'dynamic_exec', 'eval', 1), (2, 0, 'dynamic_exec', 'exec', 2), (2, 1, 'decode_exec_chain', 'b64decode', 2), (3, 0, 'dynamic_import', '__import__', 1), (6, 0, 'dynamic_exec', 'eval', 1))
+SELECT CAST(package_id AS STRING) AS package_id, CAST(seq AS INT) AS seq, type, function, CAST(line AS INT) AS line FROM sources JOIN known USING (variant)""")
+def _(spark, sf_dir):
+    found = ast_scan.issues(python_sources(spark, sf_dir)).select("package_id", F.explode("issues").alias("i"))
+    return found.select("package_id", "i.seq", "i.type", "i.function", "i.line")
+
+
+@query("ast_findings", f"""WITH {derived_sql('sources')}, known(variant, pattern_id, weight, line, evidence) AS (VALUES (0, 'eval_dynamic_code', 40, 1, 'x = eval(data)'), (2, 'eval_dynamic_code', 40, 2, 'exec(b64decode(blob))'), (2, 'base64_exec', 80, 2, 'exec(b64decode(blob))'), (6, 'eval_dynamic_code', 40, 1, 'make().eval(a)'))
+SELECT CAST(package_id AS STRING) AS package_id, pattern_id, CAST(CASE WHEN {TEST_PATH_SQL} THEN weight // 2 ELSE weight END AS INT) AS severity, evidence, CAST(line AS INT) AS line_number FROM sources JOIN known USING (variant)""")
+def _(spark, sf_dir):
+    return ast_scan.scan(python_sources(spark, sf_dir), BUILTIN_RULES).select("package_id", "pattern_id", "severity", "evidence", "line_number")
+
+
+# ---- metadata and names ----
+
+
+def registry_rows(spark, sf_dir):
+    rows = derive("registry", spark, sf_dir)
+    none = F.lit(None).cast("string")
+    urls = F.when(F.col("has_urls"), F.create_map(F.lit("home"), F.lit("")))
+    packed = F.struct("summary", "author", "author_email", none.alias("maintainer"), none.alias("maintainer_email"), "home_page", none.alias("upload_time"), urls.alias("project_urls"))
+    return rows.select("package_id", F.when(F.col("has_metadata"), packed).alias("metadata"))
+
+
+@query("metadata_checks", f"""WITH {derived_sql('registry')}, known AS (SELECT * FROM registry WHERE has_metadata)
+SELECT package_id, 'empty_description' AS pattern_id, CAST(10 AS INT) AS severity, coalesce(summary, '') AS evidence FROM known WHERE length(trim(coalesce(summary, ''))) < 10
+UNION ALL SELECT package_id, 'no_maintainer', 20, '' FROM known WHERE trim(coalesce(author, '')) = '' AND trim(coalesce(author_email, '')) = ''
+UNION ALL SELECT package_id, 'no_project_urls', 10, '' FROM known WHERE NOT has_urls AND trim(coalesce(home_page, '')) = ''""")
+def _(spark, sf_dir):
+    return metadata.checks(registry_rows(spark, sf_dir), AS_OF).select("package_id", "pattern_id", "severity", "evidence")
+
+
+@query("package_age", f"""WITH {derived_sql('moments')}, a AS (SELECT package_id, CAST(floor(epoch_us(TIMESTAMP '1998-08-20 00:00:00' - CAST(upload_time AS TIMESTAMP)) / 86400000000) AS BIGINT) AS days FROM moments)
+SELECT package_id, days, CAST(CASE WHEN days <= 7 THEN 40 WHEN days <= 30 THEN 20 END AS INT) AS severity FROM a""")
+def _(spark, sf_dir):
+    days = metadata.age_days(metadata.created_at(F.col("upload_time")), F.lit(AS_OF))
+    rows = derive("moments", spark, sf_dir).select("package_id", days.alias("days"))
+    return rows.withColumn("severity", metadata.age_severity(F.col("days")))
+
+
+def nations(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"))
+
+
+TYPO_SQL = f"""WITH {derived_sql('names')}, own AS (SELECT DISTINCT name, replace(lower(name), '_', '-') AS folded FROM names WHERE length(name) >= 4),
+known AS (SELECT DISTINCT replace(lower(n_name), '_', '-') AS "similar" FROM nation),
+pair AS (SELECT name, "similar", CAST(levenshtein(folded, "similar") AS INT) AS distance FROM own, known WHERE levenshtein(folded, "similar") <= 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, "similar") AS rk FROM pair)"""
+
+
+@query("typosquat_top1", TYPO_SQL + ' SELECT name, "similar", distance FROM best WHERE rk = 1 AND distance > 0')
+def _(spark, sf_dir):
+    return similarity.closest_popular(derive("names", spark, sf_dir), nations(spark, sf_dir))
+
+
+@query("typosquat_findings", TYPO_SQL + " SELECT package_id, CAST(CASE distance WHEN 1 THEN 80 ELSE 40 END AS INT) AS severity, name || ' is ' || CAST(distance AS STRING) || ' from ' || \"similar\" AS evidence FROM names JOIN best USING (name) WHERE rk = 1 AND distance > 0")
+def _(spark, sf_dir):
+    return similarity.lookalike_findings(derive("names", spark, sf_dir), nations(spark, sf_dir)).select("package_id", "severity", "evidence")
+
+
+# ---- traces ----
+
+CANARIES_SQL = "[" + ", ".join(map(quoted, files_source.CANARIES)) + "]"
+BASES_SQL = "[" + ", ".join(quoted(c.rsplit("/", 1)[-1]) for c in files_source.CANARIES) + "]"
+
+
+def first_seen(kind: str, value_sql: str) -> str:
+    return f"WITH {derived_sql('trace')}, v AS (SELECT package_id, line_no, {value_sql} AS value FROM trace) SELECT package_id, min(line_no) AS line_no, '{kind}' AS kind, value FROM v WHERE value IS NOT NULL AND value <> '' GROUP BY package_id, value"
+
+
+TRACE_SQL = {
+    "canary": f"list_filter(range(1, {len(files_source.CANARIES) + 1}), lambda i: contains(line, 'open') AND regexp_extract(line, {quoted(trace.OPENED)}, 1) <> '' AND (contains(regexp_extract(line, {quoted(trace.OPENED)}, 1), {CANARIES_SQL}[i]) OR ends_with(regexp_extract(line, {quoted(trace.OPENED)}, 1), {BASES_SQL}[i])))",
+    "connect": f"CASE WHEN contains(line, 'connect(') AND regexp_extract(line, {quoted(trace.ADDRESS)}, 1) NOT IN ('', '127.0.0.1', '::1', '0.0.0.0') AND regexp_extract(line, {quoted(trace.PORT)}, 1) <> '' THEN regexp_extract(line, {quoted(trace.ADDRESS)}, 1) || ':' || regexp_extract(line, {quoted(trace.PORT)}, 1) END",
+    "exec": f"CASE WHEN contains(line, 'execve(') AND NOT list_bool_or(list_transform({list(trace.EXPECTED_BINARIES)}, lambda p: starts_with(regexp_extract(line, {quoted(trace.STARTED)}, 1), p))) THEN regexp_extract(line, {quoted(trace.STARTED)}, 1) END",
+}
+TRACE_SQL["canary"] = f"{CANARIES_SQL}[{TRACE_SQL['canary']}[1]]"
+
+for _kind, _value in (("connect", trace.endpoint_of), ("exec", trace.binary_of), ("canary", lambda line: trace.canary_of(line, list(files_source.CANARIES)))):
+    query(f"trace_{_kind}", first_seen(_kind, TRACE_SQL[_kind]))(lambda spark, sf_dir, k=_kind, v=_value: trace.first_seen(derive("trace", spark, sf_dir), k, v(F.col("line"))))
+
+
+@query("trace_findings", " UNION ALL ".join(
+    f"SELECT package_id, line_no AS finding_seq, '{name}' AS pattern_id, CAST({S.SEVERITIES[trace.KINDS[name][1]]} AS INT) AS severity, value AS evidence FROM ({ORACLES['trace_' + kind]})"
+    for kind, name in (("canary", "honeypot_access"), ("connect", "runtime_network_connect"), ("exec", "runtime_subprocess"))
+))
+def _(spark, sf_dir):
+    return trace.parse(derive("trace", spark, sf_dir), list(files_source.CANARIES)).select("package_id", "finding_seq", "pattern_id", "severity", "evidence")
+
+
+# ---- fetching ----
+
+
+@query("specifier_parse", f"WITH {derived_sql('specifiers')} SELECT p_partkey, lower(trim(split_part(spec, '==', 1))) AS name, CASE WHEN contains(spec, '==') THEN trim(substr(spec, instr(spec, '==') + 2)) END AS version FROM specifiers")
+def _(spark, sf_dir):
+    return derive("specifiers", spark, sf_dir).select("p_partkey", T.specifier_name(F.col("spec")).alias("name"), T.specifier_version(F.col("spec")).alias("version"))
+
+
+@query("dist_choice", f"""WITH {derived_sql('distributions')}, r AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY CASE packagetype WHEN 'sdist' THEN 0 ELSE 1 END, ordinal, url) AS rk FROM distributions)
+SELECT package_id, url, CASE WHEN status = 404 THEN 'not found' WHEN status >= 400 THEN 'registry answered ' || CAST(status AS STRING) WHEN size > {fetch.MAX_DOWNLOAD} THEN 'too large; raise the limit to fetch it' END AS error FROM r WHERE rk = 1""")
+def _(spark, sf_dir):
+    rows = derive("distributions", spark, sf_dir)
+    file = F.struct("packagetype", "url", F.lit(None).cast("string").alias("filename"), "size", F.lit(None).cast("struct<sha256:string>").alias("digests"))
+    grouped = rows.groupBy("package_id", "in_urls", "status").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", file.alias("file")))), lambda x: x["file"]).alias("files"))
+    urls = F.when(F.col("in_urls"), F.col("files")).otherwise(F.array().cast(f"array<{fetch.FILE}>"))
+    picked = grouped.withColumn("file", fetch.chosen_file(urls, F.create_map(F.lit("1.0"), F.col("files")), F.lit("1.0")))
+    return picked.select("package_id", "file.url", fetch.fetch_error(F.col("file"), F.col("status")).alias("error"))
+
+
+@query("skip_notices", f"SELECT package_id, 'skipped ' || CAST(package_id AS STRING) || ': ' || error AS notice FROM ({ORACLES['dist_choice']}) WHERE error IS NOT NULL")
+def _(spark, sf_dir):
+    return report.skipped(QUERIES["dist_choice"](spark, sf_dir).where("error is not null"))
+
+
+@query("sha_verify", "SELECT doc_id, doc_id % 5 <> 0 AS intact FROM documents")
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stated = F.when(F.col("doc_id") % 5 == 0, F.lit("0" * 64)).otherwise(F.sha2(F.col("text"), 256))
+    return docs.select("doc_id", fetch.intact(F.col("text").cast("binary"), stated).alias("intact"))
+
+
+@query("registry_json", "SELECT event_id, CAST(user_id AS STRING) AS version, event_type AS summary, CASE WHEN event_id % 3 = 0 THEN 'sdist' ELSE 'bdist_wheel' END AS packagetype FROM events")
+def _(spark, sf_dir):
+    body = F.concat(
+        F.lit('{"info":{"version":"'), F.col("user_id").cast("string"), F.lit('","summary":"'), "event_type", F.lit('"},"urls":[{"packagetype":"bdist_wheel"}'),
+        F.when(F.col("event_id") % 3 == 0, F.lit(',{"packagetype":"sdist"}')).otherwise(F.lit("")), F.lit("]}"),
+    )
+    parsed = fetch.answers(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", body.alias("body")))
+    a = F.col("answer")
+    return parsed.select("event_id", a["info"]["version"].alias("version"), a["info"]["summary"].alias("summary"), fetch.chosen_file(a["urls"], a["releases"], a["info"]["version"])["packagetype"].alias("packagetype"))
+
+
+@query("module_resolve", f"""WITH {derived_sql('folders')}, able AS (SELECT *, CASE WHEN lower(folder) = replace(lower(package_name), '-', '_') THEN 0 ELSE 1 END AS other FROM folders WHERE has_init),
+r AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY other, folder) AS rk FROM able WHERE other = 0 OR lower(folder) NOT IN ({', '.join(map(quoted, files_source.NO_MODULE_FOLDERS))})) SELECT package_id, folder AS module FROM r WHERE rk = 1""")
+def _(spark, sf_dir):
+    return files_source.resolve_module(derive("folders", spark, sf_dir))
