@@ -56,11 +56,11 @@ def layer_status(packages: DataFrame, files: DataFrame, lines: DataFrame | None
 
 
 def main(spark: SparkSession, root: str) -> int:
-    """Scan ``root/<package>/...``, print the reports, and give the exit code."""
-    from ..sources.files import read_tree
+    """Scan the local folders ``root/<package>/...``, print the reports, and give the exit code."""
+    from ..sources.files import read_local
     from .report import reports
 
-    found, judged = scan(read_tree(spark, root))
+    found, judged = scan(read_local(spark, root))
     found, judged = found.cache(), judged.cache()
     for row in reports(judged, found).orderBy("package_id").toLocalIterator():
         print(row.report)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py"
     """Files below ``root/<package_id>/...`` as package_id, package_name, rel_path and content.
 
     The glob and the length filter reach the file listing, so other files are never opened.
+    Spark's file sources pass over names that begin with ``_`` or ``.``, ``__init__.py`` among
+    them: packages that have these come as archives (``registry.expand``) or as a table.
     """
     glob = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -26,9 +30,17 @@ def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py"
     return kept.select(package.alias("package_id"), package.alias("package_name"), F.expr("substring(below, instr(below, '/') + 1)").alias("rel_path"), "content")
 
 
+def read_local(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py", ".pyx", ".pyi")) -> DataFrame:
+    """The same, hidden names included, for the few packages of a folder on the driver's own disk."""
+    base = Path(root)
+    found = (p for p in sorted(base.rglob("*")) if p.suffix.lower() in suffixes and p.is_file() and p.stat().st_size <= MAX_FILE_BYTES)
+    rows = [(*([p.relative_to(base).parts[0]] * 2), "/".join(p.relative_to(base).parts[1:]), bytearray(p.read_bytes())) for p in found]
+    return spark.createDataFrame(rows, "package_id string, package_name string, rel_path string, content binary")
+
+
 def read_traces(spark: SparkSession, root: str) -> DataFrame:
     """Trace logs ``root/<package_id>.log`` as package_id, line_no and line; lines keep the order of their file."""
-    rows = spark.read.option("wholetext", True).text(root).select(F.input_file_name().alias("path"), "value")
+    rows = spark.read.text(root, wholetext=True).select(F.input_file_name().alias("path"), "value")
     package = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
     return rows.select(package.alias("package_id"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).select("package_id", (F.col("at") + 1).cast("long").alias("line_no"), "line").where("line <> ''")
 
