@@ -93,7 +93,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: fl
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no leak."""
     found = small(stash(leaks(docs, items).select("key").distinct()).withColumnRenamed("key", "leak"))
-    return docs.join(found, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("leak"), "left_anti")
+    return docs.join(found, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == found["leak"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 10: exact fingerprints of canonical texts, in DataFrame operations only.
 
-The canonical text is in Unicode normal form C, case-folded, with every run of
-white space as one space and none at the ends. Its fingerprint is a wide xxhash:
+The canonical text is in Unicode normal form C and lower case (sharp s as ss, final
+sigma as sigma), with every run of white space as one space and none at the ends. Its fingerprint is a wide xxhash:
 two 64-bit hashes with different seeds, as 32 hexadecimal digits. Documents are
 grouped by fingerprint; inside groups of equal fingerprints the canonical texts
 themselves are compared, and should they differ, a digest of the text parts them.
@@ -108,7 +108,8 @@ def composed(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.upper(composed(text))), SPACES, " "))
+    folded = F.replace(F.replace(F.lower(composed(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.trim(F.regexp_replace(folded, SPACES, " "))
 
 
 def hashes(canon: Column) -> tuple[Column, Column]:

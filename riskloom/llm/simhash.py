@@ -191,7 +191,7 @@ def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     gone = stash(near_duplicates(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

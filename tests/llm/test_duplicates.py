@@ -1,0 +1,253 @@
+"""Operators 2, 4, 7 and 10 against brute force."""
+
+import hashlib
+import random
+import re
+import unicodedata
+
+import numpy as np
+import xxhash
+from pyspark.sql import functions as F
+
+from riskloom.llm import decontaminate, fingerprint, simhash, substring
+
+from ..checks import same
+from .conftest import EDGES, by_id
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# ---- substrings ----
+
+
+def without_repeats(docs, window=substring.WINDOW):
+    first, out = {}, {}
+    for i, t in sorted(docs):
+        w, own = words(t), set()
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            s = tuple(w[k : k + window])
+            own.add(s)
+            if s in first:
+                gone[k : k + window] = [True] * window
+        for s in own:
+            first.setdefault(s, i)
+        out[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return out
+
+
+def test_substrings_of_the_corpus(spark, sf, texts):
+    got = by_id(substring.query(spark, sf))
+    for i, (n, gone, kept) in without_repeats(texts.items()).items():
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, gone, sha(kept))
+
+
+def test_substrings_of_runs_periods_and_shared_passages(spark):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefg") for _ in range(300)] for _ in range(4)]
+    docs = []
+    for i in range(140):
+        x = list(base[i % 4])
+        match i % 7:
+            case 0: x = x[: rng.randint(40, 300)]
+            case 1: x[rng.randint(0, 299)] = "zz"
+            case 2: x = ["q"] * rng.randint(1, 120) + x[100:200]
+            case 3: x = ["p"] * rng.randint(1, 200)
+            case 4: x = ["a", "b"] * rng.randint(10, 90) + x[:60]
+            case 5: x = x[50:130] + x[50:130]
+            case 6: x = ["r"] * rng.randint(0, 60) + x[rng.randint(0, 99) :] + ["r"] * rng.randint(0, 60)
+        docs.append((i, "\n".join(x)))
+    got = by_id(substring.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)))
+    assert {i: (r.n_words, r.n_removed, r.kept) for i, r in got.items()} == without_repeats(docs)
+
+
+def test_substring_edges(edges, empty):
+    got = substring.dedup(edges).collect()
+    assert len(got) == len(EDGES)
+    found = {r.doc_id: r.n_removed for r in got}
+    assert found[5] == 0 and found[6] == 120_000 and found[8] == 0 and found[9] == 400 and found[3] == 0
+    assert substring.dedup(empty).count() == 0
+
+
+# ---- SimHash ----
+
+
+def slow_simhash(text, width=3):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    s = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(prints):
+    ids = sorted(prints)
+    f, parent = np.array([prints[i] for i in ids], np.uint64), list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]) <= 3).tolist():
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    return {d: ids[find(k)] for k, d in enumerate(ids)}
+
+
+def test_simhash_of_the_corpus(spark, sf, texts):
+    got = by_id(simhash.query(spark, sf))
+    expected = {i: slow_simhash(t) for i, t in texts.items()}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == expected
+    assert {i: r.component_id for i, r in got.items()} == slow_components(expected)
+
+
+def test_links_of_dense_and_chained_fingerprints(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.integers(0, 1 << 63, 6, np.uint64)
+    prints = []
+    for c in centre:
+        for _ in range(90):
+            x = c
+            for b in rng.integers(0, 64, rng.integers(0, 6)):
+                x ^= np.uint64(1) << np.uint64(b)
+            prints.append(x)
+    x = np.uint64(12345)
+    for _ in range(40):  # a chain, three bits at each step
+        for b in rng.choice(64, 3, replace=False):
+            x ^= np.uint64(1) << np.uint64(b)
+        prints.append(x)
+    known = {i: int(p) for i, p in enumerate(dict.fromkeys(prints))}
+    rows = spark.createDataFrame([(i, int(np.uint64(p).view(np.int64))) for i, p in known.items()], "doc_id long, f long")
+    got = simhash.components(simhash.links(rows.select("f"))).collect()
+    parent = {r.u: r.v for r in got}
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(parent.get(r.f, r.f), []).append(r.doc_id)
+    assert {d: min(g) for g in groups.values() for d in g} == slow_components(known)
+
+
+def test_every_link_shares_a_variant():
+    masks = simhash.variant_masks()
+    rng, full = random.Random(2), (1 << 64) - 1
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for k in rng.sample(range(64), rng.randint(0, 3)):
+            b ^= 1 << k
+        variants = lambda x: {(e, (x ^ f) & k & full) for e, k, f in masks}
+        assert variants(a) & variants(b)
+
+
+def test_simhash_edges(edges, empty):
+    got = simhash.near_duplicates(edges).collect()
+    assert len(got) == len(EDGES)
+    assert {r.f for r in got if r.doc_id in (1, 2, 4)} == {0} and {r.component_id for r in got if r.doc_id in (1, 2, 4)} == {1}
+    assert {r.component_id for r in got if r.doc_id in (8, 9)} == {8}
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_first(edges)
+    assert kept.columns == edges.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == 2 and ids.count(3) == 2 and 9 not in ids and 6 not in ids
+
+
+# ---- benchmark leaks ----
+
+
+def test_leaks_equal_sql(spark, sf):
+    same(decontaminate.query(spark, sf), decontaminate.ORACLE, sf)
+
+
+def test_leaks_when_nothing_is_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    same(decontaminate.query(spark, sf), decontaminate.ORACLE, sf)
+
+
+def test_leaks_by_containment(spark, edges, empty):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([1, 3, 5, 12, 30, 64, 200])] + [(50, None), (51, "..."), (None, "Quite  unlike, all the others here!")]
+    docs = []
+    for d in range(60):
+        w = items[d % 7][1].split()
+        for _ in range(d // 15):
+            w[rng.randrange(len(w))] = "changed"
+        docs.append((d, " ".join(rng.choices(vocabulary, k=50)) + " | " + " ".join(w).upper() + " ! " + " ".join(rng.choices(vocabulary, k=5))))
+    docs += [(60, docs[0][1]), (61, None), (None, docs[6][1]), (62, "quite unlike all THE others here")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shared, r.n_shingles) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    expected = {}
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    for i, t in items:
+        w = tokens(t)
+        k = min(5, len(w))
+        own = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if w else set()
+        for d, text in docs:
+            x = tokens(text)
+            shared = len(own & {tuple(x[a : a + k]) for a in range(len(x) - k + 1)})
+            if own and shared >= 0.8 * len(own):
+                expected[d, i] = (shared, len(own))
+    assert got == expected and len(got) > 30
+    assert decontaminate.leaks(empty, table).count() == 0
+    assert decontaminate.leaks(edges, table.where("false")).count() == 0
+    clean = decontaminate.remove(edges.unionByName(edges.where("doc_id = 3").withColumn("text", F.lit(items[4][1]))), table)
+    assert clean.columns == edges.columns and sorted(map(str, (r.doc_id for r in clean.collect()))) == sorted(str(i) for i, _ in EDGES)
+
+
+# ---- fingerprints ----
+
+
+def canonical(text):
+    folded = unicodedata.normalize("NFC", text or "").lower().replace("ß", "ss").replace("ς", "σ")
+    return re.sub(r"[\s\x85\xa0]+", " ", folded).strip(" ")
+
+
+def digest(canon):
+    # the second hash is seeded with the hash of 1
+    seed = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    return f"{xxhash.xxh64_intdigest(canon.encode(), 42):016x}{xxhash.xxh64_intdigest(canon.encode(), seed):016x}"
+
+
+def test_fingerprints_of_the_corpus(spark, sf, texts):
+    got, order = by_id(fingerprint.query(spark, sf)), sorted(texts)
+    copies = {}
+    for i in order:
+        copies.setdefault(canonical(texts[i]), []).append(i)
+    for k, i in enumerate(order):
+        t, after = texts[i], texts[order[(k + 1) % len(order)]]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), sha(edited), digest(canonical(t)), digest(canonical(edited)))
+        assert r.near_edited == float(canonical(t) == canonical(edited)) and r.near_next == float(canonical(t) == canonical(after))
+        assert (r.group_id, r.n_copies) == (copies[canonical(t)][0], len(copies[canonical(t)]))
+
+
+def test_normal_form(spark):
+    given = ["é ạ̇ ạ̇ Å क़ x", "ẹ́z", "́abc", "plain", "क़́", "ÅB́", "a\nb̄́ c", "ệ ế", "q̣̇", "; Ω 豈", ""]
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", fingerprint.composed(F.col("t")).alias("c")).collect()
+    assert [r.c for r in rows] == [unicodedata.normalize("NFC", r.t) for r in rows]
+
+
+def test_differing_texts_of_one_fingerprint_are_parted(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a", 7, 7), (2, "a", 7, 7), (3, "b", 7, 7), (4, "c", 8, 8)], "doc_id long, canon string, high long, low long")
+    got = {(r.high, r.group_id, r.n_copies) for r in fingerprint.groups(rows).collect()}
+    assert got == {(7, 1, 2), (7, 3, 1), (8, 4, 1)}
+
+
+def test_fingerprint_edges(edges, empty):
+    found = fingerprint.fingerprints(edges)
+    rows = fingerprint.with_next(found).collect()
+    assert len(rows) == len(EDGES) and all(r.next_text is not None for r in rows)
+    last = next(r for r in rows if r.doc_id == 10)
+    assert last.next_text == ""  # the first: no doc_id, no text
+    assert len({(r.high, r.low) for r in rows if r.doc_id in (1, 2, 4)}) == 1
+    assert fingerprint.with_next(fingerprint.fingerprints(empty)).count() == 0 and fingerprint.groups(fingerprint.fingerprints(empty)).count() == 0
