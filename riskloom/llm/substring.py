@@ -40,9 +40,6 @@ from .common import slices, stash, table, with_text
 WINDOW = 50
 ROUNDS = 7
 
-#: Documents, and stretches of them, that are broadcast to the texts; beyond it, both sides are shuffled.
-BROADCAST_DOCS, BROADCAST_STRETCHES = 100_000, 500_000
-
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157))
 
@@ -230,11 +227,9 @@ def cut_words(batches):
 
 
 def beside(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """``docs`` with the stretches of each document: by broadcast if these are few."""
+    """``docs`` with the stretches of each document."""
     spans = stash(spans.groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    docs_n, spans_n = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    side = F.broadcast(spans) if docs_n <= BROADCAST_DOCS and spans_n <= BROADCAST_STRETCHES else spans
-    return docs.join(side, ["doc_id", "part"], how).select("doc_id", "part", "text", "spans")
+    return docs.join(spans, ["doc_id", "part"], how).select("doc_id", "part", "text", "spans")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -242,15 +237,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = docs.where("doc_id is not null and length(text) >= 99")  # fifty words and the space between them
     found = stash(found.mapInArrow(find_stretches, "name long, stretch long, doc_id long, part int, first int, last int"))
     shared = found.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("stretch") != F.max("stretch")).alias("several")).where("a < b")
-    shared = stash(found.join(shared.select("name", "several"), "name"))
-    least = shared.groupBy("name", "stretch").agg(F.min("doc_id").alias("least"))
+    # what is aggregated is written before it is joined, so that Spark can split a hot name
+    shared = stash(found.join(stash(shared.select("name", "several")), "name"))
+    least = stash(shared.groupBy("name", "stretch").agg(F.min("doc_id").alias("least")))
     shared = stash(shared.join(least, ["name", "stretch"]).where("several or doc_id > least"))
     whole = shared.where("doc_id > least").select("doc_id", "part", "first", "last")
     # an anchor with several stretches: the windows of the first document of each are compared
     asked = beside(docs, shared.where("doc_id = least").select("doc_id", "part", "first", "last"), "inner")
     windows = stash(asked.mapInArrow(hash_windows, "h1 long, h2 long, doc_id long, part int, at int"))
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    single = windows.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "part", F.col("at").alias("first"), F.col("at").alias("last"))
+    single = windows.join(stash(least.drop("most")), ["h1", "h2"]).where("doc_id > least").select("doc_id", "part", F.col("at").alias("first"), F.col("at").alias("last"))
     return whole.unionByName(single)
 
 
