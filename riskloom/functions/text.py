@@ -16,9 +16,9 @@ def decoded(content: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Array of (line_no, line), from 1; an empty text has none, and a final break opens no line."""
-    parts = F.split(text, LINE_BREAKS)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
+    parts = F.split(F.regexp_replace(text, f"(?:{LINE_BREAKS})\\z", ""), LINE_BREAKS)
+    numbered = F.transform(parts, lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
+    return F.when(text != "", numbered).otherwise(F.array().cast("array<struct<line_no:int,line:string>>"))
 
 
 def stripped(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import AST_SUFFIXES, ast_severity
-from ..functions.text import stripped
+from ..functions.text import lines, stripped
 from ..sources.rules import Rule
 from .regex_scan import readable
 
@@ -68,7 +68,7 @@ def issues_of(text: str) -> tuple[list[dict], str | None]:
 
 def issues(files: DataFrame) -> DataFrame:
     """Source files with their issues and error: the one step that needs Python."""
-    kept = readable(files, AST_SUFFIXES)
+    kept = readable(files, AST_SUFFIXES).withColumn("lines", lines(F.col("text")))
 
     def run(batches):
         kind = pa.list_(pa.struct([("seq", pa.int32()), ("type", pa.string()), ("function", pa.string()), ("line", pa.int32()), ("detail", pa.string())]))

@@ -17,14 +17,13 @@ LINE_BOUND = re.compile(r"[\^$]|\\[AZzbB]|\(\?[=!<]")
 
 
 def readable(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
-    """Source files by suffix and size, as package_id, package_name, rel_path, text and lines.
+    """Source files by suffix and size, as package_id, package_name, rel_path and text.
 
     ``files`` has package_id, package_name, rel_path and content (binary or string).
     """
     size = F.octet_length("content")
     kept = files.where(has_suffix(F.col("rel_path"), suffixes) & (size <= MAX_FILE_BYTES))
-    text = kept.select("package_id", "package_name", "rel_path", decoded(F.col("content")).alias("text"))
-    return text.withColumn("lines", lines(F.col("text")))
+    return kept.select("package_id", "package_name", "rel_path", decoded(F.col("content")).alias("text"))
 
 
 def applies(rule: Rule, package_name: Column, rel_path: Column) -> Column:
@@ -49,20 +48,23 @@ def python_match(rows: Column, pattern: str) -> Column:
     return match(rows)
 
 
-def first_match(patterns: list[tuple[str, str | None]], text: Column, rows: Column) -> Column:
-    """(line_no, line) of the first pattern that matches anywhere, in its first line: pattern order before line order."""
+def first_match(patterns: list[tuple[str, str | None]], text: Column) -> Column:
+    """(line_no, line) of the first pattern that matches anywhere, in its first line: pattern order before line order.
+
+    A text is cut into lines only once a pattern is known to match somewhere in it.
+    """
     tried = []
     for python, java in patterns:
         if java is None:
-            hit = python_match(rows, python)
+            hit = python_match(lines(text), python)
             tried.append(F.when(hit["line_no"].isNotNull(), hit))
             continue
-        hit = F.get(F.filter(rows, _has(java)), F.lit(0))
+        hit = F.get(F.filter(lines(text), has(java)), F.lit(0))
         tried.append(hit if LINE_BOUND.search(python.replace(r"\b", "")) else F.when(text.rlike(java), hit))
     return F.coalesce(*tried)
 
 
-def _has(java: str):
+def has(java: str):
     return lambda x: x["line"].rlike(java)
 
 
@@ -80,22 +82,29 @@ def scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
                 continue  # an invalid expression takes only itself out
         if not patterns:
             continue
-        hit = F.when(applies(rule, F.col("package_name"), F.col("rel_path")), first_match(patterns, F.col("text"), F.col("lines")))
-        parts.append(F.when(hit.isNotNull(), F.struct(
-            F.lit(ordinal).cast("long").alias("ordinal"), F.lit(rule.pattern_id).alias("pattern_id"), F.lit(rule.category).alias("category"),
-            regex_severity(F.lit(rule.severity), F.col("rel_path")).alias("severity"), F.lit(rule.description).alias("description"),
-            stripped(hit["line"]).alias("evidence"), hit["line_no"].cast("int").alias("line_number"),
-        )))
+        hit = F.when(applies(rule, F.col("package_name"), F.col("rel_path")), first_match(patterns, F.col("text")))
+
+        # an array of one: so the match is looked for once, however many of its fields are read
+        parts.append(F.transform(F.array_compact(F.array(hit)), finding_of(rule, ordinal)))
     source = readable(files, REGEX_SUFFIXES)
     if not parts:
-        parts = [F.lit(None).cast("struct<ordinal:bigint,pattern_id:string,category:string,severity:int,description:string,evidence:string,line_number:int>")]
-    found = source.select("package_id", "rel_path", F.inline(F.array_compact(F.array(*parts))))
+        parts = [F.array().cast("array<struct<ordinal:bigint,pattern_id:string,category:string,severity:int,description:string,evidence:string,line_number:int>>")]
+    found = source.select("package_id", "rel_path", F.inline(F.flatten(F.array(*parts))))
     return found.select(
         "package_id", scan_order(F.col("rel_path"), F.col("ordinal")).alias("finding_seq"), "pattern_id", "category", "severity", "description", "evidence",
         F.col("rel_path").alias("source_file"), "line_number", F.lit("static").alias("layer"),
     )
 
 
+def finding_of(rule: Rule, ordinal: int):
+    """The finding of a rule, from the (line_no, line) that it matches."""
+    return lambda h: F.struct(
+        F.lit(ordinal).cast("long").alias("ordinal"), F.lit(rule.pattern_id).alias("pattern_id"), F.lit(rule.category).alias("category"),
+        regex_severity(F.lit(rule.severity), F.col("rel_path")).alias("severity"), F.lit(rule.description).alias("description"),
+        stripped(h["line"]).alias("evidence"), h["line_no"].cast("int").alias("line_number"),
+    )
+
+
 def scan_order(rel_path: Column, ordinal: Column) -> Column:
     """A sequence number that puts files that matter most first, then catalogue order; only for listing."""
     first = file_name(rel_path).isin(*PRIORITY_FILES)
