@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from itertools import accumulate, chain
 
@@ -109,28 +110,66 @@ class Shard:
         return out[lo - int(self.samples[a]) : hi - int(self.samples[a])].astype("<u4")
 
 
+#: Signs that a word may end with, as one piece of their own. An apostrophe may begin a contraction.
+SIGNS = string.punctuation.replace("'", "")
+
+#: Words that go to the tokenizer as one text.
+TOGETHER = 50
+
+
 def encoder(file: str):
     """texts -> packed ids of each. The tokenizer drops white space, so words are looked up one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is enough
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(file)
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+    closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
     # these are white space to Python's split, but not to the tokenizer
     separators = re.compile(r"[\x1c-\x1f]").search
 
-    def packed(chunks):
+    def single(chunks):
         for lo in range(0, len(chunks), 5000):
             for e in tokenizer.encode_batch_fast(chunks[lo : lo + 5000], add_special_tokens=False):
                 yield array("i", e.ids).tobytes()
 
+    def letters(words):
+        """Packed ids of words that are letters only: together, cut where ids end a word."""
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for own, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            cuts = [0, *((np.flatnonzero(closes[ids]) + 1) * 4).tolist()]
+            whole = ids.tobytes()
+            if len(cuts) == len(own) + 1:
+                yield from (whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            else:  # some word is several to the tokenizer
+                yield from single(own)
+
+    def packed(chunks):
+        """Letters and the signs that follow them are separate pieces; anything else is encoded as it stands."""
+        parts = [(x, "") if x.isalpha() else (b, x[len(b) :]) if (b := x.rstrip(SIGNS)).isalpha() else (None, x) for x in chunks]
+        known = {b: got for b, _ in parts if b is not None and (got := memory.young.get(b))}
+        new = list({b for b, _ in parts if b is not None}.difference(known))
+        known.update(zip(new, letters(new), strict=True))
+        rest = list({t for _, t in parts if t})
+        tails = dict(zip(rest, single(rest), strict=True))
+        return [(known[b] if b is not None else b"") + (tails[t] if t else b"") for b, t in parts]
+
     memory = Memory(packed, 300_000)
 
+    # signs next to each other are one piece to the tokenizer
+    adjoining = re.compile(r"(?:[^\w\s]|_){2}").search
+
     def plain(text: str) -> str:
-        # Latin-1 has no characters that composing or context could change; lower case makes more words alike
+        """The text with the same ids, but with fewer distinct words."""
+        # Latin-1 has no characters that composing or context could change
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text
+        if not adjoining(text):  # so a sign by itself may stand by itself
+            text = text.replace(".", " . ").replace(",", " , ")
         return text.lower() if "<|" not in text else text
 
     def run(texts: list[str]) -> list[bytes]:
