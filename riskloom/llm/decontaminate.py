@@ -56,12 +56,18 @@ def item_shingles(items: DataFrame, width: int, containment: float) -> DataFrame
     """item_id, item (its own key), width, n (distinct shingles), shingle, hash and whether the sketch has it."""
     own = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     own = own.dropDuplicates(["item"]).withColumn("width", F.least(F.size("w"), F.lit(width)))
-    wide = F.coalesce(*(F.when(F.col("width") == k, F.arrays_zip(shingles(k, spelt).alias("shingle"), shingles(k, F.xxhash64).alias("hash"))) for k in range(1, width + 1)))
-    own = own.withColumn("s", F.array_distinct(wide)).withColumn("n", F.size("s"))
+    spelled = F.coalesce(*(F.when(F.col("width") == k, shingles(k, spelt)) for k in range(1, width + 1)))
+    own = own.withColumn("s", F.array_distinct(spelled)).withColumn("n", F.size("s"))
     # partition by size: [2^p, 2^(p+1)); its sketch has one more shingle than its largest leak may lack
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     sketch = F.least(F.col("n"), F.floor(largest * (1 - containment) + 1e-9).cast("int") + 1)
-    ranked = F.array_sort(F.transform("s", lambda x: F.struct(F.xxhash64(x["hash"]).alias("rank"), x["hash"].alias("hash"), x["shingle"].alias("shingle"))))
+    hashed = lambda x, k: F.xxhash64(*(F.element_at(F.split(x, " "), j + 1) for j in range(k)))
+
+    def entry(x):
+        h = F.coalesce(*(F.when(F.col("width") == k, hashed(x, k)) for k in range(1, width + 1)))
+        return F.struct(F.xxhash64(h).alias("rank"), h.alias("hash"), x.alias("shingle"))
+
+    ranked = F.array_sort(F.transform("s", entry))
     return own.select("item_id", "item", "width", "n", sketch.alias("sketch"), F.posexplode(ranked).alias("at", "x")).select(
         "item_id", "item", "width", "n", F.col("x.shingle").alias("shingle"), F.col("x.hash").alias("hash"), (F.col("at") < F.col("sketch")).alias("probe")
     )
@@ -81,7 +87,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: fl
 
     spelled = F.flatten(F.array(*(shingles(k, lambda *w: F.struct(F.lit(len(w)).alias("width"), spelt(*w).alias("shingle"))) for k in widths)))
     text = docs.join(small(found), "key", "left_semi").select("doc_id", "key", words(F.col("text")).alias("w"))
-    text = text.select("doc_id", "key", F.explode(F.array_distinct(spelled)).alias("x")).select("doc_id", "key", "x.width", "x.shingle")
+    text = text.select("doc_id", "key", F.explode(spelled).alias("x")).select("doc_id", "key", "x.width", "x.shingle")
     shared = text.join(small(wanted.select("item_id", "item", "width", "n", "shingle")), ["width", "shingle"])
     # equal rows of documents give equal shingles, which count once
     pairs = shared.groupBy("doc_id", "key", "item_id", "item", "n", "shingle").agg(F.lit(1).alias("one")).groupBy("doc_id", "key", "item_id", "item", "n").count()
