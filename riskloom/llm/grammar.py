@@ -113,6 +113,9 @@ class Shard:
 #: Signs that a word may end with, as one piece of their own. An apostrophe may begin a contraction.
 SIGNS = string.punctuation.replace("'", "")
 
+#: White space to Python's split, but not to the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
 #: Words that go to the tokenizer as one text.
 TOGETHER = 50
 
@@ -126,9 +129,6 @@ def encoder(file: str):
     vocabulary = tokenizer.get_vocab()
     closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
     closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-    # these are white space to Python's split, but not to the tokenizer
-    separators = re.compile(r"[\x1c-\x1f]").search
-
     def single(chunks):
         for lo in range(0, len(chunks), 5000):
             for e in tokenizer.encode_batch_fast(chunks[lo : lo + 5000], add_special_tokens=False):
@@ -158,8 +158,8 @@ def encoder(file: str):
 
     memory = Memory(packed, 300_000)
 
-    # signs next to each other are one piece to the tokenizer
-    adjoining = re.compile(r"(?:[^\w\s]|_){2}").search
+    # a point or comma next to another sign: the two are one piece to the tokenizer
+    adjoining = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))").search
 
     def plain(text: str) -> str:
         """The text with the same ids, but with fewer distinct words."""
@@ -168,12 +168,12 @@ def encoder(file: str):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text
-        if not adjoining(text):  # so a sign by itself may stand by itself
+        if not adjoining(text):  # so points and commas may stand by themselves
             text = text.replace(".", " . ").replace(",", " , ")
         return text.lower() if "<|" not in text else text
 
     def run(texts: list[str]) -> list[bytes]:
-        words = [[t] if separators(t) else plain(t).split() for t in texts]
+        words = [[t] if any(c in t for c in SEPARATORS) else plain(t).split() for t in texts]
         known = memory.of(set(chain.from_iterable(words))).__getitem__
         return [b"".join(map(known, w)) for w in words]
 
