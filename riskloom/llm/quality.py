@@ -37,7 +37,7 @@ BITS = 18
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-5
 
 #: Distinct words whose parts a task keeps; the memory is cleared beyond it.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 
 class Features:
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
                             yield done(examples)
                         shard, examples = shards[lo + i], []
                     own = slice(ends[i], ends[i + 1])
-                    examples.append((np.append(f[own], 1 << BITS), np.append(x[own], 1.0), batch.column(0)[lo + i].as_py()))
+                    examples.append((np.append(f[own], 1 << BITS).astype(np.int32), np.append(x[own], 1.0).astype(np.float32), batch.column(0)[lo + i].as_py()))
         if examples:
             yield done(examples)
 
