@@ -1,7 +1,8 @@
 """Corpus cleaning in five stages: quality, near copies, benchmark leaks, secrets, token ids.
 
 Each stage works on all that the one before it kept. Near copies are sought on
-five-word shingles; of each group the document with the smallest doc_id stays.
+five-word shingles: by SimHash, and by a Jaccard similarity of 0.8 or more; of each
+group the document with the smallest doc_id stays.
 Documents with a benchmark leak go. Secrets are replaced in the text, and n_chars
 follows. The last stage gives token ids, and digests of them and of what they
 decode to.

@@ -1,0 +1,233 @@
+"""Links between texts whose word shingles are alike: exact Jaccard similarity of 0.8 or more.
+
+Candidates come from a prefix filter. Every text sorts its distinct shingles in one
+order that holds for all texts and takes the first fifth of them, and one more: two
+texts that are alike share at least one of these. Any total order is complete; here
+shingles that a sample of the texts knows to be common come last, so that a common
+passage does not bring together texts that share nothing else. Sizes, and the
+places of the shared shingle, rule out most of the rest.
+
+A shingle that a few texts share gives their pairs. One that many share stays a
+group, so no rows grow with the square of a group's size. Pairs and groups are
+joined with the whole sets of shingles, and every link is verified by them; a group
+gives only enough links to connect what it connects.
+
+Words are runs of anything but ASCII white space, in lower case. A text of fewer
+words than the width is one shingle. Texts and shingles are known by 64-bit hashes.
+Texts without words (null, empty, blank) link with none.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate, chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import slices, stash, with_text
+from .simhash import BROADCAST_ROWS, SEED, simhash
+
+#: Similarity, as a fraction in whole numbers.
+OVER, UNDER = 4, 5
+
+#: Texts that are sampled for common shingles, times a shingle must be seen in them, and shingles kept.
+SAMPLE_ROWS = 8192
+LEAST_SEEN = 3
+MOST_COMMON = 200_000
+
+#: Texts that share a shingle and are paired; beyond it, they stay one group.
+MOST_PAIRED = 16
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    import xxhash
+
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    if not words:
+        return np.zeros(0, "<u8")
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    k = min(width, len(words))
+    hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(chain((0,), ends), ends[k - 1 :], strict=False)]
+    return np.unique(np.array(hashes, "<u8"))
+
+
+def alike(shared, sizes):
+    """Whether ``shared`` of two sets whose sizes add up to ``sizes`` are enough."""
+    return (OVER + UNDER) * shared >= OVER * sizes
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts often has, sorted, and how often."""
+    one_of = max(1, texts.count() // SAMPLE_ROWS)
+    sample = texts.where(F.pmod("id", F.lit(one_of)) == 0).dropDuplicates(["id"])
+
+    def run(batches):
+        for batch in batches:
+            for t in with_text(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view("<i8"))], names=["h"])
+
+    seen = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    kept = seen.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()  # MOST_COMMON rows at most
+    h, n = kept["h"].to_numpy().view("<u8"), kept["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(texts: DataFrame, width: int) -> DataFrame:
+    """h, id, n (distinct shingles) and at (its place) of the shingles by which a text is sought."""
+    common, seen = common_shingles(texts, width)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            texts = with_text(batch)
+            for lo, hi in slices([len(t) for t in texts]):
+                hs, own, ns, ats = [], [], [], []
+                for i in range(lo, hi):
+                    h = shingle_set(texts[i], width)
+                    n = len(h)
+                    if not n:
+                        continue
+                    if len(common):
+                        where = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                        rank = np.where(common[where] == h, seen[where], 0)
+                        h = h[np.argsort(rank, kind="stable")]
+                    k = n - -(-OVER * n // UNDER) + 1
+                    hs.append(h[:k].view("<i8"))
+                    own.append(np.full(k, ids[i]))
+                    ns.append(np.full(k, n, np.int32))
+                    ats.append(np.arange(k, dtype=np.int32))
+                if hs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, own, ns, ats)], names=["h", "id", "n", "at"])
+
+    return texts.mapInArrow(run, "h long, id long, n int, at int")
+
+
+def whole_groups(batches, keys: int):
+    """Batches of rows sorted by their first ``keys`` columns, cut where a key ends."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        if not len(rows):
+            continue
+        last = np.zeros(len(rows), bool)
+        for c in range(keys):
+            k = rows.column(c).to_numpy()
+            last |= k != k[-1]
+        last = np.flatnonzero(last)
+        cut = int(last[-1]) + 1 if len(last) else 0
+        rest = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def starts(*keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def candidates(batches):
+    """x, y and id: members of pairs (x and y are their ids) and of groups (x is the shingle), from rows sorted by h and id."""
+    for rows in whole_groups(batches, 1):
+        h, ids, n, at = (c.to_numpy() for c in rows.columns)
+        one = starts(h, ids)  # equal texts count once
+        h, ids, n, at = h[one], ids[one], n[one].astype(np.int64), at[one]
+        first = starts(h)
+        size = np.diff(np.append(first, len(h)))
+        xs, ys, own = [], [], []
+        for m in range(2, MOST_PAIRED + 1):
+            begin = first[size == m]
+            for i in range(m if len(begin) else 0):
+                for j in range(i + 1, m):
+                    a, b = begin + i, begin + j
+                    possible = alike(np.minimum(n[a] - at[a], n[b] - at[b]), n[a] + n[b])
+                    a, b = ids[a[possible]], ids[b[possible]]
+                    xs += [a, a]
+                    ys += [b, b]
+                    own += [a, b]
+        for a, m in zip(first[size > MOST_PAIRED].tolist(), size[size > MOST_PAIRED].tolist(), strict=True):
+            by = a + np.argsort(n[a : a + m], kind="stable")
+            near = OVER * n[by[1:]] <= UNDER * n[by[:-1]]
+            kept = by[np.append(near, False) | np.append(False, near)]
+            xs.append(np.full(len(kept), h[a]))
+            ys.append(np.zeros(len(kept), np.int64))
+            own.append(ids[kept])
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (xs, ys, own)], names=["x", "y", "id"])
+
+
+def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect just what alike sets connect."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        return [(0, 1)] if alike(len(np.intersect1d(*sets, assume_unique=True)), sizes.sum()) else []
+    left, found, front, built = np.ones(len(sets), bool), [], [], None
+    while left.any():
+        if built is None or 2 * left.sum() < len(built):
+            # which of the sets that are left have a shingle
+            built = np.flatnonzero(left)
+            every = np.concatenate([sets[i] for i in built])
+            order = np.argsort(every, kind="stable")
+            every, holders = every[order], np.repeat(built, sizes[built])[order]
+        if not front:
+            front = [int(np.argmax(left))]
+            left[front[0]] = False
+        a = front.pop()
+        lo, hi = np.searchsorted(every, sets[a], "left"), np.searchsorted(every, sets[a], "right")
+        meets = np.concatenate([holders[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)])
+        shared = np.bincount(meets, minlength=len(sets))
+        hit = np.flatnonzero(left & alike(shared, sizes + sizes[a])).tolist()
+        found += [(a, b) for b in hit]
+        left[hit] = False
+        front += hit
+    return found
+
+
+def verified(batches):
+    """Links u > v of fingerprints, from rows (x, y, f, set) sorted by x and y."""
+    for rows in whole_groups(batches, 2):
+        x, y, f = (rows.column(c).to_numpy() for c in range(3))
+        sets = [np.frombuffer(s, "<u8") for s in rows.column(3).to_pylist()]
+        first = starts(x, y).tolist()
+        links = [(f[a + i], f[a + j]) for a, b in zip(first, [*first[1:], len(x)], strict=True) if b - a > 1 for i, j in spanning(sets[a:b])]
+        links = sorted({(max(p), min(p)) for p in links if p[0] != p[1]})
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """id, f (the SimHash fingerprint) and set of texts."""
+
+    def run(batches):
+        for batch in batches:
+            texts = with_text(batch)
+            for lo, hi in slices([len(t) for t in texts]):
+                f = simhash(texts[lo:hi], width).view("<i8")
+                sets = [shingle_set(t, width).tobytes() for t in texts[lo:hi]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(f, pa.int64()), pa.array(sets, pa.binary())], names=["id", "f", "set"])
+
+    return texts.mapInArrow(run, "id long, f long, set binary")
+
+
+def links(docs: DataFrame, width: int) -> DataFrame:
+    """Links u > v of the SimHash fingerprints of texts that are alike but have different ones."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("id"), F.col("text").cast("string").alias("text"))
+    rows = prefixes(texts, width).repartition(parts, "h").sortWithinPartitions("h", "id")
+    found = stash(rows.mapInArrow(candidates, "x long, y long, id long").distinct())
+    wanted = stash(found.select("id").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = stash(whole_sets(texts.join(wanted, "id", "left_semi"), width)).dropDuplicates(["id"])
+    members = found.join(sets, "id").select("x", "y", "f", "set")
+    members = members.repartition(parts, "x", "y").sortWithinPartitions("x", "y")
+    return members.mapInArrow(verified, "u long, v long").distinct()

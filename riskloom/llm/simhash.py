@@ -171,11 +171,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, f and component_id (its smallest doc_id) of every row."""
+def near_duplicates(docs: DataFrame, width: int = WIDTH, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, f and component_id (its smallest doc_id) of every row.
+
+    ``more`` has further links u > v between fingerprints.
+    """
     found = stash(fingerprints(docs, width))
     distinct = stash(found.groupBy("f").agg(F.min("doc_id").alias("first")))
-    linked = components(links(distinct.select("f")))
+    near = links(distinct.select("f"))
+    linked = components(near if more is None else near.unionByName(more).distinct())
     nodes = linked.select(F.col("u").alias("f"), F.col("v").alias("root")).unionByName(linked.select(F.col("v").alias("f"), F.col("v").alias("root")).distinct())
     nodes = stash(nodes.join(distinct, "f"))
     least = nodes.groupBy("root").agg(F.min("first").alias("least"))
@@ -187,9 +191,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, but those with a smaller doc_id in their component.
 
-    Rows without doc_id stay.
+    Components are of links by SimHash and by the Jaccard similarity of shingles. Rows without doc_id stay.
     """
-    gone = stash(near_duplicates(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    from . import shingles
+
+    gone = stash(near_duplicates(docs, width, shingles.links(docs, width)).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
