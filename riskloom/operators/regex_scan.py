@@ -16,13 +16,14 @@ from ..sources.rules import Rule, java_pattern
 LINE_BOUND = re.compile(r"[\^$]|\\[AZzbB]|\(\?[=!<]")
 
 
-def readable(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+def readable(files: DataFrame, suffixes: tuple[str, ...], most_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """Source files by suffix and size, as package_id, package_name, rel_path and text.
 
     ``files`` has package_id, package_name, rel_path and content (binary or string).
+    ``most_bytes`` None takes files of any size.
     """
-    size = F.octet_length("content")
-    kept = files.where(has_suffix(F.col("rel_path"), suffixes) & (size <= MAX_FILE_BYTES))
+    kept = files.where(has_suffix(F.col("rel_path"), suffixes))
+    kept = kept if most_bytes is None else kept.where(F.octet_length("content") <= most_bytes)
     return kept.select("package_id", "package_name", "rel_path", decoded(F.col("content")).alias("text"))
 
 
@@ -68,7 +69,7 @@ def has(java: str):
     return lambda x: x["line"].rlike(java)
 
 
-def scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule], most_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """Findings of regex rules: at most one for each rule and file."""
     spark = files.sparkSession
     active = [r for r in rules if r.type == "regex" and r.target == "source"]
@@ -86,7 +87,7 @@ def scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
         # an array of one: so the match is looked for once, however many of its fields are read
         parts.append(F.transform(F.array_compact(F.array(hit)), finding_of(rule, ordinal)))
-    source = readable(files, REGEX_SUFFIXES)
+    source = readable(files, REGEX_SUFFIXES, most_bytes)
     if not parts:
         parts = [F.array().cast("array<struct<ordinal:bigint,pattern_id:string,category:string,severity:int,description:string,evidence:string,line_number:int>>")]
     found = source.select("package_id", "rel_path", F.inline(F.flatten(F.array(*parts))))

@@ -281,7 +281,7 @@ def lines_sql(table: str, key: str, text: str) -> str:
 @query("doc_rule_scan", regex_oracle(lines_sql("documents", "doc_id", "text"), TEXT_RULES))
 def _(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("package_id"), F.lit("corpus").alias("package_name"), F.lit("text.py").alias("rel_path"), F.col("text").alias("content"))
-    return regex_scan.scan(docs, TEXT_RULES).select(FOUND)
+    return regex_scan.scan(docs, TEXT_RULES, most_bytes=None).select(FOUND)
 
 
 PAGE_RULES = [catalogue.Rule("inline_script", "web", 20, "A script in the page", rules=({"pattern": r"<script"},)), catalogue.Rule("outside_link", "web", 10, "A link elsewhere", rules=({"pattern": r"href=\"https?://"}, {"pattern": "<a "}))]
@@ -290,12 +290,12 @@ PAGE_RULES = [catalogue.Rule("inline_script", "web", 20, "A script in the page",
 @query("page_rule_scan", regex_oracle(lines_sql("pages", "page_id", "html"), PAGE_RULES))
 def _(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("package_id"), F.lit("corpus").alias("package_name"), F.lit("text.py").alias("rel_path"), F.col("html").alias("content"))
-    return regex_scan.scan(pages, PAGE_RULES).select(FOUND)
+    return regex_scan.scan(pages, PAGE_RULES, most_bytes=None).select(FOUND)
 
 
 @query("line_split", f"WITH {lines_sql('documents', 'doc_id', 'text')} SELECT package_id AS doc_id, count(*) AS n_lines, CAST(max(length(line)) AS BIGINT) AS longest FROM lines GROUP BY package_id")
 def _(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.octet_length("text") <= S.MAX_FILE_BYTES).select("doc_id", T.lines(T.decoded(F.col("text").cast("binary"))).alias("l"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.lines(T.decoded(F.col("text").cast("binary"))).alias("l"))
     return docs.where(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n_lines"), F.array_max(F.transform("l", lambda x: F.char_length(x["line"]))).cast("long").alias("longest"))
 
 
