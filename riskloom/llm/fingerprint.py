@@ -8,7 +8,7 @@ themselves are compared, and should they differ, a digest of the text parts them
 
 Normal form C is computed by expressions from the Unicode data of the driver's
 Python, on the texts that can need it (with combining marks or characters that the
-form replaces); Hangul jamo stay as they are.
+form replaces); Hangul jamo are joined by their numbers.
 
 Defined results: a null text counts as empty; an empty or blank text has the
 fingerprint of the empty text; rows are ordered by doc_id (null first), equal
@@ -80,31 +80,53 @@ def composed(text: Column) -> Column:
     t = F.aggregate(F.map_keys(as_map(several)), t, lambda acc, c: F.when(F.contains(acc, c), F.replace(acc, c, F.try_element_at(as_map(several), c))).otherwise(acc))
 
     def compose(segment: Column) -> Column:
-        # apart, marks in order of their class, then together again from the left
-        base = F.substring(segment, 1, 1)
-        chars = F.split(F.concat(F.coalesce(F.try_element_at(apart_of, base), base), F.substr(segment, F.lit(2))), "")
+        # apart, marks in order of their class between those of class 0, then together again from the left
+        chars = F.split(F.array_join(F.transform(F.split(segment, ""), lambda c: F.coalesce(F.try_element_at(apart_of, c), c)), ""), "")
+        headless = F.try_element_at(class_of, F.element_at(chars, 1)).isNotNull()
         marks = F.transform(
-            F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))),
-            lambda c, i: F.struct(F.coalesce(F.try_element_at(class_of, c).cast("int"), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")),
+            F.when(headless, chars).otherwise(F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0)))),
+            lambda c, i: F.struct(F.lit(0).alias("g"), F.coalesce(F.try_element_at(class_of, c).cast("int"), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")),
         )
-        marks = F.when(F.exists(marks, lambda m: m["k"] == 0), marks).otherwise(F.array_sort(marks))
-        start = F.struct(F.element_at(chars, 1).alias("base"), F.lit("").alias("rest"), F.lit(-1).alias("last"))
+
+        def sorted_in_stretches(marks):
+            stretch = lambda m: F.size(F.filter(marks, lambda x: (x["k"] == 0) & (x["i"] <= m["i"])))
+            return F.array_sort(F.transform(marks, lambda m: F.struct(stretch(m).alias("g"), m["k"].alias("k"), m["i"].alias("i"), m["c"].alias("c"))))
+
+        marks = F.when(F.exists(marks, lambda m: m["k"] == 0), sorted_in_stretches(marks)).otherwise(F.array_sort(marks))
+        base = F.when(headless, F.lit("")).otherwise(F.element_at(chars, 1))
+        start = F.struct(F.lit("").alias("done"), base.alias("base"), F.lit("").alias("rest"), F.lit(-1).alias("last"))
 
         def step(acc, m):
             whole = F.when((acc["rest"] == "") | (acc["last"] < m["k"]), F.try_element_at(whole_of, F.concat(acc["base"], m["c"])))
+            begins = whole.isNull() & (m["k"] == 0)  # what follows joins this one
             return F.struct(
-                F.coalesce(whole, acc["base"]).alias("base"),
-                F.when(whole.isNull(), F.concat(acc["rest"], m["c"])).otherwise(acc["rest"]).alias("rest"),
-                F.when(whole.isNull(), m["k"]).otherwise(acc["last"]).alias("last"),
+                F.when(begins, F.concat(acc["done"], acc["base"], acc["rest"])).otherwise(acc["done"]).alias("done"),
+                F.when(begins, m["c"]).otherwise(F.coalesce(whole, acc["base"])).alias("base"),
+                F.when(begins, F.lit("")).when(whole.isNull(), F.concat(acc["rest"], m["c"])).otherwise(acc["rest"]).alias("rest"),
+                F.when(begins, F.lit(-1)).when(whole.isNull(), m["k"]).otherwise(acc["last"]).alias("last"),
             )
 
-        return F.aggregate(marks, start, step, lambda acc: F.concat(acc["base"], acc["rest"]))
+        return F.aggregate(marks, start, step, lambda acc: F.concat(acc["done"], acc["base"], acc["rest"]))
 
     segments = F.regexp_extract_all(t, F.lit(r"(?s)\P{M}+(?=\P{M}|\z)|\P{M}?\p{M}+"), F.lit(0))
     joined = F.array_join(F.transform(segments, lambda s: F.when(s.rlike(r"\p{M}"), compose(s)).otherwise(s)), "")
     # no mark and no replaced character comes before U+0300, which one range tells fast
     needs = text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(rf"[\p{{M}}{character_class(replaced)}]")
-    return F.when(needs, joined).otherwise(text)
+    return with_syllables(F.when(needs, joined).otherwise(text))
+
+
+def with_syllables(text: Column) -> Column:
+    """``text`` with adjoining Hangul jamo joined to syllables, by their numbers."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]|[^\x{1100}-\x{1112}\x{AC00}-\x{D7A3}]+|."), F.lit(0))
+
+    def join(piece: Column) -> Column:
+        at = lambda i, least: F.ascii(F.substring(piece, i, 1)) - least
+        from_jamo = 0xAC00 + (at(1, 0x1100) * 21 + at(2, 0x1161)) * 28 + F.when(F.char_length(piece) == 3, at(3, 0x11A7)).otherwise(F.lit(0))
+        code = F.when(piece.rlike(r"^[\x{1100}-\x{1112}][\x{1161}-\x{1175}]"), from_jamo)
+        code = code.when(piece.rlike(r"^[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]") & (at(1, 0xAC00) % 28 == 0), at(1, 0) + at(2, 0x11A7))
+        return F.coalesce(F.decode(F.unhex(F.hex(code)), "UTF-16BE"), piece)
+
+    return F.when(text.rlike(r"[\x{1100}-\x{11FF}]"), F.array_join(F.transform(pieces, join), "")).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
