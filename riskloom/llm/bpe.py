@@ -59,6 +59,20 @@ class Memory:
         self.young.update(zip(new, self.encode(new), strict=True))
         return self.young
 
+    def each(self, chunks: list[str]) -> list[bytes]:
+        """The same for distinct chunks, in their order."""
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, chunks))
+        missing = [c for c, f in zip(chunks, found, strict=True) if f is None]
+        if not missing:
+            return found
+        again = list(map(self.old.get, missing))
+        self.young.update((c, f) for c, f in zip(missing, again, strict=True) if f is not None)
+        new = [c for c, f in zip(missing, again, strict=True) if f is None]
+        self.young.update(zip(new, self.encode(new), strict=True))
+        return list(map(self.young.__getitem__, chunks))
+
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level BPE files."""

@@ -2,23 +2,24 @@
 
 Documents are put in order of doc_id, encoded, and cut into shards of about
 ``SHARD_IDS`` ids. In each shard, rounds of Re-Pair replace the frequent pairs of
-neighbours by new symbols. A shard's file holds the rules, the length that each
-rule expands to, the remaining sequence, and how many ids come before every
-``SAMPLE``-th symbol of it, so that any range of ids is decoded from its own
-symbols alone. Files are rows of a Parquet table: Spark writes and reads them.
+neighbours by new symbols until no pair is frequent. A shard's file holds the rules,
+the length that each rule expands to, the remaining sequence, and how many ids come
+before every ``SAMPLE``-th symbol of it, so that any range of ids is decoded from its
+own symbols alone. Files are rows of a Parquet table: Spark writes and reads them.
 
-File format, little-endian: magic ``RPG1``, then uint32 counts (vocabulary, rules,
-symbols, samples), rules (left, right: uint16 each), lengths (uint32), samples
-(uint32), symbols (uint16).
+File format, little-endian: magic ``RPG2``, then uint32 counts (vocabulary, rules,
+symbols, samples) and the bytes of a symbol (2, or 4 where 2 do not suffice), rules
+(left, right: a symbol each), lengths (uint32), samples (uint32), symbols.
 
 Defined results: a null text counts as empty; an empty text has the end id alone;
-documents are ordered by doc_id (null first), equal ones by text; repeated rows
-are written as often; an empty table gives an empty result. Only ``doc_id`` and
-``text`` are read, so other columns never clash.
+documents are ordered by doc_id (null first), equal ones by a hash of the text, then
+the text; repeated rows are written as often; an empty table gives an empty result.
+Only ``doc_id`` and ``text`` are read, so other columns never clash.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -27,6 +28,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,57 +41,123 @@ END_ID = 2
 SHARD_IDS = 1 << 20
 SAMPLE = 1024
 
-#: Re-Pair: rounds, new symbols in each, and how often a pair must occur in the shard.
-ROUNDS, PER_ROUND, LEAST = 3, 4096, 16
+#: Characters that a task encodes at once: distinct words are looked up once in each.
+TOGETHER_CHARS = 1 << 24
+
+#: Words whose ids are laid out at once, and distinct words in each of the two generations of a process's memory.
+GATHERED = 1 << 18
+KEPT_WORDS = 400_000
+
+#: Times that a round looks for occurrences that still can be replaced; later rounds take the rest.
+SWEEPS = 2
+
+#: A pair is frequent if a shard replaces it this often.
+LEAST = 8
+
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def frequent_pairs(pair: np.ndarray) -> np.ndarray:
+    """Sorted pairs that occur LEAST times or more."""
+    ordered = np.sort(pair)
+    if len(ordered) < LEAST:
+        return ordered[:0]
+    return np.unique(ordered[LEAST - 1 :][ordered[LEAST - 1 :] == ordered[: len(ordered) - LEAST + 1]])
+
+
+def occurrences(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the chosen (sorted) pairs, and which each is."""
+    slot_of = lambda x: (x * ODD >> np.uint64(44)).astype(np.int64)
+    own, every = slot_of(chosen), np.arange(len(chosen), dtype=np.int32)
+    in_slot = np.full(1 << 20, -1, np.int32)
+    in_slot[own] = every
+    in_slot[own[in_slot[own] != every]] = -2  # pairs that share a slot are searched for
+    which = in_slot[slot_of(pair)]
+    at = np.flatnonzero(which != -1)
+    which = which[at]
+    shared = np.flatnonzero(which == -2)
+    which[shared] = np.minimum(np.searchsorted(chosen, pair[at[shared]]), len(chosen) - 1)
+    hit = chosen[which] == pair[at]
+    return at[hit], which[hit]
+
+
+def without_overlaps(at: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """Which of the occurrences are replaced: where two share a symbol, that of the more frequent pair.
+
+    So a passage is cut alike wherever it stands. In a run of one symbol it is every second one from its start.
+    """
+    order = np.empty(n, np.int64)
+    order[np.argsort(np.bincount(which, minlength=n), kind="stable")] = np.arange(n)
+    same = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (which[1:] == which[:-1])])
+    left = np.flatnonzero((np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))) % 2 == 0)
+    kept = np.zeros(len(at), bool)
+    for _ in range(SWEEPS):
+        a, rank = at[left], order[which[left]]
+        meets = a[1:] == a[:-1] + 1
+        lower = meets & (rank[1:] > rank[:-1]), meets & (rank[1:] < rank[:-1])
+        best = ~(np.append(lower[0], False) | np.append(False, lower[1]))
+        kept[left[best]] = True
+        beside = np.append(meets & best[1:], False) | np.append(False, meets & best[:-1])
+        left = left[~best & ~beside]
+        if not len(left):
+            break
+    return kept
 
 
 def compress(ids: np.ndarray, vocabulary: int) -> bytes:
-    """The file of one shard. Symbols from ``vocabulary`` on are rules, and all fit 16 bits."""
-    seq = ids.astype(np.int64)
-    rules, length = np.zeros((0, 2), np.int64), np.ones(vocabulary, np.int64)
-    for _ in range(ROUNDS):
-        room = min(PER_ROUND, (1 << 16) - vocabulary - len(rules))
-        pair = seq[:-1] << 16 | seq[1:]
-        ordered = np.sort(pair)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(pair) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(pair)))
-        often = np.flatnonzero(count >= LEAST)
-        if not len(often) or room <= 0:
+    """The file of one shard. Symbols from ``vocabulary`` on are rules."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < vocabulary:
+        raise ValueError(f"ids outside the vocabulary of {vocabulary}")
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
+    maybe = np.arange(max(0, len(seq) - 1))  # places of all pairs that can be frequent
+    while True:
+        pair = seq[maybe].astype(np.uint64) << half | seq[maybe + 1]
+        chosen = frequent_pairs(pair)
+        if not len(chosen):
+            break
+        at, which = occurrences(pair, chosen)
+        at = maybe[at]
+        kept = without_overlaps(at, which, len(chosen))
+        used = np.bincount(which[kept], minlength=len(chosen)) >= LEAST  # overlaps may leave too few
+        if not used.any():
             break
-        often = often[np.argsort(-count[often], kind="stable")[:room]]
-        chosen = np.sort(ordered[first[often]])
-        # one slot for each chosen pair; of pairs that meet in a slot the last one stays
-        slot_of = lambda x: (x * 0x9E3779B1 >> 13) & 0xFFFFF
-        slots = np.full(1 << 20, -1, np.int32)
-        slots[slot_of(chosen)] = np.arange(len(chosen))
-        rule = slots[slot_of(pair)]
-        at = np.flatnonzero((rule >= 0) & (chosen[rule] == pair))
-        # neighbours in a run overlap: every second one from its start is replaced
-        starts = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.zeros(0, bool)
-        run = np.maximum.accumulate(np.where(starts, at, 0))
-        at = at[(at - run) % 2 == 0]
-        seq[at] = vocabulary + len(rules) + rule[at]
-        seq = np.delete(seq, at + 1)
-        new = np.stack([chosen >> 16, chosen & 0xFFFF], 1)
-        rules = np.concatenate([rules, new])
-        length = np.concatenate([length, length[new].sum(1)])
+        kept &= used[which]
+        rest, new = at[~kept], vocabulary + len(rules)
+        at, rule = at[kept], (np.cumsum(used) - 1)[which[kept]]
+        seq[at] = new + rule
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        place = np.cumsum(stays, dtype=np.int32) - 1
+        rest, fresh = place[rest[stays[rest] & stays[rest + 1]]], place[at]
+        seq, chosen = seq[stays], chosen[used]
+        rules = np.concatenate([rules, np.stack([chosen >> half, chosen & low], 1).astype(np.int64)])
+        # other pairs were not frequent, and only lose: what is left of the chosen ones, and pairs with a new symbol
+        open_ = np.zeros(len(seq) + 1, bool)
+        open_[rest] = open_[fresh] = open_[fresh - 1] = True
+        maybe = np.flatnonzero(open_[: max(0, len(seq) - 1)])
+    length = np.ones(vocabulary + len(rules), np.int64)
+    for k, (left, right) in enumerate(rules.tolist()):
+        length[vocabulary + k] = length[left] + length[right]
     before = np.concatenate([[0], np.cumsum(length[seq])])[:-1][::SAMPLE]
-    parts = (np.array([vocabulary, len(rules), len(seq), len(before)], "<u4"), rules.astype("<u2"), length[vocabulary:].astype("<u4"), before.astype("<u4"), seq.astype("<u2"))
-    return b"RPG1" + b"".join(p.tobytes() for p in parts)
+    width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
+    counts = np.array([vocabulary, len(rules), len(seq), len(before), width], "<u4")
+    parts = (counts, rules.astype(f"<u{width}"), length[vocabulary:].astype("<u4"), before.astype("<u4"), seq.astype(f"<u{width}"))
+    return b"RPG2" + b"".join(p.tobytes() for p in parts)
 
 
 class Shard:
     """Reads ranges of ids from the file of a shard."""
 
     def __init__(self, file: bytes):
-        if file[:4] != b"RPG1":
+        if file[:4] != b"RPG2":
             raise ValueError("not a shard of token ids")
-        self.vocabulary, n_rules, n_symbols, n_samples = (int(x) for x in np.frombuffer(file, "<u4", 4, 4))
-        cuts = list(accumulate((20, 4 * n_rules, 4 * n_rules, 4 * n_samples)))
-        rules = np.frombuffer(file, "<u2", 2 * n_rules, cuts[0]).reshape(-1, 2).tolist()
+        self.vocabulary, n_rules, n_symbols, n_samples, width = (int(x) for x in np.frombuffer(file, "<u4", 5, 4))
+        cuts = list(accumulate((24, 2 * width * n_rules, 4 * n_rules, 4 * n_samples)))
+        rules = np.frombuffer(file, f"<u{width}", 2 * n_rules, cuts[0]).reshape(-1, 2).tolist()
         self.length = np.concatenate([np.ones(self.vocabulary, np.int64), np.frombuffer(file, "<u4", n_rules, cuts[1])])
         self.samples = np.frombuffer(file, "<u4", n_samples, cuts[2])
-        self.symbols = np.frombuffer(file, "<u2", n_symbols, cuts[3])
+        self.symbols = np.frombuffer(file, f"<u{width}", n_symbols, cuts[3])
         grown: list[tuple] = []
         whole = lambda x: (x,) if x < self.vocabulary else grown[x - self.vocabulary]
         for left, right in rules:
@@ -113,15 +181,26 @@ class Shard:
 #: Signs that a word may end with, as one piece of their own. An apostrophe may begin a contraction.
 SIGNS = string.punctuation.replace("'", "")
 
-#: White space to Python's split, but not to the tokenizer.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-
 #: Words that go to the tokenizer as one text.
 TOGETHER = 50
 
+#: What a tokenizer's file must say for its texts to be looked up word by word.
+WORDWISE = (
+    [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)],
+    [("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True), ("ByteLevel", None, None, None)],
+)
+
+
+def wordwise(file: dict) -> bool:
+    """Whether the tokenizer drops white space and knows no token that has or takes any."""
+    steps = lambda part, inner, *keys: [tuple(x.get(k) for k in keys) for x in ((file.get(part) or {}).get(inner) or [])]
+    found = steps("normalizer", "normalizers", "type", "pattern", "content"), steps("pre_tokenizer", "pretokenizers", "type", "pattern", "behavior", "invert")
+    plain = not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].split() != [t["content"]] for t in file["added_tokens"])
+    return found == WORDWISE and plain and file["model"].get("end_of_word_suffix") == "</w>" and not file.get("post_processor")
+
 
 def encoder(file: str):
-    """texts -> packed ids of each. The tokenizer drops white space, so words are looked up one by one."""
+    """texts -> ids of them all, and how many each has. Where the tokenizer drops white space, words are looked up one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is enough
     from tokenizers import Tokenizer
 
@@ -129,6 +208,7 @@ def encoder(file: str):
     vocabulary = tokenizer.get_vocab()
     closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
     closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
     def single(chunks):
         for lo in range(0, len(chunks), 5000):
             for e in tokenizer.encode_batch_fast(chunks[lo : lo + 5000], add_special_tokens=False):
@@ -146,9 +226,24 @@ def encoder(file: str):
             else:  # some word is several to the tokenizer
                 yield from single(own)
 
+    parted: dict[str, bool] = {}
+
+    def parts_from_signs(letter: str) -> bool:
+        """Whether the tokenizer, after its own normalising, ends a piece between this letter and a sign."""
+        if letter not in parted:
+            found = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(letter + "."))
+            parted[letter] = len(found) == 2 and found[1][0] == "."
+        return parted[letter]
+
+    def cut(word: str) -> tuple[str | None, str]:
+        """Letters, and the signs that follow them as a piece of their own; None and anything else as it stands."""
+        if word.isalpha():
+            return word, ""
+        base = word.rstrip(SIGNS)
+        return (base, word[len(base) :]) if base.isalpha() and parts_from_signs(base[-1]) else (None, word)
+
     def packed(chunks):
-        """Letters and the signs that follow them are separate pieces; anything else is encoded as it stands."""
-        parts = [(x, "") if x.isalpha() else (b, x[len(b) :]) if (b := x.rstrip(SIGNS)).isalpha() else (None, x) for x in chunks]
+        parts = list(map(cut, chunks))
         known = {b: got for b, _ in parts if b is not None and (got := memory.young.get(b))}
         new = list({b for b, _ in parts if b is not None}.difference(known))
         known.update(zip(new, letters(new), strict=True))
@@ -156,10 +251,11 @@ def encoder(file: str):
         tails = dict(zip(rest, single(rest), strict=True))
         return [(known[b] if b is not None else b"") + (tails[t] if t else b"") for b, t in parts]
 
-    memory = Memory(packed, 300_000)
+    memory = Memory(packed, KEPT_WORDS)
 
     # a point or comma next to another sign: the two are one piece to the tokenizer
     adjoining = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))").search
+    separator = re.compile("[\x1c-\x1f]").search  # white space to Python, signs to the tokenizer
 
     def plain(text: str) -> str:
         """The text with the same ids, but with fewer distinct words."""
@@ -168,54 +264,89 @@ def encoder(file: str):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text
+        if separator(text):
+            return text
         if not adjoining(text):  # so points and commas may stand by themselves
             text = text.replace(".", " . ").replace(",", " , ")
         return text.lower() if "<|" not in text else text
 
-    def run(texts: list[str]) -> list[bytes]:
-        words = [[t] if any(c in t for c in SEPARATORS) else plain(t).split() for t in texts]
-        known = memory.of(set(chain.from_iterable(words))).__getitem__
-        return [b"".join(map(known, w)) for w in words]
+    def by_word(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.ascii_split_whitespace(pa.array(list(map(plain, texts)), pa.string()))
+        coded = words.flatten().dictionary_encode()
+        pieces = memory.each(coded.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(pieces), np.int32), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        begin, k = np.cumsum(size) - size, coded.indices.to_numpy()
+        ends = np.cumsum(size[k])
+        ids = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        at = 0
+        for lo in range(0, len(k), GATHERED):
+            own = k[lo : lo + GATHERED]
+            n, stop = size[own], ends[lo : lo + GATHERED]
+            ids[at : stop[-1]] = flat[np.repeat(begin[own] - stop + n, n) + np.arange(at, stop[-1])]
+            at = stop[-1]
+        return ids, np.diff(np.concatenate([[0], ends])[words.offsets.to_numpy()])
+
+    def by_text(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(single(texts))
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    return by_word if wordwise(json.loads(file)) else by_text
 
-    return run
+
+#: The encoder of this Python process, with the words that it knows: tasks that follow one another share it.
+SHARED: dict[str, object] = {}
+
+
+def shared_encoder(file: str):
+    if file not in SHARED:
+        SHARED.clear()
+        SHARED[file] = encoder(file)
+    return SHARED[file]
 
 
 def write(docs: DataFrame, path: str | None = None, parts: int | None = None) -> DataFrame:
-    """The table of shards: part, shard, first (ids before it in its part), n_ids, doc_ids, lengths, file."""
+    """The table of shards: part, shard, first (ids before it in its part), n_ids, doc_ids, lengths, file.
+
+    Without ``parts``, Spark sizes the ranges of doc_id by their bytes. A doc_id of many rows may span several.
+    """
     spark = docs.sparkSession
     with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
-        shipped = spark.sparkContext.broadcast(f.read())  # one tokenizer: its size is fixed by the file
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+        file = f.read()
+    size = max(json.loads(file)["model"]["vocab"].values(), default=0)
+    vocabulary = max(size, END_ID, *(t["id"] for t in json.loads(file)["added_tokens"]), 0) + 1
+    shipped = spark.sparkContext.broadcast(file)  # one tokenizer: its size is fixed by the file
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(*([parts] if parts else []), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        encode, part = encoder(shipped.value), TaskContext.get().partitionId()
-        vocabulary = max(Tokenizer.from_str(shipped.value).get_vocab_size(), END_ID + 1)
-        end = array("i", [END_ID]).tobytes()
+        encode, part = shared_encoder(shipped.value), TaskContext.get().partitionId()
+        end = np.array([END_ID], np.int32)
         shard = first = size = 0
         doc_ids: list = []
-        kept: list[bytes] = []
+        kept: list[np.ndarray] = []
+        lengths: list[int] = []
 
         def done():
-            ids = np.frombuffer(b"".join(kept), np.int32)
-            lengths = [len(k) // 4 for k in kept]
+            ids = np.concatenate(kept)
             row = {"part": [part], "shard": [shard], "first": [first], "n_ids": [len(ids)], "doc_ids": [doc_ids], "lengths": [lengths], "file": [compress(ids, vocabulary)]}
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
         for batch in batches:
             texts, own = with_text(batch), batch.column(0).to_pylist()
-            for lo, hi in slices([len(t) for t in texts]):
-                for doc_id, ids in zip(own[lo:hi], encode(texts[lo:hi]), strict=True):
+            for lo, hi in slices([len(t) for t in texts], TOGETHER_CHARS):
+                ids, counts = encode(texts[lo:hi])
+                at = 0
+                for doc_id, n in zip(own[lo:hi], counts.tolist(), strict=True):
                     doc_ids.append(doc_id)
-                    kept.append(ids + end)
-                    size += len(ids) // 4 + 1
+                    lengths.append(n + 1)
+                    kept += [ids[at : at + n], end]
+                    at += n
+                    size += n + 1
                     if size >= SHARD_IDS:
                         yield done()
-                        shard, first, size, doc_ids, kept = shard + 1, first + size, 0, [], []
+                        shard, first, size, doc_ids, kept, lengths = shard + 1, first + size, 0, [], [], []
         if kept:
             yield done()
 

@@ -112,6 +112,61 @@ def test_ids_of_tricky_texts_and_small_shards(tricky, monkeypatch):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, grammar.END_ID]
 
 
+@pytest.mark.parametrize("form", ["{c}.", "{c}{c}!", "a{c} b", "a{c}, {c}", "x{c}'s.", "1{c}. {c}a."])
+def test_ids_of_every_character(form):
+    with open(P.path(grammar.TOKENIZER), encoding="utf-8") as f:
+        encode, whole = grammar.encoder(f.read()), library(grammar.TOKENIZER)
+    every = [form.format(c=chr(c)) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(every), 20_000):
+        texts = every[lo : lo + 20_000]
+        ids, n = encode(texts)
+        got = np.split(ids, np.cumsum(n)[:-1])
+        assert [t for t, g, e in zip(texts, got, whole.encode_batch_fast(texts, add_special_tokens=False), strict=True) if g.tolist() != e.ids] == []
+
+
+def test_ids_of_mixed_characters():
+    with open(P.path(grammar.TOKENIZER), encoding="utf-8") as f:
+        encode, whole = grammar.encoder(f.read()), library(grammar.TOKENIZER)
+    pool = [*"abcXYZ éÉİΣςß.,;!'_-<|>09½ ٣\t\n\x1c\x85\xa0", "<|endoftext|>", "'s", "'LL", "\u0301", "\u0323", "\u095c", "\u093c", "\u0958", "\u1112", "\u1161", "\u11ab", "日", "🎉", ".,", "...", " . "]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(pool, rng.integers(0, 14))) for _ in range(20_000)]
+    ids, n = encode(texts)
+    for t, got, e in zip(texts, np.split(ids, np.cumsum(n)[:-1]), whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == e.ids, t
+
+
+def test_other_tokenizers_get_whole_texts():
+    with open(P.path(counts.TOKENIZER), encoding="utf-8") as f:
+        encode, whole = grammar.encoder(f.read()), library(counts.TOKENIZER)
+    ids, n = encode(TRICKY)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in TRICKY]
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    passage = np.random.default_rng(1).integers(0, 49_408, 300)
+    ids = np.concatenate([np.tile(passage, 40), np.zeros(5000, np.int64)])
+    shard = grammar.Shard(grammar.compress(ids, 49_408))
+    assert shard.read(0, len(ids)).tolist() == ids.tolist()
+    assert len(shard.symbols) < 120 and shard.length.max() > 500
+    used = np.bincount(shard.symbols, minlength=len(shard.length))
+    pairs = np.stack([shard.symbols[:-1], shard.symbols[1:]], 1)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < grammar.LEAST and used.sum() == len(shard.symbols)
+
+
+def test_grammar_beyond_sixteen_bits():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(65_000, 200_000, 500).repeat(3)
+    ids = np.tile(ids, 30)
+    shard = grammar.Shard(grammar.compress(ids, 200_000))
+    assert shard.read(0, len(ids)).tolist() == ids.tolist() and shard.symbols.itemsize == 4
+    many = np.tile(rng.permutation(60_000), 17)  # more rules than 16 bits have room for
+    shard = grammar.Shard(grammar.compress(many, 60_000))
+    assert shard.read(17, 70_000).tolist() == many[17:70_000].tolist() and shard.symbols.itemsize == 4
+    with pytest.raises(ValueError):
+        grammar.compress(np.array([70_000]), 65_536)
+
+
 @pytest.mark.parametrize("kinds, n", [(2, 0), (1, 5000), (3, 7777), (400, 50_000), (49_000, 3000)])
 def test_grammar_reads_any_range(kinds, n):
     ids = np.random.default_rng(kinds).integers(0, kinds, n)
@@ -123,7 +178,10 @@ def test_grammar_reads_any_range(kinds, n):
 
 
 def test_ids_edges(edges, empty):
-    got = grammar.read(grammar.write(edges)).collect()
-    assert len(got) == len(EDGES) and sorted(r.start for r in got)[0] == 0
-    assert sum(r.n_tokens == 1 for r in got) == 4
+    got, whole = grammar.read(grammar.write(edges)).collect(), library(grammar.TOKENIZER)
+    given = [[*whole.encode(t or "", add_special_tokens=False).ids, grammar.END_ID] for _, t in EDGES]
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in got) == sorted(given)
+    in_order = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in in_order] == sorted((i for i, _ in EDGES), key=lambda i: -1 if i is None else i)
+    assert [r.start for r in in_order] == np.cumsum([0, *(r.n_tokens for r in in_order)])[:-1].tolist()
     assert grammar.read(grammar.write(empty)).count() == 0
