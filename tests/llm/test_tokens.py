@@ -91,6 +91,44 @@ def test_state_maps_compose_as_one_pass_does():
         assert counts.piece_starts(sym, step, emit).tolist() == expected
 
 
+def counter(name=counts.TOKENIZER):
+    with open(P.path(name), encoding="utf-8") as f:
+        return counts.Counter(f.read())
+
+
+def same_counts(own, texts):
+    whole = library(counts.TOKENIZER).encode_batch_fast(texts, add_special_tokens=False)
+    return [t for t, n, e in zip(texts, own(texts).tolist(), whole, strict=True) if n != len(e.ids)] == []
+
+
+@pytest.mark.parametrize("form", ["{c}'s", "a{c}1{c} {c}!{c}", " \n{c}"])
+def test_counts_of_every_character(form):
+    own = counter()
+    every = [form.format(c=chr(c)) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    assert all(same_counts(own, every[lo : lo + 20_000]) for lo in range(0, len(every), 20_000))
+
+
+def test_counts_of_hostile_texts(monkeypatch):
+    twins = "e"
+    for _ in range(11):
+        twins += twins.translate(str.maketrans("eq", "qe"))
+    texts = ["\n\n\x00a", "\x00", " \x00", "a\x00's", "<|endoftext|>", "<|endoftext|><|endoftext|> a  <|endoftext|>b <|endoftext|", "  <|endoftext|>  "]
+    texts += [twins, twins.translate(str.maketrans("eq", "qe")), "x" * 5000, "ab" * 4000, " " * 3000, "é" * 3000, "日本" * 2000, "=-" * 2000]
+    rng = np.random.default_rng(8)
+    texts += [bytes(rng.integers(0, 256, rng.integers(0, 60)).astype(np.uint8)).decode("utf-8", "replace") for _ in range(5000)]
+    texts += ["".join(rng.choice([*"aeinorst"], rng.integers(1, 1500))) for _ in range(500)]
+    own = counter()
+    assert same_counts(own, texts)
+    monkeypatch.setattr(counts, "KEPT_STATES", 200)  # states are made anew, also within a piece
+    monkeypatch.setattr(counts, "TOGETHER_BYTES", 4000)
+    assert same_counts(own, texts) and len(own.transducer.states) < 20_000
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        counter(grammar.TOKENIZER)
+
+
 def test_counts_edges(edges, empty):
     whole, got = library(counts.TOKENIZER), counts.count(edges).collect()
     assert sorted(r.n_tokens for r in got) == sorted(len(whole.encode(t or "", add_special_tokens=False).ids) for _, t in EDGES)
