@@ -64,14 +64,13 @@ class Memory:
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
         found = list(map(self.young.get, chunks))
-        missing = [c for c, f in zip(chunks, found, strict=True) if f is None]
-        if not missing:
-            return found
-        again = list(map(self.old.get, missing))
-        self.young.update((c, f) for c, f in zip(missing, again, strict=True) if f is not None)
-        new = [c for c, f in zip(missing, again, strict=True) if f is None]
-        self.young.update(zip(new, self.encode(new), strict=True))
-        return list(map(self.young.__getitem__, chunks))
+        missing = [i for i, f in enumerate(found) if f is None]
+        again = list(map(self.old.get, map(chunks.__getitem__, missing)))
+        new = [chunks[i] for i, f in zip(missing, again, strict=True) if f is None]
+        made = iter(self.encode(new))
+        for i, f in zip(missing, again, strict=True):
+            found[i] = self.young[chunks[i]] = next(made) if f is None else f
+        return found
 
 
 def byte_characters() -> list[str]:

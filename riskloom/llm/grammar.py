@@ -49,7 +49,7 @@ GATHERED = 1 << 18
 KEPT_WORDS = 400_000
 
 #: Times that a round looks for occurrences that still can be replaced; later rounds take the rest.
-SWEEPS = 2
+SWEEPS = 3
 
 #: A pair is frequent if a shard replaces it this often.
 LEAST = 8
@@ -62,7 +62,8 @@ def frequent_pairs(pair: np.ndarray) -> np.ndarray:
     ordered = np.sort(pair)
     if len(ordered) < LEAST:
         return ordered[:0]
-    return np.unique(ordered[LEAST - 1 :][ordered[LEAST - 1 :] == ordered[: len(ordered) - LEAST + 1]])
+    often = ordered[LEAST - 1 :][ordered[LEAST - 1 :] == ordered[: len(ordered) - LEAST + 1]]
+    return often[np.concatenate([[True], often[1:] != often[:-1]])] if len(often) else often
 
 
 def occurrences(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +87,15 @@ def without_overlaps(at: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
 
     So a passage is cut alike wherever it stands. In a run of one symbol it is every second one from its start.
     """
-    order = np.empty(n, np.int64)
+    order = np.empty(n, np.int32)
     order[np.argsort(np.bincount(which, minlength=n), kind="stable")] = np.arange(n)
-    same = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (which[1:] == which[:-1])])
-    left = np.flatnonzero((np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))) % 2 == 0)
+    left = np.ones(len(at), bool)
+    again = np.flatnonzero((at[1:] == at[:-1] + 1) & (which[1:] == which[:-1])) + 1  # later places of runs
+    if len(again):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(again) > 1]))
+        nth = np.arange(len(again)) - np.repeat(first, np.diff(np.append(first, len(again))))
+        left[again[nth & 1 == 0]] = False
+    left = np.flatnonzero(left)
     kept = np.zeros(len(at), bool)
     for _ in range(SWEEPS):
         a, rank = at[left], order[which[left]]
@@ -110,14 +116,15 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
         raise ValueError(f"ids outside the vocabulary of {vocabulary}")
     half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
-    maybe = np.arange(max(0, len(seq) - 1))  # places of all pairs that can be frequent
+    maybe = None  # places of all pairs that can be frequent; at first, any
     while True:
-        pair = seq[maybe].astype(np.uint64) << half | seq[maybe + 1]
+        left, right = (seq[:-1], seq[1:]) if maybe is None else (seq[maybe], seq[maybe + 1])
+        pair = left.astype(np.uint64) << half | right
         chosen = frequent_pairs(pair)
         if not len(chosen):
             break
         at, which = occurrences(pair, chosen)
-        at = maybe[at]
+        at = at if maybe is None else maybe[at]
         kept = without_overlaps(at, which, len(chosen))
         used = np.bincount(which[kept], minlength=len(chosen)) >= LEAST  # overlaps may leave too few
         if not used.any():
@@ -128,17 +135,18 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
         seq[at] = new + rule
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
-        place = np.cumsum(stays, dtype=np.int32) - 1
-        rest, fresh = place[rest[stays[rest] & stays[rest + 1]]], place[at]
+        rest = rest[stays[rest] & stays[rest + 1]]
+        rest, fresh = rest - np.searchsorted(at, rest), at - np.arange(len(at))  # each replacement takes one place
         seq, chosen = seq[stays], chosen[used]
         rules = np.concatenate([rules, np.stack([chosen >> half, chosen & low], 1).astype(np.int64)])
         # other pairs were not frequent, and only lose: what is left of the chosen ones, and pairs with a new symbol
         open_ = np.zeros(len(seq) + 1, bool)
         open_[rest] = open_[fresh] = open_[fresh - 1] = True
-        maybe = np.flatnonzero(open_[: max(0, len(seq) - 1)])
-    length = np.ones(vocabulary + len(rules), np.int64)
-    for k, (left, right) in enumerate(rules.tolist()):
-        length[vocabulary + k] = length[left] + length[right]
+        maybe = np.flatnonzero(open_[: max(0, len(seq) - 1)]).astype(np.int32)
+    grown = [1] * vocabulary
+    for left, right in rules.tolist():
+        grown.append(grown[left] + grown[right])
+    length = np.array(grown, np.int64)
     before = np.concatenate([[0], np.cumsum(length[seq])])[:-1][::SAMPLE]
     width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
     counts = np.array([vocabulary, len(rules), len(seq), len(before), width], "<u4")
@@ -199,6 +207,10 @@ def wordwise(file: dict) -> bool:
     return found == WORDWISE and plain and file["model"].get("end_of_word_suffix") == "</w>" and not file.get("post_processor")
 
 
+#: Small letters of Latin-1.
+latin = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+").fullmatch
+
+
 def encoder(file: str):
     """texts -> ids of them all, and how many each has. Where the tokenizer drops white space, words are looked up one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is enough
@@ -214,10 +226,16 @@ def encoder(file: str):
             for e in tokenizer.encode_batch_fast(chunks[lo : lo + 5000], add_special_tokens=False):
                 yield array("i", e.ids).tobytes()
 
-    def letters(words):
-        """Packed ids of words that are letters only: together, cut where ids end a word."""
-        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for own, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+    # for small Latin letters, which normalising leaves as they are and which are one piece
+    bare = json.loads(file) | {"normalizer": None, "added_tokens": []}
+    if by_words := wordwise(bare | {k: json.loads(file)[k] for k in ("normalizer", "added_tokens")}):
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bare["pre_tokenizer"]["pretokenizers"][1]]}
+    simple = Tokenizer.from_str(json.dumps(bare))
+
+    def together(model, words, n):
+        """Packed ids of words, ``n`` of them in one text, cut where ids end a word."""
+        groups = [words[k : k + n] for k in range(0, len(words), n)]
+        for own, e in zip(groups, model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int32)
             cuts = [0, *((np.flatnonzero(closes[ids]) + 1) * 4).tolist()]
             whole = ids.tobytes()
@@ -243,13 +261,18 @@ def encoder(file: str):
         return (base, word[len(base) :]) if base.isalpha() and parts_from_signs(base[-1]) else (None, word)
 
     def packed(chunks):
-        parts = list(map(cut, chunks))
-        known = {b: got for b, _ in parts if b is not None and (got := memory.young.get(b))}
-        new = list({b for b, _ in parts if b is not None}.difference(known))
-        known.update(zip(new, letters(new), strict=True))
+        small = list(filter(latin, chunks))
+        known = dict(zip(small, together(simple, small, 8 * TOGETHER), strict=True))
+        others = [c for c in chunks if c not in known]
+        parts = list(map(cut, others))
+        bases = {b for b, _ in parts if b is not None}.difference(known)
+        known.update((b, got) for b in bases if (got := memory.young.get(b)))
+        new = list(bases.difference(known))
+        known.update(zip(new, together(tokenizer, new, TOGETHER), strict=True))
         rest = list({t for _, t in parts if t})
         tails = dict(zip(rest, single(rest), strict=True))
-        return [(known[b] if b is not None else b"") + (tails[t] if t else b"") for b, t in parts]
+        made = {c: (known[b] if b is not None else b"") + (tails[t] if t else b"") for c, (b, t) in zip(others, parts, strict=True)}
+        return [known[c] if c not in made else made[c] for c in chunks]
 
     memory = Memory(packed, KEPT_WORDS)
 
@@ -273,16 +296,18 @@ def encoder(file: str):
     def by_word(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(pa.array(list(map(plain, texts)), pa.string()))
         coded = words.flatten().dictionary_encode()
-        pieces = memory.each(coded.dictionary.to_pylist())
+        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        pieces = memory.each(pc.binary_join(distinct, "\n")[0].as_py().split("\n") if len(coded.dictionary) else [])  # no word has a line's end
         flat, size = np.frombuffer(b"".join(pieces), np.int32), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        begin, k = np.cumsum(size) - size, coded.indices.to_numpy()
-        ends = np.cumsum(size[k])
+        begin, k = (np.cumsum(size) - size).astype(np.int32), coded.indices.to_numpy()
+        size = size.astype(np.int32)
+        ends = np.cumsum(size[k], dtype=np.int32)
         ids = np.empty(ends[-1] if len(ends) else 0, np.int32)
         at = 0
         for lo in range(0, len(k), GATHERED):
             own = k[lo : lo + GATHERED]
             n, stop = size[own], ends[lo : lo + GATHERED]
-            ids[at : stop[-1]] = flat[np.repeat(begin[own] - stop + n, n) + np.arange(at, stop[-1])]
+            ids[at : stop[-1]] = flat[np.repeat(begin[own] - stop + n, n) + np.arange(at, stop[-1], dtype=np.int32)]
             at = stop[-1]
         return ids, np.diff(np.concatenate([[0], ends])[words.offsets.to_numpy()])
 
@@ -290,7 +315,7 @@ def encoder(file: str):
         found = list(single(texts))
         return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
-    return by_word if wordwise(json.loads(file)) else by_text
+    return by_word if by_words else by_text
 
 
 #: The encoder of this Python process, with the words that it knows: tasks that follow one another share it.
