@@ -4,13 +4,17 @@ Candidates come from a prefix filter. Every text sorts its distinct shingles in
 order that holds for all texts and takes the first fifth of them, and one more: two
 texts that are alike share at least one of these. Any total order is complete; here
 shingles that a sample of the texts knows to be common come last, so that a common
-passage does not bring together texts that share nothing else. Sizes, and the
-places of the shared shingle, rule out most of the rest.
+passage does not bring together texts that share nothing else.
 
-A shingle that a few texts share gives their pairs. One that many share stays a
-group, so no rows grow with the square of a group's size. Pairs and groups are
-joined with the whole sets of shingles, and every link is verified by them; a group
-gives only enough links to connect what it connects.
+A shingle that a few texts share gives their pairs. How many such shingles a pair
+shares tells how many of one text's the other certainly lacks, which rules most pairs
+out before any set of shingles is moved. The pairs that stay are verified by the sets.
+
+A shingle that many texts share stays a group. All members are compared with one of
+them, the leader, so no rows grow with the square of a group's size. Members that are
+like the leader are linked by that already; those that are not are compared with all
+members, block by block, and give only the links that connect what they connect. No
+task holds more than two blocks of a group.
 
 Words are runs of anything but ASCII white space, in lower case. A text of fewer
 words than the width is one shingle. Texts and shingles are known by 64-bit hashes.
@@ -33,12 +37,19 @@ from .simhash import BROADCAST_ROWS, SEED, simhash
 OVER, UNDER = 4, 5
 
 #: Texts that are sampled for common shingles, times a shingle must be seen in them, and shingles kept.
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS = 16384
 LEAST_SEEN = 3
 MOST_COMMON = 200_000
 
-#: Texts that share a shingle and are paired; beyond it, they stay one group.
-MOST_PAIRED = 16
+#: A shingle that the sample has this often makes a group at once.
+HOT = 16
+
+#: Texts that share a shingle and are paired; beyond it, they are a group.
+MOST_PAIRED = 64
+
+#: Members of a group in one block, about; and parts that the texts compared with one leader are dealt to.
+BLOCK = 128
+SALTS = 64
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -60,10 +71,19 @@ def alike(shared, sizes):
     return (OVER + UNDER) * shared >= OVER * sizes
 
 
+def alike(shared, sizes):
+    """Whether ``shared`` of two sets whose sizes add up to ``sizes`` are enough."""
+    return (OVER + UNDER) * shared >= OVER * sizes
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of the texts often has, sorted, and how often."""
     one_of = max(1, texts.count() // SAMPLE_ROWS)
-    sample = texts.where(F.pmod("id", F.lit(one_of)) == 0).dropDuplicates(["id"])
+    sample = texts.where(F.pmod("id", F.lit(one_of)) == 0).select("id", "text").dropDuplicates(["id"])
 
     def run(batches):
         for batch in batches:
@@ -78,33 +98,52 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefixes(texts: DataFrame, width: int) -> DataFrame:
-    """h, id, n (distinct shingles) and at (its place) of the shingles by which a text is sought."""
-    common, seen = common_shingles(texts, width)
+    """Of every text: id, doc, n (distinct shingles), k (of its prefix), the order's place of its last one, and the prefix.
+
+    The prefix is parted: ``heads``, and ``hot`` for shingles that the sample has HOT times or more.
+    """
+    shipped = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))  # MOST_COMMON numbers at most
+    names = ["id", "doc", "n", "k", "rank", "last", "heads", "hot"]
+
+    def lists(arrays):
+        ends = np.concatenate([[0], np.cumsum(list(map(len, arrays)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view("<i8")))
 
     def run(batches):
+        common, seen = shipped.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            texts = with_text(batch)
+            texts = with_text(batch, 2)
             for lo, hi in slices([len(t) for t in texts]):
-                hs, own, ns, ats = [], [], [], []
+                own, ns, ks, ranks, lasts, heads, hot = [], [], [], [], [], [], []
                 for i in range(lo, hi):
                     h = shingle_set(texts[i], width)
                     n = len(h)
                     if not n:
                         continue
+                    rank = np.zeros(n, np.int32)
                     if len(common):
                         where = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                        rank = np.where(common[where] == h, seen[where], 0)
-                        h = h[np.argsort(rank, kind="stable")]
+                        rank = np.where(common[where] == h, seen[where], 0).astype(np.int32)
+                        order = np.argsort(rank, kind="stable")
+                        h, rank = h[order], rank[order]
                     k = n - -(-OVER * n // UNDER) + 1
-                    hs.append(h[:k].view("<i8"))
-                    own.append(np.full(k, ids[i]))
-                    ns.append(np.full(k, n, np.int32))
-                    ats.append(np.arange(k, dtype=np.int32))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, own, ns, ats)], names=["h", "id", "n", "at"])
-
-    return texts.mapInArrow(run, "h long, id long, n int, at int")
+                    many = rank[:k] >= HOT
+                    own.append(i)
+                    ns.append(n)
+                    ks.append(k)
+                    ranks.append(rank[k - 1])
+                    lasts.append(h[k - 1] ^ np.uint64(1 << 63))  # so that signed numbers are in the same order
+                    heads.append(h[:k][~many])
+                    hot.append(h[:k][many])
+                if own:
+                    rows = pa.array(own)
+                    numbers = [pa.array(np.array(x, np.int32)) for x in (ns, ks, ranks)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *numbers, pa.array(np.array(lasts, "<u8").view("<i8")), lists(heads), lists(hot)], names=names)
+
+    known = stash(texts.select("id", "doc", "text").mapInArrow(run, "id long, doc long, n int, k int, rank int, last long, heads array<long>, hot array<long>"))
+    # one row for each text, that of the smallest doc
+    several = known.groupBy("id").agg(F.min("doc").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("id", "least")
+    return known.join(small(stash(several)), "id", "left").where("least is null or doc = least").drop("least")
 
 
 def whole_groups(batches, keys: int):
@@ -136,34 +175,52 @@ def starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def candidates(batches):
-    """x, y and id: members of pairs (x and y are their ids) and of groups (x is the shingle), from rows sorted by h and id."""
-    for rows in whole_groups(batches, 1):
-        h, ids, n, at = (c.to_numpy() for c in rows.columns)
+def candidates(batches, most_paired: int):
+    """From rows (h, id) in order: pairs x < y and how many shingles they share here, or members y of the group x, a shingle."""
+
+    def pairs(rows):
+        h, ids = (c.to_numpy() for c in rows.columns)
         one = starts(h, ids)  # equal texts count once
-        h, ids, n, at = h[one], ids[one], n[one].astype(np.int64), at[one]
+        h, ids = h[one], ids[one]
         first = starts(h)
         size = np.diff(np.append(first, len(h)))
-        xs, ys, own = [], [], []
-        for m in range(2, MOST_PAIRED + 1):
+        xs, ys = [], []
+        for m in range(2, min(most_paired, int(size.max(initial=0))) + 1):
             begin = first[size == m]
-            for i in range(m if len(begin) else 0):
-                for j in range(i + 1, m):
-                    a, b = begin + i, begin + j
-                    possible = alike(np.minimum(n[a] - at[a], n[b] - at[b]), n[a] + n[b])
-                    a, b = ids[a[possible]], ids[b[possible]]
-                    xs += [a, a]
-                    ys += [b, b]
-                    own += [a, b]
-        for a, m in zip(first[size > MOST_PAIRED].tolist(), size[size > MOST_PAIRED].tolist(), strict=True):
-            by = a + np.argsort(n[a : a + m], kind="stable")
-            near = OVER * n[by[1:]] <= UNDER * n[by[:-1]]
-            kept = by[np.append(near, False) | np.append(False, near)]
-            xs.append(np.full(len(kept), h[a]))
-            ys.append(np.zeros(len(kept), np.int64))
-            own.append(ids[kept])
+            if len(begin):
+                i, j = np.triu_indices(m, 1)
+                xs.append(ids[begin[:, None] + i].ravel())
+                ys.append(ids[begin[:, None] + j].ravel())
         if xs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (xs, ys, own)], names=["x", "y", "id"])
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            at = starts(x, y)
+            yield batch_of(x[at], y[at], np.diff(np.append(at, len(x))), False)
+        for a, m in zip(first[size > most_paired].tolist(), size[size > most_paired].tolist(), strict=True):
+            yield batch_of(h[a : a + m], ids[a : a + m], np.zeros(m, np.int32), True)
+
+    def batch_of(x, y, c, big):
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c.astype(np.int32)), pa.array(np.full(len(x), big))], names=["x", "y", "c", "big"])
+
+    for rows in whole_groups(batches, 1):
+        yield from pairs(rows)
+
+
+def near_pairs(known: DataFrame, found: DataFrame) -> DataFrame:
+    """x and y of the pairs that can be alike.
+
+    The prefix that ends first in the order lies in the other's range, so what it does not
+    share the other text lacks. A pair that shares a group's shingle too may be left out
+    here: it is compared within the group.
+    """
+    pairs = found.where("not big").groupBy("x", "y").agg(F.sum("c").alias("c"))
+    info = lambda p: known.select(F.col("id").alias(p), *(F.col(c).alias(p + c) for c in ("n", "k", "rank", "last")))
+    both = pairs.join(info("x"), "x").join(info("y"), "y")
+    need = F.expr(f"-((-{OVER} * (xn + yn)) div {OVER + UNDER})")  # shared shingles of texts that are alike
+    first = F.expr("xrank < yrank or (xrank = yrank and xlast <= ylast)")
+    lacks, has = F.when(first, F.expr("xk - c")).otherwise(F.expr("yk - c")), F.when(first, F.col("xn")).otherwise(F.col("yn"))
+    return both.where((lacks <= has - need) & (need <= F.least("xn", "yn"))).select("x", "y")
 
 
 def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -193,18 +250,6 @@ def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def verified(batches):
-    """Links u > v of fingerprints, from rows (x, y, f, set) sorted by x and y."""
-    for rows in whole_groups(batches, 2):
-        x, y, f = (rows.column(c).to_numpy() for c in range(3))
-        sets = [np.frombuffer(s, "<u8") for s in rows.column(3).to_pylist()]
-        first = starts(x, y).tolist()
-        links = [(f[a + i], f[a + j]) for a, b in zip(first, [*first[1:], len(x)], strict=True) if b - a > 1 for i, j in spanning(sets[a:b])]
-        links = sorted({(max(p), min(p)) for p in links if p[0] != p[1]})
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-
 def whole_sets(texts: DataFrame, width: int) -> DataFrame:
     """id, f (the SimHash fingerprint) and set of texts."""
 
@@ -216,18 +261,76 @@ def whole_sets(texts: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width).tobytes() for t in texts[lo:hi]]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(f, pa.int64()), pa.array(sets, pa.binary())], names=["id", "f", "set"])
 
-    return texts.mapInArrow(run, "id long, f long, set binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, f long, set binary")
+
+
+def compared(batches):
+    """Of rows (x, salt, member, id, f, set) in order, each x first by itself: the members that are like it, with both fingerprints."""
+    centre = of = own = None
+    for batch in batches:
+        x, member, ids, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
+        out = []
+        for i, s in enumerate(batch.column(5).to_pylist()):
+            s = np.frombuffer(s, "<u8")
+            if not member[i]:
+                centre, of, own = s, x[i], f[i]
+            elif of == x[i] and alike(len(np.intersect1d(centre, s, assume_unique=True)), len(centre) + len(s)):
+                out.append((x[i], ids[i], own, f[i]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out, strict=True)], names=["x", "y", "u", "v"])
+
+
+def verified(batches):
+    """Links u > v of fingerprints, from rows (h, i, inner, j, f, set) sorted by the first four."""
+    for rows in whole_groups(batches, 4):
+        keys, f = [rows.column(c).to_numpy() for c in range(4)], rows.column(4).to_numpy()
+        sets = [np.frombuffer(s, "<u8") for s in rows.column(5).to_pylist()]
+        first = starts(*keys).tolist()
+        links = [(f[a + i], f[a + j]) for a, b in zip(first, [*first[1:], len(f)], strict=True) if b - a > 1 for i, j in spanning(sets[a:b])]
+        links = sorted({(max(p), min(p)) for p in links if p[0] != p[1]})
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
 def links(docs: DataFrame, width: int) -> DataFrame:
     """Links u > v of the SimHash fingerprints of texts that are alike but have different ones."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("id"), F.col("text").cast("string").alias("text"))
-    rows = prefixes(texts, width).repartition(parts, "h").sortWithinPartitions("h", "id")
-    found = stash(rows.mapInArrow(candidates, "x long, y long, id long").distinct())
-    wanted = stash(found.select("id").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = stash(whole_sets(texts.join(wanted, "id", "left_semi"), width)).dropDuplicates(["id"])
-    members = found.join(sets, "id").select("x", "y", "f", "set")
-    members = members.repartition(parts, "x", "y").sortWithinPartitions("x", "y")
-    return members.mapInArrow(verified, "u long, v long").distinct()
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("id"), doc.alias("doc"), F.col("text").cast("string").alias("text"))
+    known = prefixes(texts, width)
+    rows = known.select(F.explode("heads").alias("h"), "id").repartition("h").sortWithinPartitions("h", "id")
+    limit = MOST_PAIRED
+    found = stash(rows.mapInArrow(lambda batches: candidates(batches, limit), "x long, y long, c int, big boolean"))
+
+    groups = stash(found.where("big").select(F.col("x").alias("h"), F.col("y").alias("id")).unionByName(known.select(F.explode("hot").alias("h"), "id")))
+    leaders = stash(groups.groupBy("h").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1").select("h", "leader"))
+    led = groups.join(small(leaders), "h")
+    pairs = near_pairs(known, found).unionByName(led.where("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")))
+    pairs = stash(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS))))
+
+    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    wanted = stash(wanted.join(known.select("id", "doc"), "id").distinct())
+    sets = stash(whole_sets(texts.join(small(wanted), ["id", "doc"], "left_semi"), width)).dropDuplicates(["id"])
+    of = lambda keyed: keyed.join(sets, "id")
+    centres = of(pairs.select("x", "salt").distinct().select("x", "salt", F.lit(False).alias("member"), F.col("x").alias("id")))
+    members = of(pairs.select("x", "salt", F.lit(True).alias("member"), F.col("y").alias("id")))
+    columns = ["x", "salt", "member", "id", "f", "set"]
+    rows = centres.select(columns).unionByName(members.select(columns)).repartition("x", "salt").sortWithinPartitions("x", "salt", "member")
+    near = stash(rows.mapInArrow(compared, "x long, y long, u long, v long"))
+    direct = near.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+    # groups with members that are not like their leader: these are compared with all members
+    state = led.join(near.select(F.col("x").alias("leader"), F.col("y").alias("id"), F.lit(True).alias("near")), ["leader", "id"], "left")
+    state = stash(state.select("h", "id", (F.col("near").isNotNull() | (F.col("id") == F.col("leader"))).alias("near")))
+    blocks = lambda near: F.ceil(F.sum((F.col("near") == near).cast("long")) / BLOCK).cast("int")
+    open_ = stash(state.groupBy("h").agg(blocks(True).alias("inner"), blocks(False).alias("outer")).where("outer > 0"))
+    if open_.isEmpty():
+        return direct.distinct()
+    far = state.join(small(open_), "h").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("near"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    key = lambda i, inner, j: F.struct(i.cast("int").alias("i"), F.lit(inner).alias("inner"), j.cast("int").alias("j"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    with_inner = F.transform(every(F.col("inner")), lambda j: key(F.col("own"), True, j))
+    with_outer = F.transform(every(F.col("outer")), lambda j: key(F.least("own", j), False, F.greatest("own", j)))
+    met = F.when(F.col("near"), F.transform(every(F.col("outer")), lambda i: key(i, True, F.col("own")))).otherwise(F.concat(with_inner, with_outer))
+    rows = of(far.select("h", "id", F.explode(met).alias("key"))).select("h", "key.i", "key.inner", "key.j", "f", "set")
+    rows = rows.repartition("h", "i", "inner", "j").sortWithinPartitions("h", "i", "inner", "j")
+    return direct.unionByName(rows.mapInArrow(verified, "u long, v long")).distinct()

@@ -10,7 +10,7 @@ import corpus_pipeline as pipeline
 from riskloom.llm import quality, secrets
 from riskloom.llm.common import stash
 
-from .test_duplicates import slow_components, slow_simhash
+from .test_shingles import brute_first
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SF = "/root/testdata/sf0.01"
@@ -44,8 +44,7 @@ def test_quality_stage(spark, steps):
 
 def test_copies_stage(steps):
     before, after = map(rows, steps["near_copies"])
-    of = slow_components({i: slow_simhash(t, 5) for i, t in before.items()})
-    assert set(after) == set(of.values())
+    assert set(after) == brute_first(before)[0]
 
 
 def test_leaks_stage(spark, steps):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from riskloom.llm import shingles, simhash
 
@@ -65,6 +66,15 @@ def test_all_pairs_to_0_8(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == expected
 
 
+@pytest.mark.parametrize("most_paired, hot, block", [(4, 16, 5), (2, 3, 7), (64, 1, 1000)])
+def test_groups_and_their_blocks(spark, monkeypatch, most_paired, hot, block):
+    for name, value in (("SAMPLE_ROWS", 40), ("MOST_PAIRED", most_paired), ("HOT", hot), ("BLOCK", block), ("SALTS", 2)):
+        monkeypatch.setattr(shingles, name, value)
+    texts = made()
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (0, texts[0])], "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} - {None} == brute_first(texts)[0]
+
+
 def test_pairs_of_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
