@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,10 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 #: Characters that a Python task holds decoded at once; longer texts come alone.
 SLICE_CHARS = 1 << 20
 
+#: Bytes of rows that a Python task gets at once.
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def batches_by_bytes(spark: SparkSession) -> Iterator[None]:
+    """Python gets Arrow batches of BATCH_BYTES at most, so that long rows do not add up; rows alone count elsewhere."""
+    before = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_KEY)
+        else:
+            spark.conf.set(BATCH_KEY, before)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -39,7 +58,8 @@ def stash(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_by_bytes(spark):
+        df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
