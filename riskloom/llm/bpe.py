@@ -4,7 +4,8 @@ The rank file gives the byte strings of the ids. ``tokenizer_json`` turns them
 into a ``tokenizers`` model: bytes become printable characters (the table that
 byte-level BPE files use) and the merge list follows from the ranks. Each task
 takes Arrow batches, has the library encode every distinct chunk of a slice of
-texts once, and lays the ids out per document.
+texts once, and lays ids and offsets out per document. Decoding reverses the table
+of bytes over the characters that spell the ids.
 
 Defined results: a null text counts as empty; an empty text has no ids; a null
 doc_id is kept; repeated rows give repeated results; an empty table gives an
@@ -18,7 +19,7 @@ import json
 import os
 import re
 from array import array
-from itertools import accumulate, chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, with_text
+from .common import slices, table, text_slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
+#: Whether two white-space characters meet.
+MET = re.compile(r"\s\s").search
+
 #: Distinct chunks in each of the two generations of a task's memory.
 KEPT_CHUNKS = 150_000
 
@@ -47,20 +51,8 @@ class Memory:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def of(self, chunks: set[str]) -> dict[str, bytes]:
-        """A dictionary that has all of ``chunks``."""
-        if len(self.young) > self.kept:
-            self.young, self.old = {}, self.young
-        missing = chunks.difference(self.young)
-        again = missing.intersection(self.old)
-        for c in again:
-            self.young[c] = self.old[c]
-        new = list(missing.difference(again))
-        self.young.update(zip(new, self.encode(new), strict=True))
-        return self.young
-
     def each(self, chunks: list[str]) -> list[bytes]:
-        """The same for distinct chunks, in their order."""
+        """What the library gives for each of some distinct chunks."""
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
         found = list(map(self.young.get, chunks))
@@ -121,87 +113,132 @@ def tokenizer_json(tokens: list[bytes], pattern: str) -> str:
 
 
 def list_column(values: np.ndarray, lengths) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
-    """doc_id, ids (array of int) and, if asked for, starts: each id's first character.
+class Coder:
+    """Encodes and decodes texts by a tokenizer file; one object per process, for the chunks that it knows."""
 
-    An id that begins inside a character has that character's place. Where no two
-    white-space characters meet, the pattern never joins what a space parts, so a
-    text is looked up space by space; other texts go to the library whole.
-    """
-    file = tokenizer_json(read_ranks(path or public_tokenizers.path(RANKS)), pattern or public_tokenizers.PATTERN)
-    shipped = docs.sparkSession.sparkContext.broadcast(file)  # one vocabulary: its size is fixed by the file
-
-    def run(batches):
+    def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core is enough
         from tokenizers import Tokenizer
 
-        tokenizer, met = Tokenizer.from_str(shipped.value), re.compile(r"\s\s").search
-
-        def packed(chunks):
-            for lo in range(0, len(chunks), 5000):
-                for e in tokenizer.encode_batch(chunks[lo : lo + 5000], add_special_tokens=False):
-                    yield array("i", e.ids).tobytes() + (array("i", [s for s, _ in e.offsets]).tobytes() if offsets else b"")
+        self.tokenizer = Tokenizer.from_str(file)
+        self.memory = Memory(self.packed)
+        # decoding: the byte table reversed, over the characters that spell each id
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        names = sorted((i, name) for name, i in json.loads(file)["model"]["vocab"].items())
+        spelt = [bytes(map(byte_of.__getitem__, name)) for _, name in names]
+        self.every, self.width = np.frombuffer(b"".join(spelt), np.uint8), np.fromiter(map(len, spelt), np.int32, len(spelt))
+        self.begin = np.cumsum(self.width, dtype=np.int32) - self.width
+
+    def packed(self, chunks: list[str]) -> Iterator[bytes]:
+        """Of each chunk the ids, then the first character of each, as 32-bit numbers."""
+        for lo in range(0, len(chunks), 5000):
+            for e in self.tokenizer.encode_batch(chunks[lo : lo + 5000], add_special_tokens=False):
+                yield array("i", e.ids).tobytes() + array("i", [a for a, _ in e.offsets]).tobytes()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, the first character of each id in its text, and how many ids each text has.
+
+        Where no two white-space characters meet, the pattern never joins what a space
+        parts, so a text is looked up space by space; other texts go to the library whole.
+        """
+        whole = [i for i, t in enumerate(texts) if MET(t)]
+        others = np.delete(np.arange(len(texts)), whole)
+        words = pc.split_pattern(pa.array([texts[i] for i in others], pa.string()), " ")
+        coded, bounds = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+        spaced = np.ones(len(coded), np.int32)  # all words but a text's first have their space
+        spaced[bounds[:-1]] = 0
+        kinds, key = np.unique(coded.indices.to_numpy() * 2 + spaced, return_inverse=True)
+        spelt = coded.dictionary.to_pylist()
+        chunks = [" " + spelt[k >> 1] if k & 1 else spelt[k >> 1] for k in kinds.tolist()]
+        pieces = self.memory.each(chunks) + list(self.packed([texts[i] for i in whole]))
+        flat = np.frombuffer(b"".join(pieces), np.int32)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 8
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        # chunks in the order of the texts, and where each begins in its text
+        key, before = key.ravel(), np.cumsum(length[key]) - length[key]
+        before -= np.repeat(before[bounds[:-1]], np.diff(bounds))
+        n_chunks = np.ones(len(texts), np.int64)
+        n_chunks[others] = np.diff(bounds)
+        first = np.cumsum(n_chunks) - n_chunks
+        order, base = np.empty(n_chunks.sum(), np.int64), np.zeros(n_chunks.sum(), np.int64)
+        is_whole = np.zeros(len(order), bool)
+        is_whole[first[whole]] = True
+        order[is_whole], order[~is_whole] = len(chunks) + np.arange(len(whole)), key
+        base[~is_whole] = before
+        n = size[order]
+        ends = np.cumsum(n)
+        at = np.repeat(((np.cumsum(size) - size) * 2)[order] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        return flat[at], flat[at + np.repeat(n, n)] + np.repeat(base, n).astype(np.int32), np.add.reduceat(n, first) if len(n) else n
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids, and where those of each end."""
+        w = self.width[ids]
+        ends = np.cumsum(w, dtype=np.int64)
+        return self.every[np.repeat(self.begin[ids] - ends + w, w) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def decoded(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """One binary value for each run of ids: bytes are joined before anything reads them as characters."""
+        out, ends = self.decode(ids)
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(out)])
+
+
+#: The coder of this Python process: tasks that follow one another share it.
+SHARED: dict[str, Coder] = {}
+
+
+def shared_coder(file: str) -> Coder:
+    if file not in SHARED:
+        SHARED.clear()
+        SHARED[file] = Coder(file)
+    return SHARED[file]
+
+
+def shipped(docs: DataFrame, path: str | None, pattern: str | None = None):
+    """The tokenizer file for the ranks, broadcast: its size is fixed by the vocabulary."""
+    return docs.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(path or public_tokenizers.path(RANKS)), pattern or public_tokenizers.PATTERN))
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array of int) and, if asked for, starts (each id's first character) and bytes (the ids decoded again).
+
+    An id that begins inside a character has that character's place.
+    """
+    file = shipped(docs, path, pattern)
+    schema = "doc_id long, ids array<int>" + ", starts array<int>" * offsets + ", bytes binary" * decoded
+    names = [x.split()[0] for x in schema.split(", ")]
 
-        memory = Memory(packed)
+    def run(batches):
+        coder = shared_coder(file.value)
         for batch in batches:
-            texts = with_text(batch)
-            for lo, hi in slices([len(t) for t in texts]):
-                chunks = []
-                for t in texts[lo:hi]:
-                    if met(t):
-                        chunks.append([t])
-                    else:
-                        first, *rest = t.split(" ")
-                        chunks.append([first, *map(" ".__add__, rest)])
-                known = memory.of(set(chain.from_iterable(c for c in chunks if len(c) > 1)))
-                alone = [c[0] for c in chunks if len(c) == 1]
-                whole = dict(zip(alone, packed(alone), strict=True))
-                rows = [list(map((known if len(c) > 1 else whole).__getitem__, c)) for c in chunks]
-                if offsets:
-                    halves = [[(x[: len(x) // 2], x[len(x) // 2 :]) for x in r] for r in rows]
-                    rows = [[a for a, _ in r] for r in halves]
-                    starts = []
-                    for c, r in zip(chunks, halves, strict=True):
-                        base = accumulate(map(len, c), initial=0)
-                        starts += [np.frombuffer(x, np.int32) + np.int32(b) for b, (_, x) in zip(base, r, strict=False)]
-                joined = list(map(b"".join, rows))
-                lengths = [len(x) // 4 for x in joined]
-                columns = [batch.column(0)[lo:hi], list_column(np.frombuffer(b"".join(joined), np.int32), lengths)]
-                if offsets:
-                    columns.append(list_column(np.concatenate([np.zeros(0, np.int32), *starts]), lengths))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts"][: len(columns)])
-
-    schema = "doc_id long, ids array<int>" + ", starts array<int>" * offsets
+            for lo, hi, texts in text_slices(batch):
+                ids, starts, lengths = coder.encode(texts)
+                columns = [batch.column(0)[lo:hi], list_column(ids, lengths)]
+                columns += [list_column(starts, lengths)] * offsets + ([coder.decoded(ids, lengths)] if decoded else [])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and their bytes, from columns doc_id and ids.
 
-    Bytes are joined before anything reads them as characters, so a character
-    that several ids share comes back whole. An id outside the vocabulary fails.
+    A character that several ids share comes back whole. An id outside the vocabulary fails.
     """
-    shipped = encoded.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(RANKS)))
+    file = shipped(encoded, path)
 
     def run(batches):
-        every = np.frombuffer(b"".join(shipped.value), np.uint8)
-        width = np.fromiter(map(len, shipped.value), np.int64)
-        begin = np.cumsum(width) - width
+        coder = shared_coder(file.value)
         for batch in batches:
             lists = batch.column(1)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-            for lo, hi in slices(sizes):
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            for lo, hi in slices(sizes.tolist()):
                 ids = lists[lo:hi].flatten().to_numpy()
-                w = width[ids]
-                ends = np.cumsum(w)
-                out = every[np.repeat(begin[ids] - ends + w, w) + np.arange(ends[-1] if len(ends) else 0)]
-                cuts = np.concatenate([[0], ends])[np.cumsum([0, *sizes[lo:hi]])].astype(np.int32)
-                text = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cuts), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], lists[lo:hi], text], names=["doc_id", "ids", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], lists[lo:hi], coder.decoded(ids, sizes[lo:hi])], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
@@ -221,10 +258,9 @@ def digests(decoded: DataFrame) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("bytes"), 256).alias("decoded_sha256"),
+        *([F.try_element_at("starts", F.lit(-1)).alias("last_start")] if "starts" in decoded.columns else []),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
-
-
+    return digests(encode(table(spark, sf_dir, "documents"), offsets=True, decoded=True))

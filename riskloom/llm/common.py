@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
@@ -77,6 +78,13 @@ def slices(lengths: list[int], budget: int = SLICE_CHARS) -> Iterator[tuple[int,
         yield lo, len(lengths)
 
 
+def text_slices(batch, column: int = 1, budget: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs [lo, hi) of the rows of an Arrow batch with their texts, of about ``budget`` bytes; null counts as empty."""
+    texts = batch.column(column)
+    for lo, hi in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), budget):
+        yield lo, hi, [t or "" for t in texts[lo:hi].to_pylist()]
+
+
 def with_text(batch, column: int = 1) -> list[str]:
     """The text column of an Arrow batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

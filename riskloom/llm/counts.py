@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import slices, table, with_text
+from .common import slices, table, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -370,10 +370,9 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         counter = shared_counter(shipped.value)
         for batch in batches:
-            texts = with_text(batch)
-            for lo, hi in slices([len(t) for t in texts]):
-                n_bytes = [len(t.encode()) for t in texts[lo:hi]]
-                columns = [batch.column(0)[lo:hi], pa.array(n_bytes, pa.int64()), pa.array(counter(texts[lo:hi]), pa.int64())]
+            for lo, hi, texts in text_slices(batch):
+                n_bytes = [len(t.encode()) for t in texts]
+                columns = [batch.column(0)[lo:hi], pa.array(n_bytes, pa.int64()), pa.array(counter(texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

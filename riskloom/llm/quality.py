@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, with_text
+from .common import slices, table, text_slices
 
 TRAIN_ROWS = 8192
 SHARDS = 2
@@ -141,9 +141,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches):
         features = Features()
         for batch in batches:
-            texts, w = with_text(batch), shipped.value
-            for lo, hi in slices([len(t) for t in texts]):
-                logit = logits(features, texts[lo:hi], w)
+            for lo, hi, texts in text_slices(batch):
+                logit = logits(features, texts, shipped.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(1 / (1 + np.exp(-logit)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -167,9 +166,8 @@ def keep(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFram
     def run(batches):
         features = Features()
         for batch in batches:
-            texts = with_text(batch, place)
-            for lo, hi in slices([len(t) for t in texts]):
-                yield batch.slice(lo, hi - lo).filter(pa.array(logits(features, texts[lo:hi], shipped.value) >= 0))
+            for lo, hi, texts in text_slices(batch, place):
+                yield batch.slice(lo, hi - lo).filter(pa.array(logits(features, texts, shipped.value) >= 0))
 
     return docs.mapInArrow(run, docs.schema)
 

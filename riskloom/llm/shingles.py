@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, with_text
+from .common import stash, text_slices, with_text
 from .simhash import BROADCAST_ROWS, SEED, simhash
 
 #: Similarity, as a fraction in whole numbers.
@@ -112,11 +112,10 @@ def prefixes(texts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         common, seen = shipped.value
         for batch in batches:
-            texts = with_text(batch, 2)
-            for lo, hi in slices([len(t) for t in texts]):
+            for lo, _, texts in text_slices(batch, 2):
                 own, ns, ks, ranks, lasts, heads, hot = [], [], [], [], [], [], []
-                for i in range(lo, hi):
-                    h = shingle_set(texts[i], width)
+                for i, text in enumerate(texts, lo):
+                    h = shingle_set(text, width)
                     n = len(h)
                     if not n:
                         continue
@@ -255,10 +254,9 @@ def whole_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = with_text(batch)
-            for lo, hi in slices([len(t) for t in texts]):
-                f = simhash(texts[lo:hi], width).view("<i8")
-                sets = [shingle_set(t, width).tobytes() for t in texts[lo:hi]]
+            for lo, hi, texts in text_slices(batch):
+                f = simhash(texts, width).view("<i8")
+                sets = [shingle_set(t, width).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(f, pa.int64()), pa.array(sets, pa.binary())], names=["id", "f", "set"])
 
     return texts.select("id", "text").mapInArrow(run, "id long, f long, set binary")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash, table, with_text
+from .common import stash, table, text_slices
 
 WIDTH = 3
 RADIUS = 3
@@ -76,9 +76,8 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = with_text(batch)
-            for lo, hi in slices([len(t) for t in texts]):
-                f = simhash(texts[lo:hi], width).view("<i8")
+            for lo, hi, texts in text_slices(batch):
+                f = simhash(texts, width).view("<i8")
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(f, pa.int64())], names=["doc_id", "f"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f long")
