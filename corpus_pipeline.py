@@ -42,8 +42,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(docs))
-    return decoded.select(
+    return bpe.encode(docs, decoded=True).select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
