@@ -175,12 +175,12 @@ def starts(*keys: np.ndarray) -> np.ndarray:
 
 
 def candidates(batches, most_paired: int):
-    """From rows (h, id) in order: pairs x < y and how many shingles they share here, or members y of the group x, a shingle."""
+    """From rows (h, id, n) in order: pairs x < y and how many shingles they share here, or members y (of n shingles) of the group x, a shingle."""
 
     def pairs(rows):
-        h, ids = (c.to_numpy() for c in rows.columns)
+        h, ids, n = (c.to_numpy() for c in rows.columns)
         one = starts(h, ids)  # equal texts count once
-        h, ids = h[one], ids[one]
+        h, ids, n = h[one], ids[one], n[one].astype(np.int64)
         first = starts(h)
         size = np.diff(np.append(first, len(h)))
         xs, ys = [], []
@@ -188,16 +188,18 @@ def candidates(batches, most_paired: int):
             begin = first[size == m]
             if len(begin):
                 i, j = np.triu_indices(m, 1)
-                xs.append(ids[begin[:, None] + i].ravel())
-                ys.append(ids[begin[:, None] + j].ravel())
-        if xs:
+                a, b = (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel()
+                sized = OVER * np.maximum(n[a], n[b]) <= UNDER * np.minimum(n[a], n[b])  # others cannot be alike
+                xs.append(ids[a[sized]])
+                ys.append(ids[b[sized]])
+        if sum(map(len, xs)):
             x, y = np.concatenate(xs), np.concatenate(ys)
             order = np.lexsort((y, x))
             x, y = x[order], y[order]
             at = starts(x, y)
             yield batch_of(x[at], y[at], np.diff(np.append(at, len(x))), False)
         for a, m in zip(first[size > most_paired].tolist(), size[size > most_paired].tolist(), strict=True):
-            yield batch_of(h[a : a + m], ids[a : a + m], np.zeros(m, np.int32), True)
+            yield batch_of(h[a : a + m], ids[a : a + m], n[a : a + m], True)
 
     def batch_of(x, y, c, big):
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c.astype(np.int32)), pa.array(np.full(len(x), big))], names=["x", "y", "c", "big"])
@@ -279,7 +281,7 @@ def compared(batches):
 
 
 def verified(batches):
-    """Links u > v of fingerprints, from rows (h, i, inner, j, f, set) sorted by the first four."""
+    """Links u > v of fingerprints, from rows (leader, i, inner, j, f, set) sorted by the first four."""
     for rows in whole_groups(batches, 4):
         keys, f = [rows.column(c).to_numpy() for c in range(4)], rows.column(4).to_numpy()
         sets = [np.frombuffer(s, "<u8") for s in rows.column(5).to_pylist()]
@@ -295,17 +297,20 @@ def links(docs: DataFrame, width: int) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("id"), doc.alias("doc"), F.col("text").cast("string").alias("text"))
     known = prefixes(texts, width)
-    rows = known.select(F.explode("heads").alias("h"), "id").repartition("h").sortWithinPartitions("h", "id")
+    rows = known.select(F.explode("heads").alias("h"), "id", "n").repartition("h").sortWithinPartitions("h", "id")
     limit = MOST_PAIRED
     found = stash(rows.mapInArrow(lambda batches: candidates(batches, limit), "x long, y long, c int, big boolean"))
 
-    groups = stash(found.where("big").select(F.col("x").alias("h"), F.col("y").alias("id")).unionByName(known.select(F.explode("hot").alias("h"), "id")))
-    leaders = stash(groups.groupBy("h").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1").select("h", "leader"))
-    led = groups.join(small(leaders), "h")
-    pairs = near_pairs(known, found).unionByName(led.where("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")))
+    groups = stash(found.where("big").select(F.col("x").alias("h"), F.col("y").alias("id"), F.col("c").alias("n")).unionByName(known.select(F.explode("hot").alias("h"), "id", "n")))
+    leaders = groups.groupBy("h").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    leaders = stash(leaders.select("h", F.col("first.id").alias("leader"), F.col("first.n").alias("leader_n")))
+    # groups of one leader are compared as one: most of its shingles have the same members
+    led = stash(groups.join(small(leaders), "h").groupBy("leader", "leader_n", "id", "n").agg(F.lit(1).alias("one")))
+    sized = F.expr(f"id <> leader and {OVER} * greatest(n, leader_n) <= {UNDER} * least(n, leader_n)")
+    pairs = near_pairs(known, found).unionByName(led.where(sized).select(F.col("leader").alias("x"), F.col("id").alias("y")))
     pairs = stash(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS))))
 
-    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(led.select("id")).distinct()
     wanted = stash(wanted.join(known.select("id", "doc"), "id").distinct())
     sets = stash(whole_sets(texts.join(small(wanted), ["id", "doc"], "left_semi"), width)).dropDuplicates(["id"])
     of = lambda keyed: keyed.join(sets, "id")
@@ -318,17 +323,17 @@ def links(docs: DataFrame, width: int) -> DataFrame:
 
     # groups with members that are not like their leader: these are compared with all members
     state = led.join(near.select(F.col("x").alias("leader"), F.col("y").alias("id"), F.lit(True).alias("near")), ["leader", "id"], "left")
-    state = stash(state.select("h", "id", (F.col("near").isNotNull() | (F.col("id") == F.col("leader"))).alias("near")))
+    state = stash(state.select("leader", "id", (F.col("near").isNotNull() | (F.col("id") == F.col("leader"))).alias("near")))
     blocks = lambda near: F.ceil(F.sum((F.col("near") == near).cast("long")) / BLOCK).cast("int")
-    open_ = stash(state.groupBy("h").agg(blocks(True).alias("inner"), blocks(False).alias("outer")).where("outer > 0"))
+    open_ = stash(state.groupBy("leader").agg(blocks(True).alias("inner"), blocks(False).alias("outer")).where("outer > 0"))
     if open_.isEmpty():
         return direct.distinct()
-    far = state.join(small(open_), "h").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("near"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    far = state.join(small(open_), "leader").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("near"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
     key = lambda i, inner, j: F.struct(i.cast("int").alias("i"), F.lit(inner).alias("inner"), j.cast("int").alias("j"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
     with_inner = F.transform(every(F.col("inner")), lambda j: key(F.col("own"), True, j))
     with_outer = F.transform(every(F.col("outer")), lambda j: key(F.least("own", j), False, F.greatest("own", j)))
     met = F.when(F.col("near"), F.transform(every(F.col("outer")), lambda i: key(i, True, F.col("own")))).otherwise(F.concat(with_inner, with_outer))
-    rows = of(far.select("h", "id", F.explode(met).alias("key"))).select("h", "key.i", "key.inner", "key.j", "f", "set")
-    rows = rows.repartition("h", "i", "inner", "j").sortWithinPartitions("h", "i", "inner", "j")
+    rows = of(far.select("leader", "id", F.explode(met).alias("key"))).select("leader", "key.i", "key.inner", "key.j", "f", "set")
+    rows = rows.repartition("leader", "i", "inner", "j").sortWithinPartitions("leader", "i", "inner", "j")
     return direct.unionByName(rows.mapInArrow(verified, "u long, v long")).distinct()
