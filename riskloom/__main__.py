@@ -1,12 +1,48 @@
-"""``python -m riskloom FOLDER``: scan the packages in a local folder."""
+"""``python -m riskloom scan FOLDER``, ``test-playbooks FOLDER`` or ``version``."""
 
 import argparse
 import sys
 
 from pyspark.sql import SparkSession
 
-from .plans.orchestrate import main
+from .plans import orchestrate
 
-parser = argparse.ArgumentParser(prog="riskloom", description="Judge the packages in FOLDER/<package>/...")
-parser.add_argument("folder")
-sys.exit(main(SparkSession.builder.appName("riskloom").getOrCreate(), parser.parse_args().folder))
+VERSION = "0.2"
+
+
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser(prog="riskloom", description="Judge software packages without running them")
+    commands = out.add_subparsers(dest="command")
+    scan = commands.add_parser("scan", help="judge the packages in FOLDER/<package>/...")
+    scan.add_argument("folder")
+    scan.add_argument("--name", "-n", default="", help="take the whole folder for one package of this name")
+    scan.add_argument("--version", "-v", default="unknown", dest="package_version")
+    scan.add_argument("--verbose", action="store_true", help="show Spark's log")
+    books = commands.add_parser("test-playbooks", help="judge the packages that FOLDER/expected.csv names and compare")
+    books.add_argument("folder")
+    books.add_argument("--verbose", action="store_true")
+    commands.add_parser("version")
+    return out
+
+
+def run(args: list[str]) -> int:
+    given = parser().parse_args(args)
+    if given.command is None:
+        parser().print_help()
+        return 0
+    if given.command == "version":
+        print(f"riskloom {VERSION}")
+        return 0
+    spark = SparkSession.builder.appName("riskloom").getOrCreate()
+    spark.sparkContext.setLogLevel("INFO" if given.verbose else "ERROR")
+    try:
+        if given.command == "scan":
+            return orchestrate.main(spark, given.folder, given.name, given.package_version)
+        return orchestrate.run_playbooks(spark, given.folder)
+    except NotADirectoryError as wrong:
+        print(f"Error: {wrong}", file=sys.stderr)
+        return 1
+
+
+if __name__ == "__main__":
+    sys.exit(run(sys.argv[1:]))

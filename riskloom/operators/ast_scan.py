@@ -16,7 +16,7 @@ from .regex_scan import readable
 
 # Calls that execute, and bare names of calls that decode.
 EXECUTING = ("eval", "exec", "compile")
-DECODING = ("b64decode", "b32decode", "b16decode", "b85decode", "a85decode", "unhexlify", "decompress")
+DECODING = ("b64decode", "b32decode", "b16decode", "loads", "decompress")
 
 ISSUES = "array<struct<seq:int,type:string,function:string,line:int,detail:string>>"
 

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import SEVERITIES
 
-# Addresses that are no finding, and binaries that an import may start.
+# Addresses that are no finding, what the programs begin with that an import may start, and the layout of lines.
 LOCAL_ADDRESSES = ("127.0.0.1", "::1", "0.0.0.0")
-EXPECTED_BINARIES = ("/usr/bin/python", "/usr/bin/env", "/bin/sh", "/usr/bin/sh", "/bin/uname", "/usr/bin/uname", "/sbin/ldconfig")
-
-OPENED = r'open(?:at)?\([^"]*"([^"]+)"'
-PORT = r"port=htons\((\d+)\)"
-ADDRESS = r'inet_(?:addr\("|pton\(AF_INET6?, ")([^"]+)"'
+EXPECTED_BINARIES = ("/usr/bin/python", "/bin/python", "/usr/bin/strace", "/bin/strace", "/usr/lib/python", "/lib/ld-linux", "/lib64/ld-linux")
+OPENED = r'openat\(.*?"([^"]+)"'
+CONNECTED = r'connect\(\d+,\s*\{sa_family=AF_INET6?,\s*sin6?_port=htons\((\d+)\),\s*sin6?_addr=inet_(?:addr|pton)\((?:AF_INET6?,\s*)?"([^"]+)'
 STARTED = r'execve\("([^"]+)"'
 
 
@@ -21,13 +19,13 @@ def canary_of(line: Column, canaries: list[str]) -> Column:
     """The first canary path that the opened path contains, or whose base name it ends with; else null."""
     path = F.regexp_extract(line, OPENED, 1)
     hits = (F.when(path.contains(c) | path.endswith(c.rsplit("/", 1)[-1]), F.lit(c)) for c in canaries)
-    return F.when(F.contains(line, F.lit("open")) & (path != ""), F.coalesce(*hits, F.lit(None).cast("string")))
+    return F.when(F.contains(line, F.lit("openat(")) & (path != ""), F.coalesce(*hits, F.lit(None).cast("string")))
 
 
 def endpoint_of(line: Column) -> Column:
     """``address:port`` of a connect call to anywhere but this machine, failed calls included; else null."""
-    address, port = F.regexp_extract(line, ADDRESS, 1), F.regexp_extract(line, PORT, 1)
-    outside = F.contains(line, F.lit("connect(")) & (address != "") & (port != "") & ~address.isin(*LOCAL_ADDRESSES)
+    port, address = F.regexp_extract(line, CONNECTED, 1), F.regexp_extract(line, CONNECTED, 2)
+    outside = F.contains(line, F.lit("connect(")) & (address != "") & ~address.isin(*LOCAL_ADDRESSES)
     return F.when(outside, F.concat(address, F.lit(":"), port))
 
 

@@ -55,13 +55,36 @@ def layer_status(packages: DataFrame, files: DataFrame, lines: DataFrame | None
     return out.na.fill(False, ["has_source", "has_trace"])
 
 
-def main(spark: SparkSession, root: str) -> int:
-    """Scan the local folders ``root/<package>/...``, print the reports, and give the exit code."""
-    from ..sources.files import read_local
+def main(spark: SparkSession, root: str, name: str = "", version: str = "unknown") -> int:
+    """Scan the folders ``root/<package>/...``, print the reports, and give the exit code.
+
+    With ``name``, all of the folder counts as one package of that name.
+    """
+    from ..sources.files import read_tree
     from .report import reports
 
-    found, judged = scan(read_local(spark, root))
+    files = read_tree(spark, root)
+    if name:
+        inside = F.concat_ws("/", "package_id", "rel_path")
+        files = files.select(F.lit(name).alias("package_id"), F.lit(name).alias("package_name"), inside.alias("rel_path"), "content")
+    found, judged = scan(files)
     found, judged = found.cache(), judged.cache()
+    if name:
+        print(f"{name} {version}")
     for row in reports(judged, found).orderBy("package_id").toLocalIterator():
         print(row.report)
     return scoring.worst_decision(judged).first().exit_code
+
+
+def run_playbooks(spark: SparkSession, root: str) -> int:
+    """Scan the folders that ``root/expected.csv`` (package_id, expected_decision) names, print the table of results; 0 if all pass."""
+    from ..sources.files import read_tree
+    from .report import playbook_table, regression_summary
+
+    expected = spark.read.csv(f"{root}/expected.csv", header=True, schema="package_id string, expected_decision int")
+    results = scoring.regression(scan(read_tree(spark, root))[1], expected).cache()
+    for row in playbook_table(results).orderBy("package_id").toLocalIterator():
+        print(row.line)
+    total = regression_summary(results).first()
+    print(f"{total.n_passed} of {total.n_total} passed")
+    return 0 if total.all_passed else 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import severity_name
+from ..functions.schema import decision_name, severity_name
 
 ADVICE = {2: "Read the code before you use it.", 3: "Do not install it."}
 
@@ -41,3 +41,10 @@ def skipped(errors: DataFrame) -> DataFrame:
 
 def regression_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if("passed").alias("n_passed"), F.count("*").alias("n_total"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("all_passed"))
+
+
+def playbook_table(results: DataFrame) -> DataFrame:
+    """package_id and line: one line of the table of results for each package."""
+    mark = F.when(F.col("passed"), F.lit("pass")).otherwise(F.lit("FAIL"))
+    got = F.coalesce(decision_name(F.col("decision")), F.lit("not judged"))
+    return results.select("package_id", F.concat(mark, F.lit("  "), F.rpad("package_id", 24, " "), F.lit("expected "), decision_name(F.col("expected_decision")), F.lit(", got "), got).alias("line"))

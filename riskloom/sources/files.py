@@ -2,42 +2,92 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.schema import MAX_FILE_BYTES
 
+#: Bytes of files that one task reads, and what opening one counts as.
+PART_BYTES, OPEN_COST = 32 << 20, 64 << 10
+
 # Planted credential files, in the order in which an access is told apart.
 CANARIES = (".ssh/id_rsa", ".ssh/id_ed25519", ".aws/credentials", ".env", ".git-credentials")
 
-NO_MODULE_FOLDERS = ("tests", "test", "testing", "docs", "doc", "examples", "benchmarks")
+# Fixed values.
+NO_MODULE_FOLDERS = ("tests", "test", "docs", "doc", "examples", "benchmarks")
+
+
+SUFFIXES = (".py", ".pyx", ".pyi")
+
+TREE = "package_id string, package_name string, rel_path string, content binary"
+
+
+class TreeSource(DataSource):
+    """Files below ``root/<package_id>/...`` of a folder that driver and executors share, hidden names included.
+
+    The driver lists names and sizes; tasks read the contents.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "riskloom_tree"
 
+    def schema(self) -> str:
+        return TREE
 
-def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py", ".pyx", ".pyi")) -> DataFrame:
+    def reader(self, schema) -> TreeReader:
+        return TreeReader(self.options["path"], tuple(self.options["suffixes"].split(",")))
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, root: str, suffixes: tuple[str, ...]):
+        self.root, self.suffixes = root, suffixes
+
+    def partitions(self) -> list[InputPartition]:
+        parts, own, total = [], [], 0
+        for folder, folders, names in os.walk(self.root):
+            folders.sort()
+            for name in sorted(names):
+                path = os.path.join(folder, name)
+                if folder == self.root or os.path.splitext(name)[1].lower() not in self.suffixes or (size := os.path.getsize(path)) > MAX_FILE_BYTES:
+                    continue
+                if own and total + size > PART_BYTES:
+                    parts, own, total = [*parts, InputPartition(own)], [], 0
+                own.append(os.path.relpath(path, self.root))
+                total += size + OPEN_COST
+        return [*parts, InputPartition(own)]
+
+    def read(self, partition: InputPartition):
+        for path in partition.value:
+            package, *rest = path.split(os.sep)
+            with open(os.path.join(self.root, path), "rb") as f:
+                yield package, package, "/".join(rest), f.read()
+
+
+def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Files below ``root/<package_id>/...`` as package_id, package_name, rel_path and content.
 
-    The glob and the length filter reach the file listing, so other files are never opened.
-    Spark's file sources pass over names that begin with ``_`` or ``.``, ``__init__.py`` among
-    them: packages that have these come as archives (``registry.expand``) or as a table.
+    A plain path is a folder that all executors see (``TreeSource``). A path with another
+    scheme than ``file`` is read by Spark's own source, which passes over names that begin
+    with ``_`` or ``.``: such trees come as archives (``registry.expand``) or as a table.
     """
+    if "://" not in root or root.startswith("file://"):
+        folder = root.removeprefix("file://").rstrip("/") or "/"
+        if not os.path.isdir(folder):
+            raise NotADirectoryError(f"{folder} is not a folder")
+        spark.dataSource.register(TreeSource)
+        return spark.read.format(TreeSource.name()).option("suffixes", ",".join(suffixes)).load(folder)
     glob = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    below = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace("file:", "").replace(".", r"\.") + "/", "")
+    below = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("://", 1)[1].replace(".", r"\.") + "/", "")
     kept = found.where(F.col("length") <= MAX_FILE_BYTES).select(below.alias("below"), "content")
     package = F.substring_index("below", "/", 1)
     return kept.select(package.alias("package_id"), package.alias("package_name"), F.expr("substring(below, instr(below, '/') + 1)").alias("rel_path"), "content")
 
 
-def read_local(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py", ".pyx", ".pyi")) -> DataFrame:
-    """The same, hidden names included, for the few packages of a folder on the driver's own disk."""
-    base = Path(root)
-    found = (p for p in sorted(base.rglob("*")) if p.suffix.lower() in suffixes and p.is_file() and p.stat().st_size <= MAX_FILE_BYTES)
-    rows = [(*([p.relative_to(base).parts[0]] * 2), "/".join(p.relative_to(base).parts[1:]), bytearray(p.read_bytes())) for p in found]
-    return spark.createDataFrame(rows, "package_id string, package_name string, rel_path string, content binary")
-
-
 def read_traces(spark: SparkSession, root: str) -> DataFrame:
     """Trace logs ``root/<package_id>.log`` as package_id, line_no and line; lines keep the order of their file."""
     rows = spark.read.text(root, wholetext=True).select(F.input_file_name().alias("path"), "value")

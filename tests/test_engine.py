@@ -195,14 +195,54 @@ def test_playbooks_from_a_folder(spark, tmp_path):
         target.parent.mkdir(parents=True)
         target.write_text(text)
         (target.parent / "notes.txt").write_text("subprocess.run(x)")
-    assert [r.rel_path for r in files.read_tree(spark, str(tmp_path / "tree")).collect()] == ["setup.py"]  # the others are hidden names
-    tree = files.read_local(spark, str(tmp_path / "tree"))
+    tree = files.read_tree(spark, str(tmp_path / "tree"))
     assert sorted(r.rel_path for r in tree.collect()) == sorted(p for p, _, _ in PLAYBOOKS.values())
     _, judged = orchestrate.scan(tree)
     expected = spark.createDataFrame([(n, d) for n, (_, _, d) in PLAYBOOKS.items()], "package_id string, expected_decision int")
     results = scoring.regression(judged, expected)
     assert report.regression_summary(results).first().asDict() == {"n_passed": 6, "n_total": 6, "all_passed": True}
     assert orchestrate.main(spark, str(tmp_path / "tree")) == 1
+    with pytest.raises(NotADirectoryError):
+        orchestrate.main(spark, str(tmp_path / "nothing"))
+
+
+def test_playbook_runner_and_one_package(spark, tmp_path, capsys):
+    for name, (path, text, _) in PLAYBOOKS.items():
+        target = tmp_path / name / path
+        target.parent.mkdir(parents=True)
+        target.write_text(text)
+    rows = "".join(f"{n},{d}\n" for n, (_, _, d) in PLAYBOOKS.items())
+    (tmp_path / "expected.csv").write_text("package_id,expected_decision\n" + rows)
+    assert orchestrate.run_playbooks(spark, str(tmp_path)) == 0
+    said = capsys.readouterr().out
+    assert said.count("pass") == 7 and "6 of 6 passed" in said
+    (tmp_path / "expected.csv").write_text("package_id,expected_decision\nclean,3\n")
+    assert orchestrate.run_playbooks(spark, str(tmp_path)) == 1
+    assert "FAIL" in capsys.readouterr().out
+    assert orchestrate.main(spark, str(tmp_path / "clean"), "clean", "1.0") == 0
+    assert capsys.readouterr().out.startswith("clean 1.0")
+
+
+def test_command_line(capsys):
+    from riskloom.__main__ import run
+
+    assert run(["version"]) == 0 and run([]) == 0
+    assert capsys.readouterr().out.startswith("riskloom ")
+
+
+def test_many_files_in_several_parts(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        target = tmp_path / f"p{k % 7}" / "_inner" / f"_f{k}.PY"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(f"x = {k}\n")
+    (tmp_path / "loose.py").write_text("")
+    monkeypatch.setattr(files, "PART_BYTES", 200_000)
+    reader = files.TreeReader(str(tmp_path), files.SUFFIXES)
+    assert len(reader.partitions()) > 5
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(rows) == 40 and {r[0] for r in rows} == {f"p{k}" for k in range(7)} and rows[0][2].startswith("_inner/_f")
+    assert files.read_tree(spark, str(tmp_path)).count() == 40
+    assert files.TreeReader(str(tmp_path / "p0" / "_inner"), files.SUFFIXES).partitions()[0].value == []
 
 
 def test_layers_that_had_no_input(spark):
