@@ -32,8 +32,15 @@ SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 #: Differing texts of one fingerprint, and first rows of ranges, that are broadcast.
 BROADCAST_ROWS = 500_000
 
-#: Ranges of doc_id are this many at most.
-MOST_RANGES = 1000
+#: Text in one range of documents, about, and keys that are sampled for each range.
+RANGE_BYTES = 16 << 20
+SAMPLED = 32
+
+#: Characters of a text that tell rows of one doc_id apart where ranges are cut.
+START = 64
+
+#: Where rows without doc_id stand.
+LOWEST = -(1 << 63)
 
 
 def unicode_tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], dict[str, int]]:
@@ -149,68 +156,107 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", "canon", high.alias("high"), low.alias("low"))
 
 
-def groups(found: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def groups(found: DataFrame, canon_of=None) -> DataFrame:
     """high, low, slot, group_id (its smallest doc_id) and n_copies of every group of equal canonical texts.
 
-    ``slot`` is empty but where texts of one fingerprint differ: there it is the text's digest.
+    ``slot`` is empty but where texts of one fingerprint differ: there it is the canonical
+    text's digest. ``canon_of(several)`` gives high, low and canon of the rows of some
+    fingerprints, for the comparison; without it, ``found`` has them.
     """
     counted = stash(found.groupBy("high", "low").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies")))
     several = counted.where("n_copies > 1").select("high", "low")
-    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    same = found.join(several, ["high", "low"], "left_semi").groupBy("high", "low").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
+    rows = (canon_of or (lambda some: found.join(some, ["high", "low"], "left_semi")))(small(several))
+    same = rows.groupBy("high", "low").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
     differ = stash(same.where("a <> b").select("high", "low"))
     if differ.isEmpty():
         return counted.withColumn("slot", F.lit(""))
-    parted = found.join(differ, ["high", "low"], "left_semi").groupBy("high", "low", F.sha2("canon", 256).alias("slot"))
+    rows = (canon_of or (lambda some: found.join(some, ["high", "low"], "left_semi")))(small(differ))
+    parted = rows.groupBy("high", "low", F.sha2("canon", 256).alias("slot"))
     parted = parted.agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
     return counted.join(differ, ["high", "low"], "left_anti").withColumn("slot", F.lit("")).unionByName(parted)
 
 
-def with_next(found: DataFrame) -> DataFrame:
-    """Every row with the text and fingerprint of the next one, the first after the last.
-
-    doc_ids are cut into ranges by their quantiles; each range is one window, and
-    gets the first row of the next range as its last.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text with what orders them: at (doc_id, null first) and start (of the text); h is a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumns({"at": F.coalesce("doc_id", F.lit(LOWEST)), "start": F.left("text", F.lit(START)), "h": F.xxhash64("text")})
+
+
+def cuts_of(rows: DataFrame) -> list[tuple[int, str]]:
+    """Where ranges of (at, start) begin that hold about RANGE_BYTES each, from a sample of a few keys for each range."""
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(2, -(-(total.bytes or 0) // RANGE_BYTES))
+    one_of = max(1, total.n // (SAMPLED * n))
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(7), "at", "start"), F.lit(one_of)) == 0).groupBy("at", "start").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sample = sorted((r.at, r.start, r.bytes) for r in sample.collect())  # about SAMPLED keys for each range
+    share, seen, cuts = sum(b for *_, b in sample) / n, 0, []
+    for at, start, size in sample:
+        if seen >= share * (len(cuts) + 1):
+            cuts.append((at, start))
+        seen += size
+    return cuts
+
+
+def part_of(cuts: list[tuple[int, str]]) -> Column:
+    """The range of a row: how many cuts do not come after it, looked up in two steps."""
+    if not cuts:
+        return F.lit(0)
+    own = F.struct("at", "start")
+    step = max(1, int(len(cuts) ** 0.5))
+    chunks = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    pairs = lambda some: F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(x).alias("start")) for a, x in some))
+    chunk = F.size(F.filter(pairs([c[0] for c in chunks]), lambda c: c <= own))
+    within = F.element_at(F.array(*map(pairs, chunks)), F.greatest(chunk, F.lit(1)))
+    return F.greatest(chunk - 1, F.lit(0)) * step + F.size(F.filter(within, lambda c: c <= own))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Every row with its fingerprint, and the text and fingerprint of the next one, the first after the last.
+
+    Rows are cut into ranges; each range is one window, and gets the first row of the
+    next range as its last. Rows of one doc_id are ordered by their texts, and spread
+    over ranges by how these start.
     """
-    spark = found.sparkSession
-    n = min(MOST_RANGES, max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    lowest = -(1 << 63)
-    found = found.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
-    cuts = found.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 10 * n)).first()[0] or []  # n numbers at most
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("at"))) if cuts else F.lit(0)
-    found = found.withColumn("part", part)
-    firsts = sorted((r.part, r.at) for r in found.groupBy("part").agg(F.min("at").alias("at")).collect())  # n rows at most
-    if not firsts:
-        return found.withColumns({"next_text": F.lit(""), "next_high": F.col("high"), "next_low": F.col("low")})
-    before = {at: firsts[i - 1][0] for i, (_, at) in enumerate(firsts)}
-    head = found.join(F.broadcast(spark.createDataFrame(list(before.items()), "at long, before int")), "at")
-    head = head.groupBy("at", "before").agg(F.min(F.struct("text", "canon", "high", "low")).alias("x")).select(F.col("before").alias("part"), "x.*")
-    cols = ["part", "text", "high", "low"]
-    rows = found.select(*cols, "doc_id", "at", F.lit(False).alias("extra"))
-    rows = rows.unionByName(head.select(*cols, F.lit(None).cast("long").alias("doc_id"), F.lit(lowest).alias("at"), F.lit(True).alias("extra")))
+    rows = keyed(docs)
+    rows = rows.withColumn("part", part_of(cuts_of(rows)))
+    firsts = sorted((r["first"].at, r["first"].start, r.part) for r in rows.groupBy("part").agg(F.min(F.struct("at", "start")).alias("first")).collect())  # a row for each range
+    before = [(at, start, firsts[i - 1][2]) for i, (at, start, _) in enumerate(firsts)]
+    before = small(rows.sparkSession.createDataFrame(before, "at long, start string, before int"))
+    head = rows.join(before, ["at", "start"]).groupBy("at", "start", "before").agg(F.min("text").alias("text")).select("text", F.col("before").alias("part"))
+    own = rows.select("part", "text", "doc_id", "at", "h", F.lit(False).alias("extra"))
+    own = own.unionByName(head.select("part", "text", F.lit(None).cast("long").alias("doc_id"), F.lit(LOWEST).alias("at"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("extra")))
+    high, low = hashes(F.col("canon"))
+    own = own.withColumn("canon", canonical(F.col("text"))).select("part", "text", "doc_id", "at", "h", "extra", high.alias("high"), low.alias("low"))
     order = Window.partitionBy("part").orderBy("extra", "at", "text")
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "high", "low")})
-    return rows.where(~F.col("extra"))
+    own = own.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "high", "low")})
+    return own.where(~F.col("extra"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprints(table(spark, sf_dir, "documents"))
-    kept = groups(found)
-    rows = with_next(found)
+    docs = table(spark, sf_dir, "documents")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut)))
+    rows = with_next(docs).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut)))
     rows = rows.withColumn("edited_canon", canonical(F.col("edited")))
     high, low = hashes(F.col("edited_canon"))
-    rows = rows.select(
-        "doc_id", "high", "low", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("high"), F.col("low")).alias("fingerprint"), shown(high, low).alias("edited_fingerprint"),
-        shown(F.col("next_high"), F.col("next_low")).alias("next_fingerprint"),
-    )
-    like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    out = rows.join(kept.where("slot = ''").select("high", "low", "group_id", "n_copies"), ["high", "low"], "left")
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next_fingerprint").alias("near_next"), "group_id", "n_copies",
-    )
+    same = lambda a, b: ((F.col("high") == a) & (F.col("low") == b)).cast("double")
+    # both canonical forms are computed once: what follows reads this table
+    rows = stash(rows.select(
+        "doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), "high", "low", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        shown(high, low).alias("edited_fingerprint"), same(high, low).alias("near_edited"), same(F.col("next_high"), F.col("next_low")).alias("near_next"),
+    ))
+
+    def canon_of(some: DataFrame) -> DataFrame:
+        wanted = stash(rows.join(some, ["high", "low"], "left_semi").select("h").distinct())
+        return fingerprints(keyed(docs).join(small(wanted), "h", "left_semi")).join(some, ["high", "low"], "left_semi")
+
+    kept = groups(rows, canon_of)
+    parted = kept.where("slot <> ''").select("high", "low").distinct()
+    slots = canon_of(small(stash(parted))).select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), F.sha2("canon", 256).alias("slot")).distinct() if not parted.isEmpty() else None
+    rows = rows.withColumn("slot", F.lit("")) if slots is None else rows.join(slots, ["h", "h2"], "left").na.fill("", ["slot"])
+    out = rows.join(kept, ["high", "low", "slot"], "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", shown(F.col("high"), F.col("low")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "group_id", "n_copies")

@@ -251,3 +251,41 @@ def test_fingerprint_edges(edges, empty):
     assert last.next_text == ""  # the first: no doc_id, no text
     assert len({(r.high, r.low) for r in rows if r.doc_id in (1, 2, 4)}) == 1
     assert fingerprint.with_next(fingerprint.fingerprints(empty)).count() == 0 and fingerprint.groups(fingerprint.fingerprints(empty)).count() == 0
+
+
+def chained(rows):
+    """doc_id, text and the text that follows, by brute force."""
+    order = sorted(((-1 if i is None else i), t or "") for i, t in rows)
+    return sorted((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+
+
+def test_next_rows_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 600)
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 7, 7, *range(8, 40)]), " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(0, 12)))) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert len(fingerprint.cuts_of(fingerprint.keyed(docs))) > 8
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(docs).collect())
+    assert got == chained(rows)
+
+
+def test_fingerprint_query_on_edges_and_parted_groups(spark, edges, tmp_path, monkeypatch):
+    edges.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(i, t or "") for i, t in EDGES]
+
+    def expected():
+        out = []
+        for i, t, after in chained(EDGES):
+            n = len(t) // 4
+            edited = t[: len(t) - n] + after[:n]
+            ids = [j for j, u in rows if canonical(u) == canonical(t)]
+            out.append((None if i < 0 else i, len(t), sha(edited), float(canonical(t) == canonical(edited)), float(canonical(t) == canonical(after)), min((j for j in ids if j is not None), default=None), len(ids)))
+        return sorted(out, key=repr)
+
+    def got():
+        return sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.group_id, r.n_copies) for r in fingerprint.query(spark, str(tmp_path)).collect()), key=repr)
+
+    assert got() == expected()
+    # all texts in one bucket: the texts themselves part them
+    monkeypatch.setattr(fingerprint, "hashes", lambda canon: (F.length(canon) * 0 + F.lit(1).cast("long"), F.lit(2).cast("long")))
+    assert [(*r[:3], *r[5:]) for r in got()] == [(*r[:3], *r[5:]) for r in expected()]
