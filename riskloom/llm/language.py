@@ -8,7 +8,8 @@ shorter context asked, down to an even share of 1/256. The language with the
 shortest code for the whole text is the answer, and its posterior share the score.
 
 ``TRAIN_ROWS`` documents of each language, about, are learned from: those whose
-hash of doc_id is smallest. Their whole texts count.
+hash of doc_id is smallest. Their whole texts count, and every context of them is
+kept. A model beyond ``MODEL_BYTES`` (hundreds of languages) is refused.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0;
 ties go to the first language in order; null langs and null doc_ids teach
@@ -32,8 +33,8 @@ from .quality import fold
 ORDER = 3
 TRAIN_ROWS = 400
 
-#: Contexts of the highest order are kept if seen this often in some language.
-LEAST_SEEN = 3
+#: Bytes of one table of a model at most.
+MODEL_BYTES = 1 << 28
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Code lengths of a symbol after a context, for every language."""
+    """Code lengths of a symbol after a context, for every language, in sorted tables of what was seen.
+
+    For each order: the grams (a context and a symbol) that some language has, with the
+    code length in every language, and the contexts, with what escaping from each costs.
+    """
 
     def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
@@ -77,46 +82,58 @@ class Model:
         self.code = np.zeros(257, np.int64)  # 0: the start of a text, and bytes that no training text has
         self.code[seen] = np.arange(1, len(seen) + 1)
         size = self.size = len(seen) + 1
-        packed, frequent = {}, np.zeros(size**ORDER, bool)
-        for lang, (g, n) in grams.items():
-            c = [self.code[symbols(g, k)] for k in range(ORDER + 1)]
-            packed[lang] = context, c[ORDER], n = sum(x * size ** (ORDER - 1 - k) for k, x in enumerate(c[:ORDER])), c[ORDER], n
-            frequent |= np.bincount(context, n, size**ORDER) >= LEAST_SEEN
-        # a row of code lengths for each context of the order below, then one for each frequent context
-        top = np.flatnonzero(frequent)
-        self.row = np.arange(size**ORDER, dtype=np.int32) % size ** (ORDER - 1)
-        self.row[top] = size ** (ORDER - 1) + np.arange(len(top))
-        self.bits = []
-        for lang in langs:
-            context, symbol, n = packed[lang]
-            below = np.full((1, size), 8.0)
-            for order in range(ORDER):
-                below = self.longer(below, np.bincount(context % size**order * size + symbol, n, size ** (order + 1)).reshape(-1, size))
-            row = self.row[context] - size ** (ORDER - 1)
-            counts = np.bincount((row * size + symbol)[row >= 0], n[row >= 0], len(top) * size).reshape(-1, size)
-            longest = self.longer(below[top % size ** (ORDER - 1)], counts)
-            self.bits.append(np.concatenate([below, longest]).astype(np.float32).ravel())
-
-    def longer(self, below: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Code lengths one order up; ``below`` has a row for each context, or for each of its shorter ones."""
-        below = np.tile(below, (len(counts) // len(below), 1))
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            known, escape = np.log2(total + kinds) - np.log2(counts), np.log2(total + kinds) - np.log2(kinds)
-        return np.where(total == 0, below, np.where(counts > 0, known, escape + below))
+        packed = {x: (sum(self.code[symbols(g, k)] * size ** (ORDER - k) for k in range(ORDER + 1)), n) for x, (g, n) in grams.items()}
+        self.keys, self.bits, self.contexts, self.escapes = [], [], [], []
+        for order in range(ORDER + 1):
+            own = {x: self.summed(key % size ** (order + 1), n) for x, (key, n) in packed.items()}
+            keys = np.unique(np.concatenate([k for k, _ in own.values()]))
+            contexts = np.unique(keys // size)
+            if 4 * len(langs) * (len(keys) + len(contexts)) > MODEL_BYTES:
+                raise ValueError("the statistics of so many languages do not fit a task's memory: learn from fewer rows of each")
+            below = self.costs(order - 1, keys % size**order)
+            bits, escapes = np.empty((len(keys), len(langs)), np.float32), np.zeros((len(contexts), len(langs)), np.float32)
+            for k, lang in enumerate(langs):
+                key, n = own[lang]
+                count, at = np.zeros(len(keys)), np.searchsorted(contexts, keys // size)
+                count[np.searchsorted(keys, key)] = n
+                total, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, count > 0, len(contexts))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escapes[:, k] = np.where(total > 0, np.log2(total + kinds) - np.log2(kinds), 0)
+                    bits[:, k] = np.where(count > 0, np.log2(total + kinds)[at] - np.log2(count), escapes[at, k] + below[:, k])
+            for table, new in ((self.keys, keys), (self.bits, bits), (self.contexts, contexts), (self.escapes, escapes)):
+                table.append(new)
+
+    @staticmethod
+    def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, back = np.unique(key, return_inverse=True)
+        return key, np.bincount(back.ravel(), n, len(key))
+
+    def costs(self, order: int, key: np.ndarray) -> np.ndarray:
+        """Bits of grams of an order (row) in each language (column)."""
+        if order < 0:
+            return np.full((len(key), len(self.langs)), 8.0, np.float32)
+        at = np.minimum(np.searchsorted(self.keys[order], key), len(self.keys[order]) - 1)
+        out, new = self.bits[order][at], np.flatnonzero(self.keys[order][at] != key)
+        if len(new):
+            context = key[new] // self.size
+            at = np.minimum(np.searchsorted(self.contexts[order], context), len(self.contexts[order]) - 1)
+            known = self.contexts[order][at] == context
+            out[new] = self.escapes[order][at] * known[:, None] + self.costs(order - 1, key[new] % self.size**order)
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (row) in each language (column)."""
         s, starts = padded(texts)
         c = self.code[s]
-        context = sum(c[k : len(c) - ORDER + k] * self.size ** (ORDER - 1 - k) for k in range(ORDER))
-        at = self.row[context].astype(np.int64) * self.size + c[ORDER:]
-        text = s[ORDER:] > 0
-        ends = np.cumsum([len(t) for t in texts])
+        key = sum(c[k : len(c) - ORDER + k] * self.size ** (ORDER - k) for k in range(ORDER + 1))[s[ORDER:] > 0]
+        key, back = np.unique(key, return_inverse=True)
+        bits, back = self.costs(ORDER, key), back.ravel()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
         out = np.empty((len(texts), len(self.langs)))
-        for k, bits in enumerate(self.bits):
-            total = np.concatenate([[0.0], np.cumsum(bits[at[text]], dtype=np.float64)])
-            out[:, k] = total[ends] - total[ends - [len(t) for t in texts]]
+        for k in range(len(self.langs)):
+            total = np.concatenate([[0.0], np.cumsum(bits[back, k], dtype=np.float64)])
+            out[:, k] = total[ends] - total[ends - sizes]
         return out
 
 
@@ -135,7 +152,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the training sample
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES for each table at most
 
     def run(batches):
         import regex
