@@ -3,10 +3,13 @@
 import math
 
 import numpy as np
+import regex
+import xxhash
+from pyspark.sql import functions as F
 
 from riskloom.llm import language, quality
 
-from .conftest import EDGES
+from .conftest import EDGES, by_id
 
 
 def test_quality_of_held_out_documents(spark):
@@ -15,7 +18,7 @@ def test_quality_of_held_out_documents(spark):
     got = [r for r in quality.query(spark, sf).collect() if r.held_out and r.doc_id in label]
     good = [r.predicted for r in got if label[r.doc_id] == 1]
     bad = [r.predicted for r in got if label[r.doc_id] == 0]
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.35
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
 
 
 def test_quality_learns_nothing_from_the_held_out_fold(spark, sf, docs):
@@ -23,7 +26,6 @@ def test_quality_learns_nothing_from_the_held_out_fold(spark, sf, docs):
 
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     held = [r.doc_id for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
-    from pyspark.sql import functions as F
 
     turned = labels.withColumn("quality", F.when(F.col("doc_id").isin(held), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert (quality.train(docs, labels) == quality.train(docs, turned)).all()
@@ -98,3 +100,49 @@ def test_language_edges(edges, empty, docs):
     assert all((r.lang_pred, r.score) == ("und", 0) for r in got if r.doc_id in (1, 2, 4))
     assert {r.lang_pred for r in language.identify(edges, language.train(empty)).collect()} == {"und"}
     assert language.identify(empty, language.train(docs)).count() == 0
+
+
+def slow_features(text):
+    """Features of a text, one word at a time, with Python's own numbers."""
+    whole, c = (1 << 64) - 1, 0xD6E8FEB86659FD93
+    h = [xxhash.xxh32_intdigest(p.encode()) for w in text.split() for p in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", w)]
+    pairs = [1 if a == b else (a * 0x9E3779B97F4A7C15 + b) & whole for a, b in zip(h, h[1:], strict=False)]
+    count = {}
+    for key in [*((x * c & whole) >> 64 - quality.BITS for x in h), *(((x + 7 & whole) * c & whole) >> 64 - quality.BITS for x in pairs)]:
+        count[key] = count.get(key, 0) + 1
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in count.values()))
+    return {k: math.log1p(n) / norm for k, n in count.items()}
+
+
+def slow_learning(examples):
+    z, n, w = {}, {}, {}
+    for _ in range(quality.EPOCHS):
+        for x, y in examples:
+            for k in x:
+                small = abs(z.get(k, 0.0)) <= quality.L1
+                w[k] = 0.0 if small else (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n.get(k, 0.0))) / quality.ALPHA + quality.L2)
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g, old = (p - y) * v, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / quality.ALPHA * w[k]
+                n[k] = old + g * g
+    return w
+
+
+def test_quality_scores_by_hand(spark, docs, sf):
+    some = docs.orderBy("doc_id").limit(90)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = some.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(quality.SHARDS)).alias("shard"), F.xxhash64("text").alias("order"), (quality.fold(F.col("doc_id"), 3) == 1).alias("held")).collect()
+    label = {r.doc_id: int(r.q >= 0.5) for r in labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).collect()}
+    bias = 1 << quality.BITS
+    models = []
+    for shard in range(quality.SHARDS):
+        own = sorted((r.order, label[r.doc_id], r.text or "") for r in rows if r.shard == shard and not r.held and r.doc_id in label)
+        models.append((len(own), slow_learning([({**slow_features(t), bias: 1.0}, y) for _, y, t in own])))
+    assert all(n > 5 for n, _ in models)
+    total = sum(n for n, _ in models)
+    got = by_id(quality.classify(some, labels))
+    for r in rows:
+        x = {**slow_features(r.text or ""), bias: 1.0}
+        logit = sum(v * sum(n * w.get(k, 0.0) for n, w in models) / total for k, v in x.items())
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-logit))) < 1e-4
