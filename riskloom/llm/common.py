@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,18 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-@contextmanager
-def batches_by_bytes(spark: SparkSession) -> Iterator[None]:
-    """Python gets Arrow batches of BATCH_BYTES at most, so that long rows do not add up; rows alone count elsewhere."""
-    before = spark.conf.get(BATCH_KEY, None)
-    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(BATCH_KEY)
-        else:
-            spark.conf.set(BATCH_KEY, before)
+def bounded_batches(spark: SparkSession) -> None:
+    """Python gets Arrow batches of BATCH_BYTES at most, unless the session names a lower bound.
+
+    Spark bounds batches by rows alone, so that long texts add up to far more than a task needs at once.
+    """
+    digits = "".join(filter(str.isdigit, spark.conf.get(BATCH_KEY, None) or ""))
+    if not digits or int(digits) == 0 or int(digits) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -59,8 +55,8 @@ def stash(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
-    with batches_by_bytes(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    bounded_batches(spark)
+    df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Memory
-from .common import slices, stash, table, with_text
+from .common import stash, table, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -232,7 +232,7 @@ def encoder(file: str):
         bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bare["pre_tokenizer"]["pretokenizers"][1]]}
     simple = Tokenizer.from_str(json.dumps(bare))
 
-    def together(model, words, n):
+    def in_groups(model, words, n):
         """Packed ids of words, ``n`` of them in one text, cut where ids end a word."""
         groups = [words[k : k + n] for k in range(0, len(words), n)]
         for own, e in zip(groups, model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -262,13 +262,13 @@ def encoder(file: str):
 
     def packed(chunks):
         small = list(filter(latin, chunks))
-        known = dict(zip(small, together(simple, small, 8 * TOGETHER), strict=True))
+        known = dict(zip(small, in_groups(simple, small, 8 * TOGETHER), strict=True))
         others = [c for c in chunks if c not in known]
         parts = list(map(cut, others))
         bases = {b for b, _ in parts if b is not None}.difference(known)
         known.update((b, got) for b in bases if (got := memory.young.get(b)))
         new = list(bases.difference(known))
-        known.update(zip(new, together(tokenizer, new, TOGETHER), strict=True))
+        known.update(zip(new, in_groups(tokenizer, new, TOGETHER), strict=True))
         rest = list({t for _, t in parts if t})
         tails = dict(zip(rest, single(rest), strict=True))
         made = {c: (known[b] if b is not None else b"") + (tails[t] if t else b"") for c, (b, t) in zip(others, parts, strict=True)}
@@ -329,6 +329,21 @@ def shared_encoder(file: str):
     return SHARED[file]
 
 
+def together(batches, budget: int):
+    """doc_ids and texts of rows of several batches, of about ``budget`` bytes."""
+    own, texts, total = [], [], 0
+    for batch in batches:
+        for lo, hi, some in text_slices(batch, 1, budget):
+            own += batch.column(0)[lo:hi].to_pylist()
+            texts += some
+            total += sum(map(len, some))
+            if total >= budget:
+                yield own, texts
+                own, texts, total = [], [], 0
+    if own:
+        yield own, texts
+
+
 def write(docs: DataFrame, path: str | None = None, parts: int | None = None) -> DataFrame:
     """The table of shards: part, shard, first (ids before it in its part), n_ids, doc_ids, lengths, file.
 
@@ -358,20 +373,18 @@ def write(docs: DataFrame, path: str | None = None, parts: int | None = None) ->
             row = {"part": [part], "shard": [shard], "first": [first], "n_ids": [len(ids)], "doc_ids": [doc_ids], "lengths": [lengths], "file": [compress(ids, vocabulary)]}
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
-        for batch in batches:
-            texts, own = with_text(batch), batch.column(0).to_pylist()
-            for lo, hi in slices([len(t) for t in texts], TOGETHER_CHARS):
-                ids, counts = encode(texts[lo:hi])
-                at = 0
-                for doc_id, n in zip(own[lo:hi], counts.tolist(), strict=True):
-                    doc_ids.append(doc_id)
-                    lengths.append(n + 1)
-                    kept += [ids[at : at + n], end]
-                    at += n
-                    size += n + 1
-                    if size >= SHARD_IDS:
-                        yield done()
-                        shard, first, size, doc_ids, kept, lengths = shard + 1, first + size, 0, [], [], []
+        for own, texts in together(batches, TOGETHER_CHARS):
+            ids, counts = encode(texts)
+            at = 0
+            for doc_id, n in zip(own, counts.tolist(), strict=True):
+                doc_ids.append(doc_id)
+                lengths.append(n + 1)
+                kept += [ids[at : at + n], end]
+                at += n
+                size += n + 1
+                if size >= SHARD_IDS:
+                    yield done()
+                    shard, first, size, doc_ids, kept, lengths = shard + 1, first + size, 0, [], [], []
         if kept:
             yield done()
 
