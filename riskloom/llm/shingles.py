@@ -45,7 +45,7 @@ MOST_COMMON = 200_000
 HOT = 16
 
 #: Texts that share a shingle and are paired; beyond it, they are a group.
-MOST_PAIRED = 24
+MOST_PAIRED = 64
 
 #: Members of a group in one block, about; and parts that the texts compared with one leader are dealt to.
 BLOCK = 128
