@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session names none (tests), a temporary folder is set for it.
+    Where a local session names none (tests), a temporary folder is set for it; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="riskloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
