@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets, simhash, substring
+from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets, simhash, substring, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.query,
     "op9_byte_bpe": bpe.query,
     "op10_fingerprint": fingerprint.query,
+    "op11_whitening": whitening.query,
 }
 
 ORACLES: dict[str, str] = {
