@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, fingerprint, grammar, language, quality, secrets, simhash, substring, whitening
+from . import bpe, counts, decontaminate, fingerprint, grammar, language, minhash, quality, secrets, simhash, substring, variants, whitening
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_byte_bpe": bpe.query,
     "op10_fingerprint": fingerprint.query,
     "op11_whitening": whitening.query,
+    "op12_minhash": minhash.query,
+    "op13_spelling_variants": variants.query,
 }
 
 ORACLES: dict[str, str] = {
