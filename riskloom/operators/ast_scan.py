@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import AST_SUFFIXES, ast_severity
-from ..functions.text import lines, stripped
 from ..sources.rules import Rule
 from .regex_scan import readable
 
@@ -18,7 +17,7 @@ from .regex_scan import readable
 EXECUTING = ("eval", "exec", "compile")
 DECODING = ("b64decode", "b32decode", "b16decode", "loads", "decompress")
 
-ISSUES = "array<struct<seq:int,type:string,function:string,line:int,detail:string>>"
+ISSUES = "array<struct<seq:int,type:string,function:string,line:int,detail:string,evidence:string>>"
 
 
 def call_name(call: ast.Call) -> str:
@@ -54,33 +53,34 @@ def issues_of(text: str) -> tuple[list[dict], str | None]:
         return [], type(wrong).__name__
     names = [call_name(c) for c in calls]
     executes = sorted(set(names).intersection(EXECUTING))
-    found = []
+    found, lines = [], text.splitlines()
+
+    def add(kind: str, name: str, line: int, detail: str) -> None:
+        evidence = lines[line - 1].strip() if 0 < line <= len(lines) else ""
+        found.append({"seq": len(found), "type": kind, "function": name, "line": line, "detail": detail, "evidence": evidence})
+
     for call, name in zip(calls, names, strict=True):
-        add = lambda kind, detail: found.append({"seq": len(found), "type": kind, "function": name, "line": call.lineno, "detail": detail})  # noqa: B023, E731
         if name in EXECUTING and dynamic(call):
-            add("dynamic_exec", "called with what is made at run time")
+            add("dynamic_exec", name, call.lineno, "called with what is made at run time")
         if name in DECODING and executes:
-            add("decode_exec_chain", "decoded where " + ", ".join(executes) + " is called")
+            add("decode_exec_chain", name, call.lineno, "decoded where " + ", ".join(executes) + " is called")
         if name == "__import__" and dynamic(call):
-            add("dynamic_import", "imports what is named at run time")
+            add("dynamic_import", name, call.lineno, "imports what is named at run time")
     return found, None
 
 
 def issues(files: DataFrame) -> DataFrame:
-    """Source files with their issues and error: the one step that needs Python."""
-    kept = readable(files, AST_SUFFIXES).withColumn("lines", lines(F.col("text")))
+    """Source files with their issues, each with its line's text, and error: the one step that needs Python."""
 
     def run(batches):
-        kind = pa.list_(pa.struct([("seq", pa.int32()), ("type", pa.string()), ("function", pa.string()), ("line", pa.int32()), ("detail", pa.string())]))
+        fields = [("seq", pa.int32()), ("type", pa.string()), ("function", pa.string()), ("line", pa.int32()), ("detail", pa.string()), ("evidence", pa.string())]
         for batch in batches:
-            found = [issues_of(t) for t in batch.column("text").to_pylist()]
-            columns = [batch.column(c) for c in ("package_id", "package_name", "rel_path", "lines")]
-            columns += [pa.array([x for x, _ in found], kind), pa.array([e for _, e in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["package_id", "package_name", "rel_path", "lines", "issues", "error"])
+            found = [issues_of(t) for t in batch.column(3).to_pylist()]
+            columns = [*(batch.column(c) for c in range(3)), pa.array([x for x, _ in found], pa.list_(pa.struct(fields))), pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["package_id", "package_name", "rel_path", "issues", "error"])
 
-    schema = f"package_id string, package_name string, rel_path string, lines array<struct<line_no:int,line:string>>, issues {ISSUES}, error string"
-    spread = kept.select(F.col("package_id").cast("string"), F.col("package_name").cast("string"), "rel_path", "lines", "text")
-    return spread.mapInArrow(run, schema)
+    kept = readable(files, AST_SUFFIXES).select(F.col("package_id").cast("string"), F.col("package_name").cast("string"), "rel_path", "text")
+    return kept.mapInArrow(run, f"package_id string, package_name string, rel_path string, issues {ISSUES}, error string")
 
 
 def matches(rule: dict, issue: Column) -> Column:
@@ -96,7 +96,7 @@ def matches(rule: dict, issue: Column) -> Column:
 def scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Findings of AST rules: each issue goes to the first rule in catalogue order that it matches."""
     active = [r for r in rules if r.type == "ast" and r.target == "source"]
-    rows = issues(files).select("package_id", "package_name", "rel_path", "lines", F.explode("issues").alias("issue"))
+    rows = issues(files).select("package_id", "package_name", "rel_path", F.explode("issues").alias("issue"))
     chosen = F.lit(None).cast("struct<pattern_id:string,category:string,severity:int,description:string>")
     for rule in reversed(active):
         own = F.struct(F.lit(rule.pattern_id).alias("pattern_id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"), F.lit(rule.description).alias("description"))
@@ -107,8 +107,7 @@ def scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
             hit = hit & ~F.coalesce(F.lower("package_name").isin(*(n.lower() for n in rule.expected_for)), F.lit(False))
         chosen = F.when(hit, own).otherwise(chosen)
     found = rows.withColumn("rule", chosen).where("rule is not null")
-    line = F.get("lines", F.col("issue.line") - 1)["line"]
     return found.select(
         "package_id", (F.col("issue.seq").cast("long") + 2_000_000).alias("finding_seq"), "rule.pattern_id", "rule.category", ast_severity(F.col("rule.severity"), F.col("rel_path")).alias("severity"),
-        "rule.description", F.coalesce(stripped(line), F.lit("")).alias("evidence"), F.col("rel_path").alias("source_file"), F.col("issue.line").alias("line_number"), F.lit("static").alias("layer"),
+        "rule.description", F.col("issue.evidence").alias("evidence"), F.col("rel_path").alias("source_file"), F.col("issue.line").alias("line_number"), F.lit("static").alias("layer"),
     )

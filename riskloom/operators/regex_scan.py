@@ -12,6 +12,9 @@ from ..functions.schema import MAX_FILE_BYTES, PRIORITY_FILES, REGEX_SUFFIXES, f
 from ..functions.text import decoded, lines, stripped
 from ..sources.rules import Rule, java_pattern
 
+#: Patterns that are folded into one expression; more would not be compiled.
+FOLDED_PATTERNS = 100
+
 #: Anchors and lookarounds see line ends, so a test of the whole text first would miss matches.
 LINE_BOUND = re.compile(r"[\^$]|\\[AZzbB]|\(\?[=!<]")
 
@@ -70,9 +73,13 @@ def has(java: str):
 
 
 def scan(files: DataFrame, rules: list[Rule], most_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
-    """Findings of regex rules: at most one for each rule and file."""
+    """Findings of regex rules: at most one for each rule and file. Large catalogues go through an automaton (``literal_scan``)."""
     spark = files.sparkSession
     active = [r for r in rules if r.type == "regex" and r.target == "source"]
+    if sum(len(r.rules) for r in active) > FOLDED_PATTERNS:
+        from . import literal_scan
+
+        return literal_scan.scan(files, rules, most_bytes)
     parts = []
     for ordinal, rule in enumerate(active):
         patterns = []

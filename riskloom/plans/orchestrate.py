@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import os
+import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from ..operators import ast_scan, metadata, regex_scan, scoring, trace
 from ..operators.similarity import POPULAR
 from ..sources.files import CANARIES
 from ..sources.rules import Rule, load
+from ..sources.shared import written
 
 
 def static_findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -55,27 +58,46 @@ def layer_status(packages: DataFrame, files: DataFrame, lines: DataFrame | None
     return out.na.fill(False, ["has_source", "has_trace"])
 
 
-def main(spark: SparkSession, root: str, name: str = "", version: str = "unknown") -> int:
-    """Scan the folders ``root/<package>/...``, print the reports, and give the exit code.
+def main(spark: SparkSession, root: str, name: str = "", version: str = "unknown", each: bool = False, rules: list[Rule] | None = None) -> int:
+    """Scan a folder, print the reports and what could not be read, and give the exit code.
 
-    With ``name``, all of the folder counts as one package of that name.
+    All of the folder is one package of this name (the folder's own by default); with
+    ``each``, every folder in it is a package.
     """
     from ..sources.files import read_tree
     from .report import reports
 
-    files = read_tree(spark, root)
-    if name:
-        inside = F.concat_ws("/", "package_id", "rel_path")
-        files = files.select(F.lit(name).alias("package_id"), F.lit(name).alias("package_name"), inside.alias("rel_path"), "content")
-    found, judged = scan(files)
-    found, judged = found.cache(), judged.cache()
-    if name:
+    name = name or os.path.basename(os.path.abspath(root.removeprefix("file://")))
+    files = written(read_tree(spark, root, package=None if each else name))
+    for row in files.where("error is not null").orderBy("package_id", "rel_path").toLocalIterator():
+        print(f"Warning: {row.package_id}: {row.rel_path} was not read: {row.error}", file=sys.stderr)
+    known = None if each else spark.createDataFrame([(name,)], "package_id string")
+    found, judged = scan(files.where("error is null"), rules, packages=known)
+    found, judged = written(found), written(judged)
+    if not each:
         print(f"{name} {version}")
     for row in reports(judged, found).orderBy("package_id").toLocalIterator():
         print(row.report)
     return scoring.worst_decision(judged).first().exit_code
 
 
+def check(spark: SparkSession, specs: list[str], registry_root: str, limit: int, as_of: datetime | None = None, rules: list[Rule] | None = None) -> int:
+    """Judge packages from a copy of a registry (``registry.read_answers``, ``registry.read_archives``), print reports in the order of requests, and give the exit code."""
+    from ..sources.registry import read_answers, read_archives
+    from . import batch
+    from .report import reports
+
+    requests = spark.createDataFrame(list(enumerate(specs)), "request_ordinal long, spec string")
+    names = [r.name for r in batch.requested(requests).select("name").distinct().collect()]  # as many as were typed
+    answers = read_answers(spark, registry_root).where(F.col("name").isin(names))
+    done = batch.check(requests, answers, read_archives(spark, registry_root), rules or load().rules, as_of or datetime.now(UTC), limit)
+    results = written(done.results)
+    texts = reports(done.verdicts, done.findings)
+    for row in results.join(texts, "package_id", "left").orderBy("request_ordinal").toLocalIterator():
+        print(f"skipped {row.spec}: {row.error}" if row.error else row.report)
+    return scoring.worst_decision(results.where("decision is not null"), results.where("error is not null")).first().exit_code
+
+
 def run_playbooks(spark: SparkSession, root: str) -> int:
     """Scan the folders that ``root/expected.csv`` (package_id, expected_decision) names, print the table of results; 0 if all pass."""
     from ..sources.files import read_tree

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import schema as S
 from ..functions import text as T
-from ..operators import ast_scan, metadata, regex_scan, scoring, similarity, trace
+from ..operators import ast_scan, literal_scan, metadata, order, regex_scan, scoring, similarity, trace
 from ..sources import files as files_source
 from ..sources import registry as fetch
 from ..sources import rules as catalogue
-from . import orchestrate, report
+from . import batch, made, orchestrate, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -492,3 +492,87 @@ def _(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY other, folder) AS rk FROM able WHERE other = 0 OR lower(folder) NOT IN ({', '.join(map(quoted, files_source.NO_MODULE_FOLDERS))})) SELECT package_id, folder AS module FROM r WHERE rk = 1""")
 def _(spark, sf_dir):
     return files_source.resolve_module(derive("folders", spark, sf_dir))
+
+
+# ---- archives and whole batches ----
+
+
+@query("archive_files", """WITH known(kind, rel_path, body, size, error) AS (VALUES (0, 'setup.py', 'x = @' || chr(10), NULL, NULL), (0, 'pkg/__init__.py', '', NULL, NULL), (1, 'pkg/a.py', 'x = @' || chr(10), NULL, NULL),
+(1, 'meta/b.txt', 'text', NULL, NULL), (2, NULL, NULL, NULL, 'a member leaves the archive'), (3, NULL, NULL, NULL, 'a member leaves the archive'), (4, NULL, NULL, NULL, 'damaged'), (5, NULL, NULL, NULL, 'damaged'),
+(6, NULL, NULL, NULL, 'unknown kind of archive'), (7, 'inner.zip', NULL, 109, NULL), (7, 'pkg/__init__.py', 'x = @' || chr(10), NULL, NULL))
+SELECT CAST(p_partkey AS STRING) AS package_id, rel_path, replace(body, '@', CAST(p_partkey AS STRING)) AS body, CAST(coalesce(size, length(replace(body, '@', CAST(p_partkey AS STRING)))) AS BIGINT) AS size, error FROM part JOIN known ON p_partkey % 9 = kind""")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 9).alias("kind"))
+    archives = made.archive_rows(rows).select(F.col("key").alias("package_id"), F.col("key").alias("package_name"), "file_name", "content")
+    found = fetch.expand(archives)
+    text = F.when(~F.endswith("rel_path", F.lit(".zip")), F.col("content").cast("string"))
+    return found.select("package_id", "rel_path", text.alias("body"), "size", F.regexp_replace("error", "^damaged.*", "damaged").alias("error"))
+
+
+# Requests of three kinds for customers' packages: the latest, a version that is there, and one that the registry never heard of.
+REQUESTS = ("part JOIN customer ON c_custkey = p_partkey % 211", {
+    "request_ordinal": "p_partkey", "key": "c_custkey", "asks": "p_partkey % 3", "version": "'1.' || CAST(c_nationkey AS STRING)",
+    "spec": "CASE p_partkey % 3 WHEN 0 THEN 'ExamplePackage-' || CAST(c_custkey AS STRING) WHEN 1 THEN ' examplepackage-' || CAST(c_custkey AS STRING) || ' == 1.' || CAST(c_nationkey AS STRING) ELSE 'examplepackage-' || CAST(c_custkey AS STRING) || '==9' END",
+})
+DERIVED["requests"] = REQUESTS
+BATCH_SQL = f"""WITH {derived_sql('requests')}, told(kind, stage, error) AS (VALUES (0, 'answer', 'not found'), (1, 'answer', 'registry answered 503'), (2, 'answer', 'unreadable answer'), (3, 'choice', 'no distribution'),
+(4, 'size', 'too large; raise the limit to fetch it'), (5, 'download', 'the archive is not there'), (6, 'digest', 'the digest differs'), (7, 'expand', 'a member leaves the archive'), (8, 'expand', 'damaged: BadZipFile'),
+(9, 'expand', 'unknown kind of archive'), (10, 'done', NULL), (11, 'done', NULL), (12, 'done', NULL)),
+rows_ AS (SELECT r.*, key % 13 AS kind, CASE WHEN asks = 2 THEN 'answer' ELSE stage END AS stage_, CASE WHEN asks = 2 THEN 'no answer is recorded' ELSE error END AS error_ FROM requests r JOIN told ON key % 13 = kind)
+SELECT request_ordinal, spec, lower(trim(split_part(spec, '==', 1))) AS name, CASE WHEN asks = 2 THEN '9' WHEN kind >= 3 OR asks = 1 THEN version END AS version, stage_ AS stage, error_ AS error,
+CAST(CASE WHEN error_ IS NULL THEN CASE kind WHEN 10 THEN 0 WHEN 11 THEN 23 ELSE 92 END END AS INT) AS score, CASE WHEN error_ IS NULL THEN CASE kind WHEN 10 THEN 'SAFE' WHEN 11 THEN 'CAUTION' ELSE 'BLOCKED' END END AS decision_name FROM rows_"""
+
+
+def whole_batch(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 13).cast("int").alias("kind"), F.concat(F.lit("1."), F.col("c_nationkey").cast("string")).alias("version"))
+    answers, archives = made.registry_of(customers)
+    return batch.check(derive("requests", spark, sf_dir), answers, archives, BUILTIN_RULES, AS_OF)
+
+
+@query("batch_check", BATCH_SQL)
+def _(spark, sf_dir):
+    return whole_batch(spark, sf_dir).results.select("request_ordinal", "spec", "name", "version", "stage", "error", "score", "decision_name")
+
+
+@query("batch_errors", f"SELECT request_ordinal, stage, 'skipped ' || spec || ': ' || error AS notice FROM ({BATCH_SQL}) WHERE error IS NOT NULL")
+def _(spark, sf_dir):
+    return whole_batch(spark, sf_dir).errors.select("request_ordinal", "stage", "notice")
+
+
+# ---- large catalogues, and orders of all rows ----
+
+#: Lines that name a brand and a size, and a rule for each pair of them: as many as there are, whatever the table's size.
+DERIVED["uses"] = ("part", {"package_id": "p_partkey - p_partkey % 50", "brand": "p_brand", "size": "p_size", "line_no": "p_partkey", "line": "'  uses ' || p_brand || ' at ' || CAST(p_size AS STRING)"})
+
+
+def brand_rules(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_size").distinct().orderBy("p_brand", "p_size").collect()  # 25 brands of 50 sizes at most
+    exact = lambda r: {"pattern": rf"\b{r.p_brand} at {r.p_size}$"} if r.p_size % 2 else {"pattern": rf"({r.p_brand}|{r.p_brand.upper()})\s+at\s+{r.p_size}\b"}
+    return [catalogue.Rule(f"{r.p_brand}_{r.p_size}", r.p_brand, 20, "", rules=({"pattern": "never (?:seen|met)"}, exact(r))) for r in pairs]
+
+
+@query("many_rules_scan", f"""WITH {derived_sql('uses')}, placed AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY line_no) AS n FROM uses)
+SELECT package_id, brand || '_' || CAST(size AS STRING) AS pattern_id, brand AS category, CAST(20 AS INT) AS severity, trim(min(line)) AS evidence, 'pkg/uses.py' AS source_file, CAST(min(n) AS INT) AS line_number FROM placed GROUP BY package_id, brand, size""")
+def _(spark, sf_dir):
+    lines = derive("uses", spark, sf_dir).groupBy("package_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))  # 50 lines
+    files = lines.select("package_id", F.lit("acme").alias("package_name"), F.lit("pkg/uses.py").alias("rel_path"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("content"))
+    return literal_scan.scan(files, brand_rules(spark, sf_dir)).select(FOUND)
+
+
+@query("finding_order", f"""WITH {derived_sql('findings')} SELECT finding_seq, row_number() OVER (ORDER BY package_id, CASE layer WHEN 'static' THEN 0 WHEN 'metadata' THEN 1 ELSE 2 END,
+CASE WHEN source_file IS NULL OR regexp_extract(source_file, '[^/]+$') IN {S.PRIORITY_FILES} THEN 0 ELSE 1 END, source_file NULLS FIRST, finding_seq, pattern_id) AS position FROM findings""")
+def _(spark, sf_dir):
+    found = derive("findings", spark, sf_dir)
+    return order.numbered(found, order.reading_order(found)).select("finding_seq", "position")
+
+
+PART_OF_REPORT = 5
+
+
+@query("report_parts", VERDICTS + f""", line AS (SELECT package_id, '[' || {SEVERITY_SQL.format('severity')} || '] ' || pattern_id || ' at ' || {LOCATION_SQL} AS l, row_number() OVER (PARTITION BY package_id ORDER BY severity DESC, finding_seq) AS k FROM findings),
+body AS (SELECT package_id, CAST((k - 1) // {PART_OF_REPORT} + 1 AS BIGINT) AS part, string_agg(l, chr(10) ORDER BY k) AS text FROM line GROUP BY ALL), n AS (SELECT package_id, max(part) AS parts FROM body GROUP BY package_id)
+SELECT * FROM body UNION ALL SELECT package_id, 0, '== ' || CAST(package_id AS STRING) || CASE WHEN parts IS NULL THEN chr(10) || 'no findings' ELSE '' END FROM verdicts LEFT JOIN n USING (package_id)
+UNION ALL SELECT package_id, coalesce(parts, 0) + 1, 'score ' || CAST(score AS STRING) || '/100 ' || decision_name || chr(10) || summary ||
+CASE decision WHEN 2 THEN chr(10) || '{report.ADVICE[2]}' WHEN 3 THEN chr(10) || '{report.ADVICE[3]}' ELSE '' END FROM verdicts LEFT JOIN n USING (package_id)""")
+def _(spark, sf_dir):
+    return report.report_parts(judged(spark, sf_dir), derive("findings", spark, sf_dir), PART_OF_REPORT)

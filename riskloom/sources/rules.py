@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.schema import SEVERITIES
 
 BUILTIN = Path(__file__).parent.parent / "rules"
+
+#: Where a user keeps rules; the command reads it if it is there.
+USER_RULES = Path.home() / ".riskloom" / "rules"
 REQUIRED = ("id", "category", "severity", "description", "detection")
 
 

@@ -240,9 +240,11 @@ def test_many_files_in_several_parts(spark, tmp_path, monkeypatch):
     reader = files.TreeReader(str(tmp_path), files.SUFFIXES)
     assert len(reader.partitions()) > 5
     rows = [r for p in reader.partitions() for r in reader.read(p)]
-    assert len(rows) == 40 and {r[0] for r in rows} == {f"p{k}" for k in range(7)} and rows[0][2].startswith("_inner/_f")
-    assert files.read_tree(spark, str(tmp_path)).count() == 40
-    assert files.TreeReader(str(tmp_path / "p0" / "_inner"), files.SUFFIXES).partitions()[0].value == []
+    assert len(rows) == 41 and {r[0] for r in rows} == {files.LOOSE, *(f"p{k}" for k in range(7))} and {r[2][:9] for r in rows} == {"loose.py", "_inner/_f"}
+    assert files.read_tree(spark, str(tmp_path)).count() == 41
+    assert [r[:3] for r in files.TreeReader(str(tmp_path), (".py",), "one").read(reader.partitions()[0])][0] == ("one", "one", "loose.py")
+    (tmp_path / "empty").mkdir()
+    assert files.TreeReader(str(tmp_path / "empty"), files.SUFFIXES).partitions()[0].value == []
 
 
 def test_layers_that_had_no_input(spark):
