@@ -115,10 +115,12 @@ def composed(text: Column) -> Column:
 
         return F.aggregate(marks, start, step, lambda acc: F.concat(acc["done"], acc["base"], acc["rest"]))
 
-    segments = F.regexp_extract_all(t, F.lit(r"(?s)\P{M}+(?=\P{M}|\z)|\P{M}?\p{M}+"), F.lit(0))
-    joined = F.array_join(F.transform(segments, lambda s: F.when(s.rlike(r"\p{M}"), compose(s)).otherwise(s)), "")
+    # the engine of regular expressions may know fewer marks than Python's data: both count
+    marks = rf"\p{{M}}{character_class({*classes, *(p[1] for p in pairs)})}"
+    segments = F.regexp_extract_all(t, F.lit(rf"(?s)[^{marks}]+(?=[^{marks}]|\z)|[^{marks}]?[{marks}]+"), F.lit(0))
+    joined = F.array_join(F.transform(segments, lambda s: F.when(s.rlike(f"[{marks}]"), compose(s)).otherwise(s)), "")
     # no mark and no replaced character comes before U+0300, which one range tells fast
-    needs = text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(rf"[\p{{M}}{character_class(replaced)}]")
+    needs = text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(rf"[{marks}{character_class(replaced)}]")
     return with_syllables(F.when(needs, joined).otherwise(text))
 
 
@@ -137,8 +139,9 @@ def with_syllables(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    folded = F.replace(F.replace(F.lower(composed(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-    return F.trim(F.regexp_replace(folded, SPACES, " "))
+    """Folded first, then composed: a capital and its marks may have no single character where the small letter has."""
+    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.trim(F.regexp_replace(composed(folded), SPACES, " "))
 
 
 def hashes(canon: Column) -> tuple[Column, Column]:

@@ -54,19 +54,26 @@ NOWHERE = -(1 << 63)
 
 @dataclass(frozen=True)
 class Likeness:
-    """A Jaccard similarity of ``over / under`` or more."""
+    """A Jaccard similarity of ``over / under`` or more of shingles of ``width`` words, in lower case (A-Z alone, or ``any_case``); ``rows`` minima make a band."""
 
     over: int
     under: int
+    width: int = WIDTH
+    any_case: bool = False
+    rows: int = ROWS
 
     @property
     def bands(self) -> int:
-        return math.ceil(math.log(MISS) / math.log(1 - (self.over / self.under) ** ROWS))
+        return math.ceil(math.log(MISS) / math.log(1 - (self.over / self.under) ** self.rows))
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
 
     @property
     def least_equal(self) -> int:
         """Equal minima, of all, that similar texts have but for a chance as small as MISS."""
-        n, t = self.bands * ROWS, self.over / self.under
+        n, t = self.minima, self.over / self.under
         return math.floor(n * t - 6 * math.sqrt(n * t * (1 - t)))
 
     def enough(self, shared, sizes):
@@ -81,11 +88,11 @@ class Likeness:
 NEAR = Likeness(85, 100)
 
 
-def shingle_set(text: str, width: int) -> np.ndarray:
+def shingle_set(text: str, width: int, any_case: bool = False) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    words = (text.lower() if any_case else text).encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, "<u8")
     digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
@@ -111,13 +118,13 @@ def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
 def band_keys(low: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for every set and band."""
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(low), bands)).copy()
-    for m in np.moveaxis(low.reshape(len(low), bands, ROWS), 2, 0):
+    for m in np.moveaxis(low.reshape(len(low), bands, -1), 2, 0):
         key = (key ^ m) * np.uint64(0xC2B2AE3D27D4EB4F)
         key ^= key >> np.uint64(29)
     return key
 
 
-def with_sets(docs: DataFrame, width: int, alike: Likeness) -> DataFrame:
+def with_sets(docs: DataFrame, alike: Likeness) -> DataFrame:
     """doc_id, at and th (where a text is looked up), high and low (its set), n, sig and keys of every row; n is 0 without words."""
     import xxhash
 
@@ -127,11 +134,11 @@ def with_sets(docs: DataFrame, width: int, alike: Likeness) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, hi, texts in text_slices(batch, 3):
-                sets = [shingle_set(t, width) for t in texts]
+                sets = [shingle_set(t, alike.width, alike.any_case) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig, keys = np.zeros((len(sets), bands * ROWS), np.uint8), np.zeros((len(sets), bands), np.uint64)
+                sig, keys = np.zeros((len(sets), alike.minima), np.uint8), np.zeros((len(sets), bands), np.uint64)
                 if full:
-                    low = minima([sets[i] for i in full], bands * ROWS)
+                    low = minima([sets[i] for i in full], alike.minima)
                     sig[full], keys[full] = low.astype(np.uint8), band_keys(low, bands)
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(-1, 2)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
@@ -166,7 +173,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame, alike: Likeness) -> DataFrame
     """The pairs (leader, id) that sizes and signatures do not rule out."""
     of = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(c + "_n"), F.col("sig").alias(c + "_sig"))
     both = pairs.join(of("id"), "id").join(of("leader"), "leader").where(alike.sized("id_n", "leader_n"))
-    least, width = alike.least_equal, alike.bands * ROWS
+    least, width = alike.least_equal, alike.minima
 
     def run(batches):
         for batch in batches:
@@ -176,13 +183,13 @@ def agreeing(pairs: DataFrame, classes: DataFrame, alike: Likeness) -> DataFrame
     return both.select("leader", "id", "id_sig", "leader_sig").mapInArrow(run, "leader long, id long")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, alike: Likeness) -> DataFrame:
     """id and set of the wanted classes (id)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([shingle_set(t, alike.width, alike.any_case).tobytes() for t in texts], pa.binary())], names=["id", "set"])
 
     refs = stash(classes.join(wanted, "id").select("id", "at", "th"))
     rows = looked_up(docs).join(refs, ["at", "th"]).select("id", "text")
@@ -252,7 +259,7 @@ def block_links(alike: Likeness):
     return run
 
 
-def rest_of_groups(docs: DataFrame, classes: DataFrame, led: DataFrame, linked: DataFrame, width: int, alike: Likeness) -> DataFrame:
+def rest_of_groups(docs: DataFrame, classes: DataFrame, led: DataFrame, linked: DataFrame, alike: Likeness) -> DataFrame:
     """Links u > v between members of a leader's buckets that ``linked`` (u, v: the smallest of its component) leaves parted from it."""
     root = lambda c: linked.select(F.col("u").alias(c), F.col("v").alias(c + "_root"))
     rooted = lambda df, c: df.join(root(c), c, "left").withColumn(c + "_root", F.coalesce(c + "_root", c))
@@ -274,23 +281,23 @@ def rest_of_groups(docs: DataFrame, classes: DataFrame, led: DataFrame, linked:
     with_outer = F.transform(every(F.col("outer")), lambda j: key(F.least("own", j), False, F.greatest("own", j)))
     met = F.when(F.col("near"), F.transform(every(F.col("outer")), lambda i: key(i, True, F.col("own")))).otherwise(F.concat(with_inner, with_outer))
     members = stash(members)
-    sets = whole_sets(docs, members.select("id").distinct(), classes, width)
+    sets = whole_sets(docs, members.select("id").distinct(), classes, alike)
     rows = members.select("leader", "id", "root", F.explode(met).alias("k")).join(sets, "id").select("leader", "k.i", "k.inner", "k.j", "id", "root", "set")
     rows = rows.repartition("leader", "i", "inner", "j").sortWithinPartitions("leader", "i", "inner", "j")
     return stash(rows.mapInArrow(block_links(alike), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, alike: Likeness = NEAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, alike: Likeness = NEAR) -> DataFrame:
     """doc_id, at, th, n, root (a number of the component; null without words) and component_id of every row."""
-    known = stash(with_sets(docs, width, alike))
+    known = stash(with_sets(docs, alike))
     classes = classes_of(known)
     led = led_pairs(classes)
     pairs = stash(agreeing(led, classes, alike))
     wanted = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
-    near = confirmed(pairs, whole_sets(docs, wanted, classes, width), alike)
+    near = confirmed(pairs, whole_sets(docs, wanted, classes, alike), alike)
     links = near.select(F.col("id").alias("u"), F.col("leader").alias("v"))
     linked = components(links)
-    more = rest_of_groups(docs, classes, led, linked, width, alike)
+    more = rest_of_groups(docs, classes, led, linked, alike)
     if not more.isEmpty():
         linked = components(links.unionByName(more).distinct())
     rooted = classes.select("high", "low", "id", "first").join(linked.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")

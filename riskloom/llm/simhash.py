@@ -71,8 +71,8 @@ def simhash(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and f, the fingerprint as a signed 64-bit number, of every row."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, kind: str = "long") -> DataFrame:
+    """doc_id (of this kind) and f, the fingerprint as a signed 64-bit number, of every row."""
 
     def run(batches):
         for batch in batches:
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 f = simhash(texts, width).view("<i8")
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(f, pa.int64())], names=["doc_id", "f"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f long")
+    return docs.select(F.col("doc_id").cast(kind), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, f long")
 
 
 def variant_masks() -> list[tuple[int, int, int]]:
@@ -187,14 +187,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, more: DataFrame | None
     return found.join(named, "f").select("doc_id", "f", "component_id")
 
 
+def similar_links(docs: DataFrame, width: int) -> DataFrame:
+    """Links u > v of the fingerprints of texts that the Jaccard similarity of their shingles (0.8 or more) joins.
+
+    All fingerprints of a component of similar texts are linked to the least of them.
+    """
+    from . import minhash
+
+    alike = minhash.Likeness(4, 5, width, any_case=True, rows=5)
+    joined = minhash.near_duplicates(docs, alike).where("root is not null").groupBy("at", "th").agg(F.min("root").alias("root"))
+    prints = fingerprints(minhash.looked_up(docs).select(F.struct("at", "th").alias("doc_id"), "text"), width, "struct<at:long,th:long>")
+    pairs = stash(prints.select("doc_id.*", "f").join(joined, ["at", "th"]).select("root", "f").distinct())
+    least = pairs.groupBy("root").agg(F.min("f").alias("v"))
+    return pairs.join(least, "root").where("f <> v").select(F.col("f").alias("u"), "v").distinct()
+
+
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, but those with a smaller doc_id in their component.
 
     Components are of links by SimHash and by the Jaccard similarity of shingles. Rows without doc_id stay.
     """
-    from . import shingles
-
-    gone = stash(near_duplicates(docs, width, shingles.links(docs, width)).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    gone = stash(near_duplicates(docs, width, similar_links(docs, width)).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 

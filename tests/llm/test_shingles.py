@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from riskloom.llm import shingles, simhash
+from riskloom.llm import minhash, simhash
 
 from .test_duplicates import slow_components, slow_simhash
 
@@ -56,8 +56,7 @@ def made():
     return dict(enumerate(texts))
 
 
-def test_all_pairs_to_0_8(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "SAMPLE_ROWS", 20)
+def test_all_pairs_to_0_8(spark):
     texts = made()
     expected, pairs = brute_first(texts)
     prints = {i: slow_simhash(t, 5) for i, t in texts.items()}
@@ -66,10 +65,10 @@ def test_all_pairs_to_0_8(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == expected
 
 
-@pytest.mark.parametrize("most_paired, hot, block", [(4, 16, 5), (2, 3, 7), (64, 1, 1000)])
-def test_groups_and_their_blocks(spark, monkeypatch, most_paired, hot, block):
-    for name, value in (("SAMPLE_ROWS", 40), ("MOST_PAIRED", most_paired), ("HOT", hot), ("BLOCK", block), ("SALTS", 2)):
-        monkeypatch.setattr(shingles, name, value)
+@pytest.mark.parametrize("block, salts", [(3000, 2), (1 << 20, 64)])
+def test_groups_and_their_blocks(spark, monkeypatch, block, salts):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    monkeypatch.setattr(minhash, "SALTS", salts)
     texts = made()
     docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (0, texts[0])], "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} - {None} == brute_first(texts)[0]
@@ -89,6 +88,6 @@ def test_groups_link_like_pairs():
     for a, b in [(a, b) for a in range(60) for b in range(a) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))]:
         of = [of[a] if x == of[b] else x for x in of]
     got = list(range(60))
-    for a, b in shingles.spanning(sets):
+    for a, b in minhash.spanning(sets, list(range(60)), minhash.Likeness(4, 5)):
         got = [got[a] if x == got[b] else x for x in got]
     assert [[x == y for y in of] for x in of] == [[x == y for y in got] for x in got] and len(set(of)) > 1
