@@ -1,6 +1,6 @@
 """``python -m riskloom scan FOLDER``, ``check SPEC...``, ``test-playbooks FOLDER`` or ``version``.
 
-Names of commands, options and their defaults are fixed values, except ``--each``, ``--rules`` and ``--registry``.
+Names of commands, options and their defaults are fixed values, except ``--each``, ``--rules``, ``--registry`` and ``--traces``.
 """
 
 import argparse
@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("folder")
     scan.add_argument("--name", "-n", default="", help="the package's name; the folder's by default")
     scan.add_argument("--each", action="store_true", help="take every folder in FOLDER for a package")
+    scan.add_argument("--traces", help="a folder of recorded runs, NAME.log each")
     scan.add_argument("--rules", action="append", default=[], help="a further folder of rules")
     scan.add_argument("--version", "-v", default="unknown", dest="package_version")
     scan.add_argument("--verbose", action="store_true", help="show Spark's log")
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     check.add_argument("--verbose", action="store_true")
     books = commands.add_parser("test-playbooks", help="judge the packages that FOLDER/expected.csv names and compare")
     books.add_argument("folder")
+    books.add_argument("--skip-sandbox", action="store_true", help="leave out the recorded runs in FOLDER/traces")
     books.add_argument("--verbose", action="store_true")
     commands.add_parser("version")
     return out
@@ -57,10 +59,10 @@ def run(args: list[str]) -> int:
     spark.sparkContext.setLogLevel("INFO" if given.verbose else "ERROR")
     try:
         if given.command == "scan":
-            return orchestrate.main(spark, given.folder, given.name, given.package_version, given.each, catalogue(given.rules))
+            return orchestrate.main(spark, given.folder, given.name, given.package_version, given.each, catalogue(given.rules), given.traces)
         if given.command == "check":
             return orchestrate.check(spark, given.packages, given.registry, given.max_size << 20, rules=catalogue(given.rules))
-        return orchestrate.run_playbooks(spark, given.folder)
+        return orchestrate.run_playbooks(spark, given.folder, given.skip_sandbox)
     except NotADirectoryError as wrong:
         print(f"Error: {wrong}", file=sys.stderr)
         return 1

@@ -58,22 +58,26 @@ def layer_status(packages: DataFrame, files: DataFrame, lines: DataFrame | None
     return out.na.fill(False, ["has_source", "has_trace"])
 
 
-def main(spark: SparkSession, root: str, name: str = "", version: str = "unknown", each: bool = False, rules: list[Rule] | None = None) -> int:
+def main(spark: SparkSession, root: str, name: str = "", version: str = "unknown", each: bool = False, rules: list[Rule] | None = None, traces: str | None = None) -> int:
     """Scan a folder, print the reports and what could not be read, and give the exit code.
 
     All of the folder is one package of this name (the folder's own by default); with
-    ``each``, every folder in it is a package.
+    ``each``, every folder in it is a package. ``traces`` has logs of recorded runs, named
+    by package. Findings of one severity are listed by path.
     """
-    from ..sources.files import read_tree
+    from ..operators.order import in_order
+    from ..sources.files import read_traces, read_tree
     from .report import reports
 
     name = name or os.path.basename(os.path.abspath(root.removeprefix("file://")))
     files = written(read_tree(spark, root, package=None if each else name))
     for row in files.where("error is not null").orderBy("package_id", "rel_path").toLocalIterator():
         print(f"Warning: {row.package_id}: {row.rel_path} was not read: {row.error}", file=sys.stderr)
-    known = None if each else spark.createDataFrame([(name,)], "package_id string")
-    found, judged = scan(files.where("error is null"), rules, packages=known)
-    found, judged = written(found), written(judged)
+    sound = files.where("error is null")
+    known = sound.select("package_id") if each else spark.createDataFrame([(name,)], "package_id string")
+    found = in_order(all_findings(sound, rules or load().rules, lines=read_traces(spark, traces) if traces else None))
+    judged = written(scoring.verdicts(found, known))
+    found = found.join(judged, "package_id", "left_semi")  # logs of other packages are not asked for
     if not each:
         print(f"{name} {version}")
     for row in reports(judged, found).orderBy("package_id").toLocalIterator():
@@ -98,13 +102,18 @@ def check(spark: SparkSession, specs: list[str], registry_root: str, limit: int,
     return scoring.worst_decision(results.where("decision is not null"), results.where("error is not null")).first().exit_code
 
 
-def run_playbooks(spark: SparkSession, root: str) -> int:
-    """Scan the folders that ``root/expected.csv`` (package_id, expected_decision) names, print the table of results; 0 if all pass."""
-    from ..sources.files import read_tree
+def run_playbooks(spark: SparkSession, root: str, skip_sandbox: bool = False) -> int:
+    """Scan the folders that ``root/expected.csv`` (package_id, expected_decision) names, print the table of results; 0 if all pass.
+
+    Logs of recorded runs in ``root/traces`` count too, unless ``skip_sandbox``.
+    """
+    from ..sources.files import read_traces, read_tree
     from .report import playbook_table, regression_summary
 
     expected = spark.read.csv(f"{root}/expected.csv", header=True, schema="package_id string, expected_decision int")
-    results = scoring.regression(scan(read_tree(spark, root))[1], expected).cache()
+    lines = read_traces(spark, f"{root}/traces") if os.path.isdir(f"{root.removeprefix('file://')}/traces") and not skip_sandbox else None
+    files = written(read_tree(spark, root).where("error is null"))
+    results = written(scoring.regression(scan(files, lines=lines)[1], expected))
     for row in playbook_table(results).orderBy("package_id").toLocalIterator():
         print(row.line)
     total = regression_summary(results).first()

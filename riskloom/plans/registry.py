@@ -576,3 +576,50 @@ UNION ALL SELECT package_id, coalesce(parts, 0) + 1, 'score ' || CAST(score AS S
 CASE decision WHEN 2 THEN chr(10) || '{report.ADVICE[2]}' WHEN 3 THEN chr(10) || '{report.ADVICE[3]}' ELSE '' END FROM verdicts LEFT JOIN n USING (package_id)""")
 def _(spark, sf_dir):
     return report.report_parts(judged(spark, sf_dir), derive("findings", spark, sf_dir), PART_OF_REPORT)
+
+
+# ---- texts, digests and answers built from rows, and read again by the SQL itself ----
+
+DERIVED["built"] = ("orders", {
+    "package_id": "o_orderkey", "blank_lines": "o_orderkey % 7", "fn": "CASE o_orderkey % 4 WHEN 0 THEN 'eval' WHEN 1 THEN 'exec' WHEN 2 THEN 'compile' ELSE 'print' END",
+    "arg": "CASE o_custkey % 3 WHEN 0 THEN 'data_' || CAST(o_custkey AS STRING) WHEN 1 THEN '''x = ' || CAST(o_custkey AS STRING) || '''' ELSE CAST(o_custkey AS STRING) END",
+    "decodes": "o_custkey % 2 = 0", "key": "o_custkey",
+})
+BUILT_TEXT = "repeat(chr(10), CAST(blank_lines AS INT)) || fn || '(' || arg || ')' || chr(10) || CASE WHEN decodes THEN 'loads(' || CAST(key AS STRING) || ')' ELSE 'pass' END"
+
+
+@query("ast_built", f"""WITH {derived_sql('built')}, texts AS (SELECT *, {BUILT_TEXT} AS t FROM built), parts AS (SELECT *, string_split(t, chr(10)) AS l FROM texts),
+called AS (SELECT *, regexp_extract(l[-2], '^(eval|exec|compile)[(]', 1) AS run, regexp_matches(l[-2], '[(][a-z_]+[0-9]*[)]$') AS made_up, regexp_matches(l[-1], '^loads[(]') AS reads FROM parts)
+SELECT CAST(package_id AS STRING) AS package_id, CAST(0 AS INT) AS seq, 'dynamic_exec' AS type, run AS function, CAST(len(l) - 1 AS INT) AS line, l[-2] AS evidence FROM called WHERE run <> '' AND made_up
+UNION ALL SELECT CAST(package_id AS STRING), CAST(CASE WHEN made_up THEN 1 ELSE 0 END AS INT), 'decode_exec_chain', 'loads', CAST(len(l) AS INT), l[-1] FROM called WHERE run <> '' AND reads""")
+def _(spark, sf_dir):
+    files = derive("built", spark, sf_dir).selectExpr("package_id", "'acme' AS package_name", "'pkg/m.py' AS rel_path", f"{BUILT_TEXT} AS content")
+    found = ast_scan.issues(files).select("package_id", F.explode("issues").alias("i"))
+    return found.select("package_id", "i.seq", "i.type", "i.function", "i.line", "i.evidence")
+
+
+@query("digest_states", """WITH d AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN upper(sha256(text)) WHEN 1 THEN sha256(text || 'x') WHEN 2 THEN NULL ELSE sha256(text) END AS stated FROM documents)
+SELECT doc_id, coalesce(sha256(text) = stated, false) AS intact FROM d""")
+def _(spark, sf_dir):
+    docs, k = spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("doc_id") % 5
+    digest = F.sha2("text", 256)
+    stated = F.when(k == 0, F.upper(digest)).when(k == 1, F.sha2(F.concat("text", F.lit("x")), 256)).when(k > 2, digest)
+    return docs.select("doc_id", fetch.intact(F.col("text").cast("binary"), stated).alias("intact"))
+
+
+DERIVED["bodies"] = ("events", {
+    "event_id": "event_id",
+    "body": "'{\"info\":{\"version\":\"' || CAST(user_id AS STRING) || '\",\"summary\":\"' || event_type || '\"},\"urls\":[' || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '{\"packagetype\":\"bdist_wheel\",\"size\":7}' "
+            "ELSE '{\"packagetype\":\"bdist_wheel\",\"size\":7},{\"packagetype\":\"sdist\",\"size\":' || CAST(event_id AS STRING) || '}' END || '],\"releases\":{\"' || CAST(user_id AS STRING) || '\":[{\"packagetype\":\"old\",\"size\":1}]}' || CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END",
+})
+
+
+@query("registry_bodies", f"""WITH {derived_sql('bodies')}, j AS (SELECT event_id, CASE WHEN json_valid(body) THEN body END AS b FROM bodies), files AS (SELECT event_id, b, CASE WHEN json_array_length(b, '$.urls') > 0 THEN CAST(json_extract(b, '$.urls') AS JSON[])
+ELSE CAST(json_extract(b, '$.releases."' || json_extract_string(b, '$.info.version') || '"') AS JSON[]) END AS f FROM j),
+picked AS (SELECT *, coalesce(list_filter(f, lambda x: json_extract_string(x, '$.packagetype') = 'sdist')[1], f[1]) AS p FROM files)
+SELECT event_id, json_extract_string(b, '$.info.version') AS version, json_extract_string(b, '$.info.summary') AS summary, json_extract_string(p, '$.packagetype') AS packagetype, CAST(json_extract_string(p, '$.size') AS BIGINT) AS size FROM picked""")
+def _(spark, sf_dir):
+    parsed = fetch.answers(derive("bodies", spark, sf_dir))
+    a = F.col("answer")
+    file = fetch.chosen_file(a["urls"], a["releases"], a["info"]["version"])
+    return parsed.select("event_id", a["info"]["version"].alias("version"), a["info"]["summary"].alias("summary"), file["packagetype"].alias("packagetype"), file["size"].alias("size"))

@@ -40,6 +40,30 @@ def test_scan_finds_top_level_files_and_goes_on_after_bad_ones(spark, hostile, c
     assert "large" not in said.err and "fine" not in said.err
 
 
+def test_findings_of_one_severity_are_listed_by_path_and_traces_count(spark, tmp_path, capsys):
+    for path in ("z.py", "b/__init__.py", "a.py", "b/c.py"):
+        target = tmp_path / "acme" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("subprocess.run(x)\n")
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "acme.log").write_text('execve("/opt/bad", ["bad"]) = 0\n')
+    (tmp_path / "logs" / "other.log").write_text('execve("/opt/worse", ["bad"]) = 0\n')
+    orchestrate.main(spark, str(tmp_path / "acme"), traces=str(tmp_path / "logs"))
+    said = capsys.readouterr().out.splitlines()
+    assert [x.rsplit(" ", 1)[-1] for x in said if "subprocess_spawn" in x] == ["b/__init__.py:1", "a.py:1", "b/c.py:1", "z.py:1"]
+    assert sum("runtime_subprocess" in x for x in said) == 1 and not any(x.startswith("== other") for x in said)
+
+
+def test_playbooks_with_recorded_runs(spark, tmp_path, capsys):
+    (tmp_path / "acme").mkdir()
+    (tmp_path / "acme" / "__init__.py").write_text("value = 1\n")
+    (tmp_path / "traces").mkdir()
+    (tmp_path / "traces" / "acme.log").write_text('openat(AT_FDCWD, "/tmp/h/.ssh/id_rsa", O_RDONLY) = 3\n')
+    (tmp_path / "expected.csv").write_text("package_id,expected_decision\nacme,3\n")
+    assert orchestrate.run_playbooks(spark, str(tmp_path)) == 0
+    assert orchestrate.run_playbooks(spark, str(tmp_path), skip_sandbox=True) == 1
+
+
 def test_each_folder_as_a_package(spark, hostile, capsys):
     assert orchestrate.main(spark, str(hostile.parent), each=True) == 1
     assert "== acme" in capsys.readouterr().out
