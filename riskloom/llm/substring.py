@@ -15,9 +15,12 @@ every window. Recompression gives equal windows a common symbol instead:
   round 0, so each window has one.
 
 Neighbouring windows share their anchor. One row stands for such a stretch: the
-anchor's name, a hash of the stretch, document and place. Stretches found elsewhere
-word for word need no more; where an anchor has several stretches, the windows of
-one document for each are compared by 128-bit hashes.
+anchor's name, a digest of the stretch, document and place. Names only bring
+stretches together; what tells them equal is a cryptographic digest of their words
+as they are written (BLAKE2b, 128 bits), so words or pairs whose hashes collide
+remove nothing. Stretches found elsewhere word for word need no more; where an
+anchor has several stretches, the windows of one document for each are compared
+by the same kind of digest.
 
 Defined results: words are separated by ASCII white space; null, empty and short
 texts lose nothing; rows without doc_id neither lose words nor cost others any; of
@@ -28,6 +31,8 @@ never clash.
 
 from __future__ import annotations
 
+from functools import partial
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -41,7 +46,6 @@ WINDOW = 50
 ROUNDS = 7
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-STEP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -62,20 +66,14 @@ def word_names(words: list[list[bytes]]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, n)
 
 
-class Rolling:
-    """Hashes of any stretch of a sequence of names."""
-
-    def __init__(self, names: np.ndarray, step: np.uint64):
-        self.up = np.full(len(names) + 1, step, np.uint64)
-        self.up[0] = 1
-        self.up = np.multiply.accumulate(self.up)
-        down = np.full(len(names) + 1, pow(int(step), -1, 1 << 64), np.uint64)
-        down[0] = 1
-        self.down = np.multiply.accumulate(down)
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * self.up[:-1], dtype=np.uint64)])
-
-    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.total[end] - self.total[begin]) * self.down[begin])
+def digests(words: list[bytes], begin: np.ndarray, end: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
+    """Digests of stretches [begin, end) of ``words``, and of a mark of each, as rows of two 64-bit numbers."""
+    whole = memoryview(b" ".join(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    salts = [b""] * len(begin) if marks is None else [int(m).to_bytes(8, "little") for m in marks]
+    found = [blake2b(whole[a:b], digest_size=16, salt=m).digest() for a, b, m in zip(at[begin].tolist(), (at[end] - 1).tolist(), salts, strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def symbols(names: np.ndarray, bounds: np.ndarray):
@@ -166,10 +164,10 @@ def parsed(batches, texts_at: int):
             yield batch, lo, hi, words, np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
 
 
-def find_stretches(batches):
-    """name, stretch, doc_id, part, first, last: windows first..last of a document share an anchor."""
+def find_stretches(batches, naming=word_names):
+    """name, h1, h2, doc_id, part, first, last: windows first..last of a document share an anchor; h1 and h2 are the stretch's digest."""
     for batch, lo, _, words, bounds in parsed(batches, 2):
-        names = word_names(words)
+        names = naming(words)
         if not len(names):
             continue
         window, anchor, place = anchors(names, bounds)
@@ -178,30 +176,34 @@ def find_stretches(batches):
         first = np.flatnonzero(new[: len(window)])
         last = np.append(first[1:], len(window)) - 1
         a, b = window[first], window[last]
+        # where the anchor lies in the stretch counts too
         shape = ((a - place[first] + (1 << 20)).astype(np.uint64) << np.uint64(32)) + (b - a).astype(np.uint64)
-        stretch = mixed(Rolling(names, STEP[0])(a, b + WINDOW) + mixed(shape))
         own = doc[first]
+        begin = np.searchsorted(own, np.arange(len(words) + 1))
+        digest = [np.zeros((0, 2), np.int64)]
+        for i in np.unique(own).tolist():
+            some = slice(begin[i], begin[i + 1])
+            digest.append(digests(words[i], a[some] - bounds[i], b[some] - bounds[i] + WINDOW, shape[some]))
+        digest = np.concatenate(digest)
         rows = pa.array(own + lo)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor[first].view(np.int64)), pa.array(stretch.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows),
+            [pa.array(anchor[first].view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows),
              pa.array((a - bounds[own]).astype(np.int32)), pa.array((b - bounds[own]).astype(np.int32))],
-            names=["name", "stretch", "doc_id", "part", "first", "last"],
+            names=["name", "h1", "h2", "doc_id", "part", "first", "last"],
         )
 
 
 def hash_windows(batches):
-    """h1, h2, doc_id, part, at: 128-bit hashes of the windows of the stretches asked for."""
-    for batch, lo, hi, words, bounds in parsed(batches, 2):
-        names = word_names(words)
-        one, two = Rolling(names, STEP[0]), Rolling(mixed(names), STEP[1])
+    """h1, h2, doc_id, part, at: digests of the windows of the stretches asked for."""
+    for batch, lo, hi, words, _ in parsed(batches, 2):
         asked = batch.column(3)
         for i in range(lo, hi):
             spans = asked[i].as_py() or []
             p = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(s["first"], s["last"] + 1) for s in spans)]))
-            q = p + bounds[i - lo]
+            digest = digests(words[i - lo], p, p + WINDOW)
             ids = [pa.array([batch.column(k)[i].as_py()] * len(p), batch.column(k).type) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one(q, q + WINDOW).view(np.int64)), pa.array(two(q, q + WINDOW).view(np.int64)), *ids, pa.array(p.astype(np.int32))],
+                [pa.array(digest[:, 0]), pa.array(digest[:, 1]), *ids, pa.array(p.astype(np.int32))],
                 names=["h1", "h2", "doc_id", "part", "at"],
             )
 
@@ -232,15 +234,15 @@ def beside(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return docs.join(spans, ["doc_id", "part"], how).select("doc_id", "part", "text", "spans")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, naming=word_names) -> DataFrame:
     """doc_id, part, first, last: windows first..last start in a smaller doc_id too. ``docs`` has doc_id, part, text."""
     found = docs.where("doc_id is not null and length(text) >= 99")  # fifty words and the space between them
-    found = stash(found.mapInArrow(find_stretches, "name long, stretch long, doc_id long, part int, first int, last int"))
-    shared = found.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("stretch") != F.max("stretch")).alias("several")).where("a < b")
+    found = stash(found.mapInArrow(partial(find_stretches, naming=naming), "name long, h1 long, h2 long, doc_id long, part int, first int, last int"))
+    shared = found.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min(F.struct("h1", "h2")) != F.max(F.struct("h1", "h2"))).alias("several")).where("a < b")
     # what is aggregated is written before it is joined, so that Spark can split a hot name
     shared = stash(found.join(stash(shared.select("name", "several")), "name"))
-    least = stash(shared.groupBy("name", "stretch").agg(F.min("doc_id").alias("least")))
-    shared = stash(shared.join(least, ["name", "stretch"]).where("several or doc_id > least"))
+    least = stash(shared.groupBy("name", "h1", "h2").agg(F.min("doc_id").alias("least")))
+    shared = stash(shared.join(least, ["name", "h1", "h2"]).where("several or doc_id > least"))
     whole = shared.where("doc_id > least").select("doc_id", "part", "first", "last")
     # an anchor with several stretches: the windows of the first document of each are compared
     asked = beside(docs, shared.where("doc_id = least").select("doc_id", "part", "first", "last"), "inner")
@@ -250,10 +252,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     return whole.unionByName(single)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept text of every row."""
+def dedup(docs: DataFrame, naming=word_names) -> DataFrame:
+    """doc_id, n_words, n_removed and the kept text of every row. ``naming`` gives the 64-bit names of words."""
     docs = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("part"), F.col("text").cast("string"))
-    return beside(docs, repeats(docs), "left").mapInArrow(cut_words, "doc_id long, n_words long, n_removed long, kept string")
+    return beside(docs, repeats(docs, naming), "left").mapInArrow(cut_words, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
