@@ -19,6 +19,7 @@ other columns never clash.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 
@@ -32,8 +33,10 @@ SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 #: Differing texts of one fingerprint, and first rows of ranges, that are broadcast.
 BROADCAST_ROWS = 500_000
 
-#: Text in one range of documents, about, and keys that are sampled for each range.
+#: Text in one range of documents, about, until there are MOST_RANGES of them; beyond it ranges grow, and their
+#: sorts spill. What the driver learns of ranges is SAMPLED keys and one row for each, so it does not grow with the table.
 RANGE_BYTES = 16 << 20
+MOST_RANGES = 4096
 SAMPLED = 32
 
 #: Characters of a text that tell rows of one doc_id apart where ranges are cut.
@@ -190,9 +193,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def cuts_of(rows: DataFrame) -> list[tuple[int, str]]:
-    """Where ranges of (at, start) begin that hold about RANGE_BYTES each, from a sample of a few keys for each range."""
+    """Where ranges of (at, start) of about equal text begin, from a sample of a few keys for each range."""
     total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    n = max(2, -(-(total.bytes or 0) // RANGE_BYTES))
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, (total.bytes or 0) // RANGE_BYTES))
     one_of = max(1, total.n // (SAMPLED * n))
     sample = rows.where(F.pmod(F.xxhash64(F.lit(7), "at", "start"), F.lit(one_of)) == 0).groupBy("at", "start").agg(F.sum(F.octet_length("text")).alias("bytes"))
     sample = sorted((r.at, r.start, r.bytes) for r in sample.collect())  # about SAMPLED keys for each range
@@ -211,9 +214,12 @@ def part_of(cuts: list[tuple[int, str]]) -> Column:
     own = F.struct("at", "start")
     step = max(1, int(len(cuts) ** 0.5))
     chunks = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-    pairs = lambda some: F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(x).alias("start")) for a, x in some))
-    chunk = F.size(F.filter(pairs([c[0] for c in chunks]), lambda c: c <= own))
-    within = F.element_at(F.array(*map(pairs, chunks)), F.greatest(chunk, F.lit(1)))
+    # one constant each, however many cuts there are
+    pair = "array<struct<at: bigint, start: string>>"
+    pairs = lambda some, kind: F.from_json(F.lit(json.dumps(some)), kind)
+    shown_as = lambda some: [{"at": a, "start": x} for a, x in some]
+    chunk = F.size(F.filter(pairs(shown_as([c[0] for c in chunks]), pair), lambda c: c <= own))
+    within = F.element_at(pairs([shown_as(c) for c in chunks], f"array<{pair}>"), F.greatest(chunk, F.lit(1)))
     return F.greatest(chunk - 1, F.lit(0)) * step + F.size(F.filter(within, lambda c: c <= own))
 
 

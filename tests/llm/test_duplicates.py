@@ -69,6 +69,21 @@ def test_substrings_of_runs_periods_and_shared_passages(spark):
     assert {i: (r.n_words, r.n_removed, r.kept) for i, r in got.items()} == without_repeats(docs)
 
 
+def test_words_of_one_name_remove_nothing(spark):
+    rng = random.Random(8)
+    passage = [rng.choice("abcdefgh") for _ in range(70)]
+    docs = [(i, " ".join([rng.choice("abcdefgh") for _ in range(120)] + (passage if i % 3 == 0 else []))) for i in range(30)]
+    docs += [(30 + i, " ".join(x * 60)) for i, x in enumerate((["a"], ["b"], ["a", "b"], ["b", "a"], ["a"]))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for kinds in (1, 2):  # all words have one name, or one of two
+
+        def naming(words, kinds=kinds):
+            return np.array([w[0] % kinds for own in words for w in own], np.uint64)
+
+        got = by_id(substring.dedup(rows, naming))
+        assert {i: (r.n_words, r.n_removed, r.kept) for i, r in got.items()} == without_repeats(docs)
+
+
 def test_substring_edges(edges, empty):
     got = substring.dedup(edges).collect()
     assert len(got) == len(EDGES)
@@ -267,6 +282,8 @@ def test_next_rows_over_many_ranges(spark, monkeypatch):
     assert len(fingerprint.cuts_of(fingerprint.keyed(docs))) > 8
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(docs).collect())
     assert got == chained(rows)
+    monkeypatch.setattr(fingerprint, "MOST_RANGES", 3)  # ranges grow where there may be no more of them
+    assert len(fingerprint.cuts_of(fingerprint.keyed(docs))) < max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def test_fingerprint_query_on_edges_and_parted_groups(spark, edges, tmp_path, monkeypatch):
