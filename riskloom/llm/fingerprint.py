@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ START = 64
 LOWEST = -(1 << 63)
 
 
+@cache
 def unicode_tables() -> tuple[dict[str, str], dict[str, str], dict[str, str], dict[str, int]]:
     """Replaced characters, decompositions, compositions (of a pair) and classes of marks, from Python's data."""
     replaced, apart, pairs, classes = {}, {}, {}, {}
@@ -80,8 +82,18 @@ def character_class(chars) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed, and written into the plan, once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def composed(text: Column) -> Column:
     """Normal form C of ``text``."""
+    return once(once(text, with_marks), with_syllables)
+
+
+def with_marks(text: Column) -> Column:
+    """Normal form C of ``text``, but for Hangul jamo."""
     replaced, apart, pairs, classes = unicode_tables()
     single = {a: b for a, b in replaced.items() if len(b) == 1}
     several = {a: b for a, b in replaced.items() if len(b) > 1}
@@ -124,7 +136,7 @@ def composed(text: Column) -> Column:
     joined = F.array_join(F.transform(segments, lambda s: F.when(s.rlike(f"[{marks}]"), compose(s)).otherwise(s)), "")
     # no mark and no replaced character comes before U+0300, which one range tells fast
     needs = text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(rf"[{marks}{character_class(replaced)}]")
-    return with_syllables(F.when(needs, joined).otherwise(text))
+    return F.when(needs, joined).otherwise(text)
 
 
 def with_syllables(text: Column) -> Column:
