@@ -29,8 +29,9 @@ from .common import stash, table
 WIDTH = 5
 CONTAINMENT = 0.8
 
-#: Rows of shingles or of candidates that are broadcast; beyond it, both sides are shuffled.
+#: Rows of shingles or of candidates that are broadcast, and bytes of their text; beyond either, both sides are shuffled.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -49,12 +50,19 @@ def spelt(*parts: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    told = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(told, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def key_of(number: Column) -> Column:
+    """A row told by its number and a SHA-256 digest of its text: only rows equal in both have the same."""
+    return F.concat_ws(":", number.cast("string"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
 def item_shingles(items: DataFrame, width: int, containment: float) -> DataFrame:
     """item_id, item (its own key), width, n (distinct shingles), shingle, hash and whether the sketch has it."""
-    own = items.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    own = items.select("item_id", key_of(F.col("item_id")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     own = own.dropDuplicates(["item"]).withColumn("width", F.least(F.size("w"), F.lit(width)))
     spelled = F.coalesce(*(F.when(F.col("width") == k, shingles(k, spelt)) for k in range(1, width + 1)))
     own = own.withColumn("s", F.array_distinct(spelled)).withColumn("n", F.size("s"))
@@ -77,7 +85,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: fl
     """doc_id, key (of its text), item_id, n_shingles, n_shared and containment of every leak."""
     wanted = stash(item_shingles(items, width, containment))
     widths = [r.width for r in wanted.select("width").distinct().orderBy("width").collect()] or [width]  # at most WIDTH rows
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("key"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key_of(F.col("doc_id").cast("long")).alias("key"))
     split = docs.select("doc_id", "key", words(F.col("text")).alias("w"))
 
     hashes = F.flatten(F.array(*(shingles(k, F.xxhash64) for k in widths)))
@@ -99,7 +107,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: fl
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no leak."""
     found = small(stash(leaks(docs, items).select("key").distinct()).withColumnRenamed("key", "leak"))
-    return docs.join(found, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")) == found["leak"], "left_anti")
+    return docs.join(found, key_of(F.col("doc_id").cast("long")) == found["leak"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,13 @@ probability (distinct bytes over total plus distinct) is paid and the next
 shorter context asked, down to an even share of 1/256. The language with the
 shortest code for the whole text is the answer, and its posterior share the score.
 
-``TRAIN_ROWS`` documents of each language, about, are learned from: those whose
-hash of doc_id is smallest. Their whole texts count, and every context of them is
-kept. A model beyond ``MODEL_BYTES`` (hundreds of languages) is refused.
+``TRAIN_ROWS`` documents of each language, about, are learned from, or fewer where
+these would have more than ``TRAIN_BYTES`` together: those whose hash is smallest.
+Their whole texts count, and every context of them is kept. Spark counts the
+contexts; languages are then put into groups whose tables stay within
+``MODEL_BYTES``, and the groups score every text one after the other, so that the
+result is that of all languages at once. The driver holds one row for each
+language (``MOST_LANGS`` at most, else an error) and the counts of one group.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0;
 ties go to the first language in order; null langs and null doc_ids teach
@@ -20,6 +24,8 @@ out; repeated rows give repeated results; an empty table gives an empty one. Onl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
@@ -27,15 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, stash, table
 from .quality import fold
 
 ORDER = 3
+
+#: The answer for texts that no language was tried on.
+UNKNOWN = "und"
+
 TRAIN_ROWS = 400
 
-#: Bytes of one table of a model at most.
+#: Bytes of text that one language is learned from, about, at most.
+TRAIN_BYTES = 1 << 26
+
+#: Bytes of one table of a group of languages at most.
 MODEL_BYTES = 1 << 28
 
+#: More kinds of ``lang`` than this are no languages.
+MOST_LANGS = 10_000
+
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes + 1 of all texts, each after ORDER zeros, and where each text starts."""
@@ -88,8 +104,6 @@ class Model:
             own = {x: self.summed(key % size ** (order + 1), n) for x, (key, n) in packed.items()}
             keys = np.unique(np.concatenate([k for k, _ in own.values()]))
             contexts = np.unique(keys // size)
-            if 4 * len(langs) * (len(keys) + len(contexts)) > MODEL_BYTES:
-                raise ValueError("the statistics of so many languages do not fit a task's memory: learn from fewer rows of each")
             below = self.costs(order - 1, keys % size**order)
             bits, escapes = np.empty((len(keys), len(langs)), np.float32), np.zeros((len(contexts), len(langs)), np.float32)
             for k, lang in enumerate(langs):
@@ -137,22 +151,53 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
+def sample(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame | None:
+    """lang and text of what is learned from, the same rows at every run."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(fold(F.col("doc_id"), 4) != 2)
-    counts = dict(known.groupBy("lang").count().collect())
+    counts = known.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text"))).limit(MOST_LANGS + 1).collect()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return None
-    # about ``rows`` documents of each language, the same ones at every run
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    found = count_grams(chosen).toPandas()
-    langs = sorted(found["lang"].unique())
-    return Model(langs, {x: (g["gram"].to_numpy(), g["n"].to_numpy()) for x, g in found.groupby("lang")}) if langs else None
+    share = F.create_map(*(F.lit(x) for lang, n, total in counts for x in (lang, min(1.0, rows / n, size / max(total, 1)))))
+    return known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES for each table at most
+def groups(sizes: dict[str, int]) -> list[list[str]]:
+    """Languages in order, cut into groups whose tables stay within MODEL_BYTES even if no two share a gram."""
+    out, held = [], 0
+    for lang in sorted(sizes):
+        # a row for each gram and one for each context, four bytes for each language
+        if not out or 8 * (len(out[-1]) + 1) * (held + sizes[lang]) > MODEL_BYTES:
+            out.append([])
+            held = 0
+        if 8 * sizes[lang] > MODEL_BYTES:
+            raise ValueError(f"the statistics of {lang!r} alone do not fit a task's memory: learn from fewer bytes")
+        out[-1].append(lang)
+        held += sizes[lang]
+    return out
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> list[Callable[[], Model]]:
+    """What builds the model of each group of languages; nothing where there is nothing to learn."""
+    chosen = sample(docs, rows, size)
+    if chosen is None:
+        return []
+    grams = stash(count_grams(chosen))
+
+    def build(langs: list[str]) -> Model:
+        found = grams.where(F.col("lang").isin(langs)).toPandas()
+        return Model(langs, {x: (g["gram"].to_numpy(), g["n"].to_numpy()) for x, g in found.groupby("lang")})
+
+    return [partial(build, langs) for langs in groups(dict(grams.groupBy("lang").count().collect()))]
+
+
+def scored(rows: DataFrame, model: Model, last: bool) -> DataFrame:
+    """``rows`` (doc_id, text, lang_pred, bits, shares) with the languages of ``model`` tried too; the last one drops the text.
+
+    ``bits`` is the shortest code so far, ``shares`` the sum of all languages' shares relative to it.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES for each table at most
 
     def run(batches):
         import regex
@@ -160,18 +205,37 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         letter = regex.compile(r"\p{L}").search
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            own = [i for i, t in enumerate(texts) if t and shipped.value and letter(t)]
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            own = [i for i, t in enumerate(texts) if t and letter(t)]
+            lang, least, shares = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             coded = [texts[i].encode() for i in own]
             for lo, hi in slices([len(t) for t in coded]):
                 bits = shipped.value.code_lengths(coded[lo:hi])
-                best = bits.argmin(1)
-                share = 1 / np.exp2(np.clip(bits.min(1)[:, None] - bits, -1000, 0)).sum(1)
-                for i, b, p in zip(own[lo:hi], best, share, strict=True):
-                    lang[i], score[i] = shipped.value.langs[b], p
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+                shortest = bits.min(1)
+                share = np.exp2(np.clip(shortest[:, None] - bits, -1000, 0)).sum(1)
+                for i, b, x, p in zip(own[lo:hi], bits.argmin(1), shortest, share, strict=True):
+                    if lang[i] == UNKNOWN:
+                        lang[i], least[i], shares[i] = shipped.value.langs[b], x, p
+                    elif x < least[i]:
+                        lang[i], least[i], shares[i] = shipped.value.langs[b], x, p + shares[i] * 2 ** max(x - least[i], -1000.0)
+                    else:
+                        shares[i] += p * 2 ** max(least[i] - x, -1000.0)
+            tried = [pa.array(lang, pa.string()), pa.array(least, pa.float64()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *tried] if last else [batch.column(0), batch.column(1), *tried], names=names)
+
+    told = rows.drop("text") if last else rows
+    names = told.columns
+    return rows.mapInArrow(run, told.schema)
+
+
+def identify(docs: DataFrame, models: list[Callable[[], Model]]) -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("bits"), F.lit(0.0).alias("shares")
+    )
+    for k, build in enumerate(models, 1):
+        # each group after the first reads what the one before it wrote, so that a task holds one model
+        rows = scored(rows if k == 1 else stash(rows), build(), k == len(models))
+    return rows.select("doc_id", "lang_pred", F.when(F.col("shares") > 0, 1 / F.col("shares")).otherwise(0.0).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

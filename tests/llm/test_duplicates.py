@@ -217,6 +217,13 @@ def test_leaks_by_containment(spark, edges, empty):
     assert clean.columns == edges.columns and sorted(map(str, (r.doc_id for r in clean.collect()))) == sorted(str(i) for i, _ in EDGES)
 
 
+def test_rows_of_one_number_go_by_their_own_text(spark):
+    leak = "one two three four five six seven eight"
+    items = spark.createDataFrame([(1, leak), (1, "quite another passage that nobody ever copied here")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"a b c {leak} d"), (7, "nothing to see in this one"), (None, leak), (None, "clean")], "doc_id int, text string")
+    assert sorted(r.text for r in decontaminate.remove(docs, items).collect()) == ["clean", "nothing to see in this one"]
+
+
 # ---- fingerprints ----
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
@@ -102,6 +103,38 @@ def test_language_edges(edges, empty, docs):
     assert language.identify(empty, language.train(docs)).count() == 0
 
 
+def test_languages_in_groups_score_as_in_one(spark, monkeypatch):
+    """300 made-up languages: many groups give what one gives, and every text its own language."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for k in range(300):
+        words = ["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(20)]
+        rows += [(8 * k + j, f"l{k:03d}", " ".join(rng.choice(words, 30))) for j in range(8)]
+    docs = spark.createDataFrame([*rows, (9999, None, "  "), (9998, None, None)], "doc_id long, lang string, text string")
+
+    def told():
+        models = language.train(docs)
+        return len(models), {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, models).collect()}
+
+    monkeypatch.setattr(language, "MODEL_BYTES", 1 << 30)
+    one, whole = told()
+    monkeypatch.setattr(language, "MODEL_BYTES", 1 << 26)
+    many, parts = told()
+    assert one == 1 < many and set(whole) == set(parts)
+    assert all(parts[i][0] == x and np.isclose(parts[i][1], p) for i, (x, p) in whole.items())
+    assert all(parts[i][0] == lang for i, lang, _ in rows) and parts[9998] == parts[9999] == ("und", 0)
+
+
+def test_language_bounds(spark, monkeypatch):
+    assert language.groups({}) == []
+    docs = spark.createDataFrame([(i, f"l{i % 5}", "some text") for i in range(40)], "doc_id long, lang string, text string")
+    assert language.sample(docs, size=1).count() < 15 <= language.sample(docs).count()
+    monkeypatch.setattr(language, "MOST_LANGS", 3)
+    with pytest.raises(ValueError):
+        language.train(docs)
+
+
 def slow_features(text):
     """Features of a text, one word at a time, with Python's own numbers."""
     whole, c = (1 << 64) - 1, 0xD6E8FEB86659FD93
