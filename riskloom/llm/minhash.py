@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stash, table, text_slices
-from .simhash import components
+from .simhash import BROADCAST_ROWS, components
 
 WIDTH, SEED = 5, 42
 
@@ -70,11 +70,24 @@ class Likeness:
     def minima(self) -> int:
         return self.bands * self.rows
 
+    def least(self, p: float) -> int:
+        """Of all minima, how many are of a kind that each is with chance ``p``, but for a chance of MISS."""
+        n, tail = self.minima, 0.0
+        for k in range(n):
+            tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if tail > MISS:
+                return k
+        return n
+
     @property
     def least_equal(self) -> int:
-        """Equal minima, of all, that similar texts have but for a chance as small as MISS."""
-        n, t = self.minima, self.over / self.under
-        return math.floor(n * t - 6 * math.sqrt(n * t * (1 - t)))
+        """Equal minima, of all, that similar texts have."""
+        return self.least(self.over / self.under)
+
+    @property
+    def least_bits(self) -> int:
+        """Equal bits that their signatures have: of unequal minima, every other bit is equal."""
+        return self.least((1 + self.over / self.under) / 2)
 
     def enough(self, shared, sizes):
         """Whether ``shared`` of two sets whose sizes add up to ``sizes`` suffice."""
@@ -124,29 +137,38 @@ def band_keys(low: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+def signatures(low: np.ndarray) -> np.ndarray:
+    """A well-mixed bit of every minimum, in 64-bit words."""
+    h = low * np.uint32(0x9E3779B1)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    bits = np.zeros((len(low), -(-low.shape[1] // 64) * 64), np.uint8)
+    bits[:, : low.shape[1]] = h >> np.uint32(31)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
 def with_sets(docs: DataFrame, alike: Likeness) -> DataFrame:
     """doc_id, at and th (where a text is looked up), high and low (its set), n, sig and keys of every row; n is 0 without words."""
     import xxhash
 
     names = ["doc_id", "at", "th", "high", "low", "n", "sig", "keys"]
-    bands = alike.bands
+    bands, words = alike.bands, -(-alike.minima // 64)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     def run(batches):
         for batch in batches:
             for lo, hi, texts in text_slices(batch, 3):
                 sets = [shingle_set(t, alike.width, alike.any_case) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sig, keys = np.zeros((len(sets), alike.minima), np.uint8), np.zeros((len(sets), bands), np.uint64)
+                sig, keys = np.zeros((len(sets), words), np.int64), np.zeros((len(sets), bands), np.uint64)
                 if full:
                     low = minima([sets[i] for i in full], alike.minima)
-                    sig[full], keys[full] = low.astype(np.uint8), band_keys(low, bands)
+                    sig[full], keys[full] = signatures(low), band_keys(low, bands)
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(-1, 2)
-                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
                 columns = [*(batch.column(c)[lo:hi] for c in range(3)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32())]
-                columns += [pa.array([s.tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel()))]
+                columns += [lists(sig), lists(keys.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = "doc_id long, at long, th long, high long, low long, n int, sig binary, keys array<long>"
+    kind = "doc_id long, at long, th long, high long, low long, n int, sig array<long>, keys array<long>"
     return looked_up(docs).mapInArrow(run, kind)
 
 
@@ -173,14 +195,8 @@ def agreeing(pairs: DataFrame, classes: DataFrame, alike: Likeness) -> DataFrame
     """The pairs (leader, id) that sizes and signatures do not rule out."""
     of = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(c + "_n"), F.col("sig").alias(c + "_sig"))
     both = pairs.join(of("id"), "id").join(of("leader"), "leader").where(alike.sized("id_n", "leader_n"))
-    least, width = alike.least_equal, alike.minima
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).sum(1) >= least))
-
-    return both.select("leader", "id", "id_sig", "leader_sig").mapInArrow(run, "leader long, id long")
+    unequal = sum(F.bit_count(F.col("id_sig")[i].bitwiseXOR(F.col("leader_sig")[i])) for i in range(-(-alike.minima // 64)))
+    return both.where(unequal <= alike.minima - alike.least_bits).select("leader", "id")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, alike: Likeness) -> DataFrame:
@@ -192,6 +208,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, alike: Li
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([shingle_set(t, alike.width, alike.any_case).tobytes() for t in texts], pa.binary())], names=["id", "set"])
 
     refs = stash(classes.join(wanted, "id").select("id", "at", "th"))
+    refs = F.broadcast(refs) if refs.count() <= BROADCAST_ROWS else refs
     rows = looked_up(docs).join(refs, ["at", "th"]).select("id", "text")
     return stash(rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]))  # repeated rows have one set
 
@@ -240,27 +257,27 @@ def spanning(sets: list[np.ndarray], roots: list[int], alike: Likeness) -> list[
 
 
 def block_links(alike: Likeness):
-    """Links u > v, from rows (leader, i, inner, j, id, root, set) sorted by the first four."""
+    """Links u > v of roots, from rows (leader, i, inner, j, root, set) sorted by the first four."""
 
     def rows(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(6)]
-            for k, s in enumerate(batch.column(6)):
-                yield tuple(c[k] for c in columns[:4]), columns[4][k], columns[5][k], np.frombuffer(s.as_buffer(), "<u8").copy()
+            columns = [batch.column(c).to_pylist() for c in range(5)]
+            for k, s in enumerate(batch.column(5)):
+                yield tuple(c[k] for c in columns[:4]), columns[4][k], np.frombuffer(s.as_buffer(), "<u8").copy()
 
     def run(batches):
         for _, group in groupby(rows(batches), lambda r: r[0]):  # two blocks at most
-            _, ids, roots, sets = zip(*group, strict=True)
+            _, roots, sets = zip(*group, strict=True)
             links = spanning(list(sets), list(roots), alike)
             if links:
-                ends = np.array([sorted((ids[a], ids[b])) for a, b in links], np.int64)
+                ends = np.array([sorted((roots[a], roots[b])) for a, b in links], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 1]), pa.array(ends[:, 0])], names=["u", "v"])
 
     return run
 
 
 def rest_of_groups(docs: DataFrame, classes: DataFrame, led: DataFrame, linked: DataFrame, alike: Likeness) -> DataFrame:
-    """Links u > v between members of a leader's buckets that ``linked`` (u, v: the smallest of its component) leaves parted from it."""
+    """Links u > v of roots: of components in ``linked`` (u, v: the smallest one) that similar members of a leader's buckets join."""
     root = lambda c: linked.select(F.col("u").alias(c), F.col("v").alias(c + "_root"))
     rooted = lambda df, c: df.join(root(c), c, "left").withColumn(c + "_root", F.coalesce(c + "_root", c))
     state = stash(rooted(rooted(led, "id"), "leader").join(classes.select("id", "n"), "id"))
@@ -282,7 +299,7 @@ def rest_of_groups(docs: DataFrame, classes: DataFrame, led: DataFrame, linked:
     met = F.when(F.col("near"), F.transform(every(F.col("outer")), lambda i: key(i, True, F.col("own")))).otherwise(F.concat(with_inner, with_outer))
     members = stash(members)
     sets = whole_sets(docs, members.select("id").distinct(), classes, alike)
-    rows = members.select("leader", "id", "root", F.explode(met).alias("k")).join(sets, "id").select("leader", "k.i", "k.inner", "k.j", "id", "root", "set")
+    rows = members.select("leader", "id", "root", F.explode(met).alias("k")).join(sets, "id").select("leader", "k.i", "k.inner", "k.j", "root", "set")
     rows = rows.repartition("leader", "i", "inner", "j").sortWithinPartitions("leader", "i", "inner", "j")
     return stash(rows.mapInArrow(block_links(alike), "u long, v long"))
 
@@ -298,10 +315,12 @@ def near_duplicates(docs: DataFrame, alike: Likeness = NEAR) -> DataFrame:
     links = near.select(F.col("id").alias("u"), F.col("leader").alias("v"))
     linked = components(links)
     more = rest_of_groups(docs, classes, led, linked, alike)
-    if not more.isEmpty():
-        linked = components(links.unionByName(more).distinct())
     rooted = classes.select("high", "low", "id", "first").join(linked.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
-    rooted = stash(rooted.select("high", "low", "first", F.coalesce("root", "id").alias("root")))
+    rooted = rooted.select("high", "low", "first", F.coalesce("root", "id").alias("root"))
+    if not more.isEmpty():
+        joined = components(more.distinct()).select(F.col("u").alias("root"), F.col("v").alias("joined"))
+        rooted = rooted.join(joined, "root", "left").select("high", "low", "first", F.coalesce("joined", "root").alias("root"))
+    rooted = stash(rooted)
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("high", "low", "root", "component_id")
     rows = known.select("doc_id", "at", "th", "high", "low", "n")
     bare = rows.where("n = 0").select("doc_id", "at", "th", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))

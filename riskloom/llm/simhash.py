@@ -151,23 +151,20 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """u and v: every node with a link, but the smallest of its component, and that smallest one."""
+    """u and v: every node with a link, but the smallest of its component, and that smallest one. ``edges`` has each link u > v once."""
     edges = stash(edges)
-    state = None
     while True:
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        around = both.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        # stars already, if every node has larger neighbours alone or one smaller neighbour alone
+        if not around.where("least < u and least <> most").count():
+            return edges
         # large star: the larger neighbours of a node go to the smallest of them all
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = edges.join(around.select(F.col("u").alias("v"), F.least("u", "least").alias("m")), "v").select("u", F.col("m").alias("v"))
         # small star: a node and its smaller neighbours go to the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        small = moved.select("u", F.col("m").alias("v")).unionByName(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        moved = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = moved.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v")
         edges = stash(small.distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges
-        state = now
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, more: DataFrame | None = None) -> DataFrame:

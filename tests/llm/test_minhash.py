@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from riskloom.llm import minhash
+from riskloom.llm import minhash, simhash
 
 from .conftest import EDGES
 
@@ -119,3 +119,47 @@ def test_edges(spark, edges, empty, tmp_path):
     assert sorted(((r.doc_id, r.n, r.component_id) for r in minhash.near_duplicates(edges).collect()), key=repr) == sorted(((d, n, c) for d, n, c, _ in brute(EDGES)), key=repr)
     assert minhash.near_duplicates(empty).collect() == []
     assert got(minhash.query(spark, written(spark, EDGES, tmp_path))) == brute(EDGES)
+
+
+@pytest.mark.parametrize("links, writes", [([(3, 1), (2, 1), (9, 7)], 1), ([], 1), ([(i + 1, i) for i in range(40)], 12), ([(5, 1), (5, 2), (6, 2), (6, 3), (9, 8), (9, 4)], 5)])
+def test_components_stop_at_stars(spark, monkeypatch, links, writes):
+    """Stars cost one write and one look, not rounds that change nothing."""
+    made = []
+    monkeypatch.setattr(simhash, "stash", lambda df, f=simhash.stash: made.append(df) or f(df))
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    got = simhash.components(spark.createDataFrame(links, "u long, v long"))
+    assert sorted(map(tuple, got.collect())) == sorted((u, v) for u, v in root.items() if u != v)
+    assert len(made) <= writes
+
+
+def test_stages_of_a_group(spark):
+    """A group whose members are parted from their leader: parts are joined by their roots, in few stages."""
+    spark.sparkContext.setJobGroup("stages of a group", "")
+    try:
+        rows = [(i, t) for i, t in made() if i is not None]
+        assert minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count() == len(rows)
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("stages of a group") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(stages) < 150
+
+
+def test_signatures_of_bits():
+    rng = np.random.default_rng(2)
+    core = rng.integers(0, 1 << 63, 850, np.uint64) * np.uint64(2)
+    a, b = (np.unique(np.concatenate([core, rng.integers(0, 1 << 63, 75, np.uint64)])) for _ in range(2))
+    sig = minhash.signatures(minhash.minima([a, b, a, a[:1], b[-1:]], 4000))
+    equal = lambda i, j: 4000 - int(np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)).sum())
+    assert equal(0, 2) == 4000 and abs(equal(0, 1) / 4000 - 0.925) < 0.03 and abs(equal(3, 4) / 4000 - 0.5) < 0.05
+    assert sig.shape == (5, 63) and minhash.NEAR.minima / 2 < minhash.NEAR.least_bits < 0.925 * minhash.NEAR.minima
+
+
+def test_texts_too_many_to_look_up_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 10)
+    rows = [(i, t) for i, t in made() if i is not None]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n, r.component_id) for r in found.collect()) == sorted((d, n, c) for d, n, c, _ in brute(rows))
