@@ -4,8 +4,9 @@ The rank file gives the byte strings of the ids. ``tokenizer_json`` turns them
 into a ``tokenizers`` model: bytes become printable characters (the table that
 byte-level BPE files use) and the merge list follows from the ranks. Each task
 takes Arrow batches, has the library encode every distinct chunk of a slice of
-texts once, and lays ids and offsets out per document. Decoding reverses the table
-of bytes over the characters that spell the ids.
+texts once, many of them joined in one text, and lays the ids out per document.
+Decoding reverses the table of bytes over the characters that spell the ids; the
+place of an id in its text is counted in the bytes decoded.
 
 Defined results: a null text counts as empty; an empty text has no ids; a null
 doc_id is kept; repeated rows give repeated results; an empty table gives an
@@ -35,12 +36,15 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Whether two white-space characters meet.
 MET = re.compile(r"\s\s").search
 
+#: Chunks that the library gets as one text.
+JOINED = 256
+
 #: Distinct chunks in each of the two generations of a task's memory.
 KEPT_CHUNKS = 150_000
 
 
 class Memory:
-    """What the library gave for the chunks seen lately, packed as 32-bit numbers.
+    """What the library gave for the chunks seen lately, packed as numbers.
 
     Two generations bound it: when the young one is full it becomes the old one,
     from which chunks that are seen again move back.
@@ -133,14 +137,41 @@ class Coder:
         self.every, self.width = np.frombuffer(b"".join(spelt), np.uint8), np.fromiter(map(len, spelt), np.int32, len(spelt))
         self.begin = np.cumsum(self.width, dtype=np.int32) - self.width
 
-    def packed(self, chunks: list[str]) -> Iterator[bytes]:
-        """Of each chunk the ids, then the first character of each, as 32-bit numbers."""
-        for lo in range(0, len(chunks), 5000):
-            for e in self.tokenizer.encode_batch(chunks[lo : lo + 5000], add_special_tokens=False):
-                yield array("i", e.ids).tobytes() + array("i", [a for a, _ in e.offsets]).tobytes()
+    def whole(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as 32-bit numbers."""
+        for lo in range(0, len(texts), 5000):
+            for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 5000], add_special_tokens=False):
+                yield array("i", e.ids).tobytes()
+
+    def packed(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk as 32-bit numbers.
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, the first character of each id in its text, and how many ids each text has.
+        Chunks that begin with their only space are joined to one text, which the pattern
+        parts at these spaces, but for those that end in white space, where two would meet.
+        """
+        out: list[bytes] = [b""] * len(chunks)
+        joined = [i for i, c in enumerate(chunks) if c[:1] == " " and not c[-1].isspace()]
+        alone = np.delete(np.arange(len(chunks)), joined).tolist()
+        for lo in range(0, len(joined), 20 * JOINED):
+            groups = [joined[g : g + JOINED] for g in range(lo, min(lo + 20 * JOINED, len(joined)), JOINED)]
+            coded = self.tokenizer.encode_batch_fast(["".join(map(chunks.__getitem__, group)) for group in groups], add_special_tokens=False)
+            for group, e in zip(groups, coded, strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends = np.cumsum(self.width[ids])
+                wanted = np.cumsum([len(chunks[i].encode()) for i in group])
+                after = np.searchsorted(ends, wanted) + 1
+                if not len(ends) or ends[-1] != wanted[-1] or (ends[after - 1] != wanted).any():  # an id goes over the end of a chunk
+                    alone += group
+                    continue
+                packed, cuts = ids.tobytes(), (after * 4).tolist()
+                for i, start, end in zip(group, [0, *cuts], cuts, strict=False):
+                    out[i] = packed[start:end]
+        for i, ids in zip(alone, self.whole([chunks[i] for i in alone]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each text has.
 
         Where no two white-space characters meet, the pattern never joins what a space
         parts, so a text is looked up space by space; other texts go to the library whole.
@@ -154,25 +185,21 @@ class Coder:
         kinds, key = np.unique(coded.indices.to_numpy() * 2 + spaced, return_inverse=True)
         spelt = coded.dictionary.to_pylist()
         chunks = [" " + spelt[k >> 1] if k & 1 else spelt[k >> 1] for k in kinds.tolist()]
-        pieces = self.memory.each(chunks) + list(self.packed([texts[i] for i in whole]))
+        pieces = self.memory.each(chunks) + list(self.whole([texts[i] for i in whole]))
         flat = np.frombuffer(b"".join(pieces), np.int32)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 8
-        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        # chunks in the order of the texts, and where each begins in its text
-        key, before = key.ravel(), np.cumsum(length[key]) - length[key]
-        before -= np.repeat(before[bounds[:-1]], np.diff(bounds))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        # chunks in the order of the texts
         n_chunks = np.ones(len(texts), np.int64)
         n_chunks[others] = np.diff(bounds)
         first = np.cumsum(n_chunks) - n_chunks
-        order, base = np.empty(n_chunks.sum(), np.int64), np.zeros(n_chunks.sum(), np.int64)
+        order = np.empty(n_chunks.sum(), np.int64)
         is_whole = np.zeros(len(order), bool)
         is_whole[first[whole]] = True
-        order[is_whole], order[~is_whole] = len(chunks) + np.arange(len(whole)), key
-        base[~is_whole] = before
+        order[is_whole], order[~is_whole] = len(chunks) + np.arange(len(whole)), key.ravel()
         n = size[order]
         ends = np.cumsum(n)
-        at = np.repeat(((np.cumsum(size) - size) * 2)[order] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        return flat[at], flat[at + np.repeat(n, n)] + np.repeat(base, n).astype(np.int32), np.add.reduceat(n, first) if len(n) else n
+        at = np.repeat((np.cumsum(size) - size)[order] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        return flat[at], np.add.reduceat(n, first) if len(n) else n
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and where those of each end."""
@@ -182,9 +209,22 @@ class Coder:
 
     def decoded(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
         """One binary value for each run of ids: bytes are joined before anything reads them as characters."""
-        out, ends = self.decode(ids)
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(out)])
+        return runs(*self.decode(ids), lengths)
+
+
+def runs(out: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary value for each run of ids that end at ``ends`` of the bytes ``out``."""
+    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(cuts), pa.py_buffer(out)])
+
+
+def first_characters(out: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The character of its text in which each id begins, for runs of ids that end at ``ends`` of the bytes ``out``."""
+    if not len(ends):
+        return np.zeros(0, np.int32)
+    at = np.cumsum((out & 0xC0) != 0x80, dtype=np.int32)[np.concatenate([[0], ends[:-1]])]  # bytes that begin a character
+    some = lengths[lengths > 0]
+    return at - np.repeat(at[np.cumsum(some) - some], some)
 
 
 #: The coder of this Python process: tasks that follow one another share it.
@@ -216,9 +256,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         coder = shared_coder(file.value)
         for batch in batches:
             for lo, hi, texts in text_slices(batch):
-                ids, starts, lengths = coder.encode(texts)
+                ids, lengths = coder.encode(texts)
                 columns = [batch.column(0)[lo:hi], list_column(ids, lengths)]
-                columns += [list_column(starts, lengths)] * offsets + ([coder.decoded(ids, lengths)] if decoded else [])
+                spelt = (*coder.decode(ids), lengths) if offsets or decoded else ()
+                columns += ([list_column(first_characters(*spelt), lengths)] if offsets else []) + ([runs(*spelt)] if decoded else [])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -69,6 +69,37 @@ def test_byte_bpe_edges(edges, empty):
     assert bpe.digests(bpe.decode(bpe.encode(empty))).count() == 0
 
 
+def test_byte_bpe_gives_the_library_chunks_joined(reference):
+    coder = bpe.Coder(bpe.tokenizer_json(bpe.read_ranks(P.path(bpe.RANKS)), P.PATTERN))
+    words = [f"{w}{i}" for i in range(700) for w in ("Zürich", "it's", "日本", "🎉", "a\nb", "x\u00a0y", "--'re", "e\u0301")]
+    texts = [" ".join(words[k::3]) + end for k in range(3) for end in ("", " ", "\n", "\u00a0", " 's", " \u2028")]
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, some, f=coder.tokenizer.encode_batch_fast, **how):
+            given.extend(some)
+            return f(some, **how)
+
+        def encode_batch(self, some, f=coder.tokenizer.encode_batch, **how):
+            given.extend(some)
+            return f(some, **how)
+
+    coder.tokenizer = Counting()
+    ids, lengths = (lambda *found: (found[0], found[-1]))(*coder.encode(texts))
+    wanted = [reference.encode_ordinary(t) for t in texts]
+    assert ids.tolist() == sum(wanted, []) and lengths.tolist() == list(map(len, wanted))
+    assert len(given) < 100  # 5600 distinct words
+    chunks = ["", " ", " a", " a b", "b", " \n", " c\n", " d\u00a0", " e", "f g"]
+    assert coder.packed(chunks) == list(coder.whole(chunks))
+
+
+def test_byte_bpe_chunks_that_an_id_would_join():
+    coder = bpe.Coder(bpe.tokenizer_json([*(bytes([b]) for b in range(256)), b"a "], r"[\s\S]+"))
+    chunks = [" a", " b", " aa", " a"]
+    assert np.frombuffer(next(coder.whole([" a b"])), np.int32).tolist() == [32, 256, 98]
+    assert coder.packed(chunks) == list(coder.whole(chunks))
+
+
 def test_counts_equal_the_library(spark, sf, texts, tricky):
     whole = library(counts.TOKENIZER)
     for df, given in ((tricky, dict(enumerate(TRICKY))), (None, texts)):
